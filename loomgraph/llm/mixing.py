@@ -68,8 +68,7 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     sums = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
     sums = targets(sums, weights, share, cap).join(sums.select(F.col("source").alias("s"), "n"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     sums = stored(sums.withColumn("buckets", F.greatest(F.lit(1), F.ceil(F.col("n") / bucket_rows))).withColumn("passes", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)).withColumn("rest", F.col("target") - F.col("passes") * F.col("source_size")))
-    s = F.broadcast(sums.withColumnRenamed("source", "s"))  # a row for each source, not for each document
-    rows = rows.join(s, F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    rows = rows.join(sums.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     rows = rows.withColumn("bucket", F.conv(F.substring("key", 1, 8), 16, 10).cast("long") % F.col("buckets"))
     per = rows.groupBy("source", "bucket").agg(F.sum("size").alias("in_bucket"), F.first("rest").alias("rest"))
     before = F.sum("in_bucket").over(Window.partitionBy("source").orderBy("bucket")) - F.col("in_bucket")
