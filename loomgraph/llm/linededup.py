@@ -132,12 +132,12 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     firsts = stored(marks.groupBy("key").agg(F.min(F.struct("id", "at")).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", F.col("f.id").alias("first_id"), F.col("f.at").alias("first_at")))
     match = marks.join(firsts, "key").where((F.col("id") != F.col("first_id")) | (F.col("at") > F.col("first_at")))
     match = stored(match.select("id", "at", "first_id", "first_at").distinct())
-    arrays = lines.select("id", "lines").dropDuplicates(["id"])
+    arrays = stored(lines.select("id", "lines").dropDuplicates(["id"]))  # so that Spark can split the rows of a text that many match
     pairs = match.join(arrays, "id").join(arrays.select(F.col("id").alias("first_id"), F.col("lines").alias("first_lines")), "first_id")
     runs = pairs.select("id", "at", "lines", "first_id", "first_at", "first_lines").mapInArrow(_extend, f"id {id_type}, begin int, stop int").distinct()
     runs = stored(runs.groupBy("id").agg(F.collect_list(F.struct("begin", "stop")).alias("runs")))
     numbers = lines.join(runs.select("id"), "id", "left_semi").select("id", "numbers").dropDuplicates(["id"]).join(runs, "id")
-    out = source.join(stored(numbers), "id", "left").select("id", "text", F.coalesce("numbers", F.array().cast("array<int>")).alias("numbers"), "runs")
+    out = source.join(stored(numbers).hint("merge"), "id", "left").select("id", "text", F.coalesce("numbers", F.array().cast("array<int>")).alias("numbers"), "runs")
     out = out.mapInArrow(_drop_runs, f"id {id_type}, text string, lines_removed int, runs array<struct<first:int,last:int>>")
     return out.select(F.when(F.col("id.known"), F.col("id.id")).alias(id_col), F.col("text").alias(text_col), "lines_removed", "runs")
 
