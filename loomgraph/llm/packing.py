@@ -9,6 +9,8 @@ over rooms finds that bin in logarithmic time.
 
 from __future__ import annotations
 
+import base64
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,7 +18,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm.bpe import encoder, vocabulary
+from loomgraph.llm.bpe import vocabulary
 from loomgraph.llm.common import table
 
 LENGTH = 2048
@@ -58,6 +60,16 @@ class RoomTree:
         return room, bin_
 
 
+@functools.lru_cache(maxsize=2)
+def tokenizer(path: str, pattern: str):
+    """The vocabulary in the tiktoken library, loaded once for each Python worker."""
+    import tiktoken
+
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+
 def best_fit_decreasing(lengths: list[int], most: int) -> list[list[int]]:
     """Bins of indices into lengths (1 to most each), the longest first; ties by index."""
     tree, bins = RoomTree(most), []
@@ -91,7 +103,7 @@ def pack(docs: DataFrame, path: str, pattern: str, length: int = LENGTH, end_id:
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, shard, row = encoder(path, pattern), TaskContext.get().partitionId(), 0
+        encode, shard, row = tokenizer(path, pattern).encode_ordinary, TaskContext.get().partitionId(), 0
         ends = np.array([] if end_id is None else [end_id], np.uint32)
         ids: list[np.ndarray] = []
         names: list = []
@@ -123,7 +135,7 @@ def pack(docs: DataFrame, path: str, pattern: str, length: int = LENGTH, end_id:
         for batch in batches:
             id_arrow = batch.schema.field(0).type
             for name, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                tokens = np.concatenate((own.encode(text.as_py() or ""), ends))
+                tokens = np.concatenate((np.array(encode(text.as_py() or ""), np.uint32), ends))
                 for at in range(0, len(tokens), length):
                     ids.append(tokens[at : at + length])
                     names.append(name)
