@@ -18,7 +18,7 @@ import base64
 import functools
 import hashlib
 from collections.abc import Iterator
-from heapq import heapify, heappop, heappush
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -26,49 +26,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from loomgraph.llm.common import table
 
-_CACHED_BYTES, _CACHED_WORDS = 48, 250_000
-
-
-class RankQueue:
-    """Buckets of positions by rank; pop() gives the leftmost position of the lowest rank."""
-
-    def __init__(self, ranks: int) -> None:
-        self.words = [0] * (ranks // 64 + 1)
-        self.summary = 0
-        self.buckets: dict[int, list[int]] = {}
-
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is None:
-            self.buckets[rank] = [position]
-            self.words[rank >> 6] |= 1 << (rank & 63)
-            self.summary |= 1 << (rank >> 6)
-        else:
-            heappush(bucket, position)
-
-    def fill(self, pairs: dict[int, list[int]]) -> None:
-        for rank, positions in pairs.items():
-            heapify(positions)
-            self.words[rank >> 6] |= 1 << (rank & 63)
-            self.summary |= 1 << (rank >> 6)
-        self.buckets = pairs
-
-    def pop(self) -> tuple[int, int]:
-        """(rank, position), or (-1, -1) once empty."""
-        if not self.summary:
-            return -1, -1
-        word = (self.summary & -self.summary).bit_length() - 1
-        bits = self.words[word]
-        rank = (word << 6) + (bits & -bits).bit_length() - 1
-        bucket = self.buckets[rank]
-        position = heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            bits &= bits - 1
-            self.words[word] = bits
-            if not bits:
-                self.summary &= self.summary - 1
-        return rank, position
+#: Matches of up to so many characters are remembered, in two generations of so many.
+_CACHED_BYTES, _CACHED_WORDS = 48, 400_000
 
 
 class Encoder:
@@ -82,9 +41,9 @@ class Encoder:
         self.bytes_of: list[bytes] = [b""] * top
         for piece, rank in self.ranks.items():
             self.bytes_of[rank] = piece
-        self.queue = RankQueue(top)
+        self.words = [0] * (top // 64 + 1)  # the lower bitmap: a bit for each rank; empty between calls
         self.packed: dict[str, bytes] = {}
-        self.decimal: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def piece_ids(self, piece: bytes) -> list[int]:
         """The ids of one match of the pattern."""
@@ -95,63 +54,77 @@ class Encoder:
         n = len(piece)
         stop = list(range(1, n + 1))  # where the token that begins here ends
         before = list(range(-1, n))  # where the token before it begins
-        pair: list[int] = [-1] * (n + 1)  # the rank of this token and the next, -1: none
-        starts: dict[int, list[int]] = {}
+        pair = [-1] * (n + 1)  # the rank of this token and the next, -1: none
+        buckets: dict[int, list[int]] = {}  # by rank a heap of positions
+        words, summary = self.words, 0  # summary: a bit for each word of the lower bitmap that is in use
+        of = ranks.get
         for i in range(n - 1):
-            r = ranks.get(piece[i : i + 2])
+            r = of(piece[i : i + 2])
             if r is not None:
                 pair[i] = r
-                starts.setdefault(r, []).append(i)
-        queue = self.queue
-        queue.fill(starts)
-        while True:
-            rank, i = queue.pop()
-            if rank < 0:
-                break
+                if r in buckets:
+                    buckets[r].append(i)  # ascending, so a heap
+                else:
+                    buckets[r] = [i]
+                    words[r >> 6] |= 1 << (r & 63)
+                    summary |= 1 << (r >> 6)
+        while summary:
+            w = (summary & -summary).bit_length() - 1
+            bits = words[w]
+            rank = (w << 6) + (bits & -bits).bit_length() - 1
+            bucket = buckets[rank]
+            if len(bucket) > 1:
+                i = heappop(bucket)
+            else:
+                i = bucket[0]
+                del buckets[rank]
+                bits &= bits - 1
+                words[w] = bits
+                if not bits:
+                    summary &= summary - 1
             if pair[i] != rank:
                 continue
             middle = stop[i]
             end = stop[middle]
             pair[middle] = -1
             stop[i] = end
+            j = before[i]
+            changed = ((j, j, end),) if j >= 0 else ()
+            pair[i] = -1
             if end < n:
                 before[end] = i
-                r = ranks.get(piece[i : stop[end]])
-                if r is None:
-                    pair[i] = -1
-                else:
-                    pair[i] = r
-                    queue.push(r, i)
-            else:
-                pair[i] = -1
-            j = before[i]
-            if j >= 0:
-                r = ranks.get(piece[j:end])
+                changed += ((i, i, stop[end]),)
+            for at, a, b in changed:
+                r = of(piece[a:b])
                 if r is None:
-                    pair[j] = -1
-                elif r != pair[j]:
-                    pair[j] = r
-                    queue.push(r, j)
+                    pair[at] = -1
+                elif r != pair[at]:
+                    pair[at] = r
+                    if r in buckets:
+                        heappush(buckets[r], at)
+                    else:
+                        buckets[r] = [at]
+                        words[r >> 6] |= 1 << (r & 63)
+                        summary |= 1 << (r >> 6)
         out, i = [], 0
         while i < n:
             out.append(ranks[piece[i : stop[i]]])
             i = stop[i]
         return out
 
-    def _miss(self, word: str) -> list[int]:
-        return self.piece_ids(word.encode("utf-8", "surrogatepass"))
-
-    def _packed(self, word: str) -> bytes:
-        got = np.array(self._miss(word), np.uint32).tobytes()
+    def _miss(self, word: str) -> bytes:
+        got = self.packed.get(word) or self.older.get(word)
+        if got is None:
+            got = np.array(self.piece_ids(word.encode("utf-8", "surrogatepass")), np.uint32).tobytes()
         if len(word) <= _CACHED_BYTES:
             if len(self.packed) >= _CACHED_WORDS:
-                self.packed.clear()
+                self.older, self.packed = self.packed, {}
             self.packed[word] = got
         return got
 
     def encode(self, text: str) -> np.ndarray:
         """The ids of a whole text, as unsigned 32-bit numbers."""
-        have, miss = self.packed.get, self._packed
+        have, miss = self.packed.get, self._miss
         return np.frombuffer(b"".join([have(w) or miss(w) for w in self.find(text)]), np.uint32)
 
     def decode(self, ids: list[int]) -> bytes:
