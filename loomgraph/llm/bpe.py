@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from loomgraph.llm.common import table
 
 #: Matches of up to so many characters are remembered, in two generations of so many.
-_CACHED_BYTES, _CACHED_WORDS = 48, 400_000
+_CACHED_BYTES, _CACHED_WORDS = 48, 200_000
 
 
 class Encoder:

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 #: The characters that end a word: space, tab, newline, vertical tab, form feed, carriage return.
 WHITESPACE = b" \t\n\x0b\x0c\r"
 
