@@ -35,7 +35,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = bpe.bpe_round_trip(docs, *bpe.vocabulary())
+    out = bpe.bpe_round_trip(docs, *bpe.vocabulary(), forget=True)
     return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 

@@ -127,6 +127,10 @@ class Encoder:
         have, miss = self.packed.get, self._miss
         return np.frombuffer(b"".join([have(w) or miss(w) for w in self.find(text)]), np.uint32)
 
+    def forget(self) -> None:
+        """Drops the remembered matches."""
+        self.packed, self.older = {}, {}
+
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
@@ -137,13 +141,15 @@ def encoder(path: str, pattern: str) -> Encoder:
     return Encoder(path, pattern)
 
 
-def bpe_round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+def bpe_round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, forget: bool = False) -> DataFrame:
     """Encodes every text and decodes its ids again, one row for each row of docs; nothing is shuffled.
 
     Returns id_col, n_tokens long, ids_sha256, decoded_sha256, and with with_ids
-    also ids (little-endian unsigned 32-bit numbers).  A null text counts as
-    empty: no tokens, the hash of no bytes.  Null ids, repeated rows and other
-    columns do not matter; an empty table gives no rows.
+    also ids (little-endian unsigned 32-bit numbers).  With forget a worker drops
+    its remembered matches after each partition, so that it holds none while it
+    does other work; the rows are the same.  A null text counts as empty:
+    no tokens, the hash of no bytes.  Null ids, repeated rows and other columns do
+    not matter; an empty table gives no rows.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
 
@@ -162,6 +168,8 @@ def bpe_round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_
                     packed.append(ids.astype("<u4").tobytes())
             columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(hashes, pa.string()), pa.array(back, pa.string())]
             yield pa.RecordBatch.from_arrays(columns + [pa.array(packed, pa.binary())] * with_ids, [id_col, "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids)
+        if forget:
+            own.forget()
 
     schema = f"`{id_col}` {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids
     return docs.select(id_col, text_col).mapInArrow(run, schema)

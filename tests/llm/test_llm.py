@@ -175,7 +175,8 @@ def test_bpe(odd, docs, none, tokens):
         for r in rows(df):
             ids = tokens.encode_ordinary(r["text"] or "")
             want[r["doc_id"], len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((r["text"] or "").encode()).hexdigest()] += 1
-        assert Counter(tuple(r) for r in bpe.bpe_round_trip(df, *bpe.vocabulary()).collect()) == want
+        for forget in (False, True):
+            assert Counter(tuple(r) for r in bpe.bpe_round_trip(df, *bpe.vocabulary(), forget=forget).collect()) == want
     assert rows(bpe.bpe_round_trip(none, *bpe.vocabulary())) == []
 
 
@@ -184,6 +185,8 @@ def test_bpe_long_pieces(tokens):
     own = bpe.encoder(*bpe.vocabulary())
     for text in ("a" * 5000, "ab" * 3000, "".join(rng.choice(list("theandingstroé"), 4000)), "!?" * 700, " " * 300 + "x", "<|endoftext|>", "\r\n\r\n x"):
         assert own.encode(text).tolist() == tokens.encode_ordinary(text)
+    own.forget()
+    assert not own.packed and not own.older
     for _ in range(300):
         text = "".join(rng.choice(list("abcdeino "), rng.integers(1, 60)))
         assert own.encode(text).tolist() == tokens.encode_ordinary(text)
