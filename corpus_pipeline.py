@@ -16,6 +16,10 @@ from loomgraph.llm import blocknames, bpe, mixing, quality, setjoin
 from loomgraph.llm.common import stored, table
 
 
+#: Matches that the encoder remembers in each of two generations: fewer than by itself, as workers still hold memory of the stages before.
+REMEMBER = 50_000
+
+
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
     return quality.score(docs, model).where("predicted = 1").drop("score", "predicted")
@@ -35,7 +39,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = bpe.bpe_round_trip(docs, *bpe.vocabulary(), forget=True)
+    out = bpe.bpe_round_trip(docs, *bpe.vocabulary(), remember=REMEMBER, forget=True)
     return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 

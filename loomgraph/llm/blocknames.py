@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import stored, table
+from loomgraph.llm.common import arrow_map, stored, table
 
 WHITESPACE = b" \t\n\x0b\x0c\r"
 #: A task remembers texts up to so many bytes in all; beyond that, copies are sent again, which changes no result.
@@ -79,7 +79,7 @@ def _named(df: DataFrame, keys: list[str]) -> DataFrame:
                 names.append(name)
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(names, pa.int64())], ["uid", "idx", "n", "name"])
 
-    return df.select("uid", "idx", "n", *keys).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "uid long, idx long, n long, name long")
+    return arrow_map(df.select("uid", "idx", "n", *keys).repartition(*keys).sortWithinPartitions(*keys), run, "uid long, idx long, n long, name long")
 
 
 def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 4096) -> tuple[DataFrame, DataFrame]:
@@ -89,8 +89,8 @@ def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     in the same order whenever they run.
     """
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    members = source.mapInArrow(_split(block_bytes, False), f"id {docs.schema[id_col].dataType.simpleString()}, uid long, points long, text_sha256 string")
-    level = stored(_named(source.mapInArrow(_split(block_bytes, True), "uid long, idx long, n long, block binary"), ["block"]))
+    members = arrow_map(source, _split(block_bytes, False), f"id {docs.schema[id_col].dataType.simpleString()}, uid long, points long, text_sha256 string")
+    level = stored(_named(arrow_map(source, _split(block_bytes, True), "uid long, idx long, n long, block binary"), ["block"]))
     done, most, k = [], level.agg(F.max("n")).first()[0] or 1, 0
     while True:
         done.append(level.where("n = 1").select("uid", F.lit(k).alias("round"), "name"))

@@ -24,16 +24,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm.common import table
+from loomgraph.llm.common import arrow_map, table
 
-#: Matches of up to so many characters are remembered, in two generations of so many.
+#: Matches of up to so many characters are remembered, by default in two generations of so many.
 _CACHED_BYTES, _CACHED_WORDS = 48, 200_000
 
 
 class Encoder:
-    def __init__(self, path: str, pattern: str) -> None:
+    def __init__(self, path: str, pattern: str, remember: int = _CACHED_WORDS) -> None:
         import regex
 
+        self.remember = remember
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.find = regex.compile(pattern).findall
@@ -117,7 +118,7 @@ class Encoder:
         if got is None:
             got = np.array(self.piece_ids(word.encode("utf-8", "surrogatepass")), np.uint32).tobytes()
         if len(word) <= _CACHED_BYTES:
-            if len(self.packed) >= _CACHED_WORDS:
+            if len(self.packed) >= self.remember:
                 self.older, self.packed = self.packed, {}
             self.packed[word] = got
         return got
@@ -136,25 +137,25 @@ class Encoder:
 
 
 @functools.lru_cache(maxsize=2)
-def encoder(path: str, pattern: str) -> Encoder:
+def encoder(path: str, pattern: str, remember: int = _CACHED_WORDS) -> Encoder:
     """One encoder for each vocabulary and Python worker."""
-    return Encoder(path, pattern)
+    return Encoder(path, pattern, remember)
 
 
-def bpe_round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, forget: bool = False) -> DataFrame:
+def bpe_round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, remember: int = _CACHED_WORDS, forget: bool = False) -> DataFrame:
     """Encodes every text and decodes its ids again, one row for each row of docs; nothing is shuffled.
 
     Returns id_col, n_tokens long, ids_sha256, decoded_sha256, and with with_ids
-    also ids (little-endian unsigned 32-bit numbers).  With forget a worker drops
-    its remembered matches after each partition, so that it holds none while it
-    does other work; the rows are the same.  A null text counts as empty:
+    also ids (little-endian unsigned 32-bit numbers).  A worker remembers up to
+    2 * remember short matches; with forget it drops them after each partition, so
+    that it holds none while it does other work.  The rows are the same.  A null text counts as empty:
     no tokens, the hash of no bytes.  Null ids, repeated rows and other columns do
     not matter; an empty table gives no rows.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(path, pattern)
+        own = encoder(path, pattern, remember)
         words = _Decimals()
         for batch in batches:
             n, hashes, back, packed = [], [], [], []
@@ -172,7 +173,7 @@ def bpe_round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_
             own.forget()
 
     schema = f"`{id_col}` {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return arrow_map(docs.select(id_col, text_col), run, schema)
 
 
 class _Decimals(dict):

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm import embedbag
-from loomgraph.llm.common import table
+from loomgraph.llm.common import arrow_map, table
 from loomgraph.llm.langid import fold, labelled_sample
 
 FEATURES = embedbag.Features(grams=(3, 4), lower=False, repeats=True)
@@ -45,7 +45,7 @@ def score(docs: DataFrame, model: embedbag.Model, id_col: str = "doc_id", text_c
 
     source = docs.select(*kept)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema) + ", score double, predicted int"
-    return source.mapInArrow(run, schema)
+    return arrow_map(source, run, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
