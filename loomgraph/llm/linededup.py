@@ -4,7 +4,8 @@ The non-blank lines of a text, trimmed, are hashed.  In every window of ``run``
 consecutive lines the line with the least hash (of equals, the last) is a
 fingerprint; so every run of that many lines holds one, at the same place
 wherever the run occurs.  A fingerprint joins through each window that chose it,
-and a line of at least ``words`` words through itself.  Its positions in the
+and so do the least lines of shorter runs that first reach ``words`` words: a line
+of that many words through itself, else the lines that only together have as many.  Its positions in the
 corpus are joined with the first of them, the match is extended both ways line
 by line, and the later run is deleted.
 """
@@ -32,6 +33,14 @@ def window_minima(h: np.ndarray, run: int) -> np.ndarray:
     return np.arange(len(w)) + run - 1 - w[:, ::-1].argmin(axis=1)
 
 
+def reaching(at: np.ndarray, size: int, words: int) -> np.ndarray:
+    """Where runs of size lines begin that have words words together, but not without their first or their last line; line i has at[i + 1] - at[i]."""
+    if len(at) <= size:
+        return np.zeros(0, np.int64)
+    shorter = at[size - 1 :] - at[: len(at) - size + 1]
+    return np.flatnonzero((at[size:] - at[:-size] >= words) & (np.maximum(shorter[:-1], shorter[1:]) < words))
+
+
 def _lines(run: int, words: int):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mul = np.uint64(0xD6E8FEB86659FD93)
@@ -47,15 +56,22 @@ def _lines(run: int, words: int):
                 h = np.array([hash_line(x) for x in parts], np.uint64) if parts else np.zeros(0, np.uint64)
                 _, _, at = hashing.word_spans(data, ends)
                 long_ = np.flatnonzero(np.diff(at) >= words)
-                chosen = window_minima(h, run)
-                starts = np.arange(len(chosen))
-                window = np.zeros(len(chosen), np.uint64)
-                for k in range(run):
-                    window = window * mul + h[k : k + len(chosen)]
-                # A window's key holds the fingerprint's place in it, and long lines have keys of their own.
-                window = hashing.mix(window + (chosen - starts).astype(np.uint64))
-                keys.append(np.concatenate((window, hashing.mix(h[long_] ^ np.uint64(0x5851F42D4C957F2D)))).view(np.int64))
-                places.append(np.concatenate((chosen, long_)).astype(np.int32))
+                own_keys, own_places = [hashing.mix(h[long_] ^ np.uint64(0x5851F42D4C957F2D))], [long_]
+                for size in range(2, run + 1):
+                    chosen = window_minima(h, size)
+                    starts = np.arange(len(chosen))
+                    window = np.full(len(chosen), run - size, np.uint64)
+                    for k in range(size):
+                        window = window * mul + h[k : k + len(chosen)]
+                    # A window's key holds the fingerprint's place in it, and long lines have keys of their own.
+                    window = hashing.mix(window + (chosen - starts).astype(np.uint64))
+                    if size < run:
+                        few = reaching(at, size, words)
+                        window, chosen = window[few], chosen[few]
+                    own_keys.append(window)
+                    own_places.append(chosen)
+                keys.append(np.concatenate(own_keys).view(np.int64))
+                places.append(np.concatenate(own_places).astype(np.int32))
                 lines.append((h.view(np.int64), numbers))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([x for x, _ in lines], pa.list_(pa.int64())), pa.array([x for _, x in lines], pa.list_(pa.int32())), pa.array(keys, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int32()))],
@@ -113,8 +129,9 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Lines are compared trimmed of ``[\\x20\\x09-\\x0D]``; blank ones are passed
     over and kept.  Text order is by id, then line.  A line goes if it lies in
-    ``run`` consecutive lines that occur earlier, or has at least ``words``
-    words and occurs earlier, or continues such a match with the first
+    ``run`` consecutive lines that occur earlier, or in fewer that occur earlier
+    and have at least ``words`` words, no end of them being dispensable for that
+    (so one such line alone), or continues such a match with the first
     occurrence.  A null text stays null, an empty one empty.  Rows that repeat
     an id and a text count once and each get the same result; rows of one id
     with other texts are texts of their own.  A null id comes before all others.

@@ -370,6 +370,18 @@ def test_line_dedup(spark, docs, odd, none):
     assert rows(linededup.line_dedup(none)) == []
 
 
+def test_line_dedup_short_runs(spark):
+    """Runs of fewer lines than a window that only together have 50 words."""
+    a, b, c, d = (some_text(300 + i, n) for i, n in enumerate((47, 38, 26, 25)))
+    data = [(0, f"{a}\n{b}"), (1, f"{a}\n{b}"), (2, f"one\n{c}\n\n {d}\ntwo"), (3, f"three\n{c}\n{d}\nfour"), (4, f"{b}\n{a}"), (5, c), (6, f"{c}\nshort"), (7, f"x\n{b}\n{a}")]
+    got = {r["doc_id"]: r["text"] for r in rows(linededup.line_dedup(spark.createDataFrame(data, "doc_id long, text string")))}
+    assert got == dict(data) | {1: "", 3: "three\nfour", 7: "x"}
+    lines = [some_text(400 + i, n) for i, n in enumerate((12, 20, 13, 19, 12))]
+    four = [(0, "\n".join(lines[:4])), (1, "\n".join(["y", *lines[:4], "z"])), (2, "\n".join(lines[:3])), (3, "\n".join(lines[1:4]))]
+    got = [r["text"] for r in sorted(rows(linededup.line_dedup(spark.createDataFrame(four, "doc_id long, text string"), run=5)), key=lambda r: r["doc_id"])]
+    assert got == [four[0][1], "y\nz", four[2][1], ""]  # 45 words stay, 52 go
+
+
 # --- 1: packing
 
 
