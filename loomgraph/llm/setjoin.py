@@ -16,7 +16,11 @@ all others of the list; that gives exact overlaps.  Sets that link with the pivo
 need no comparison with each other, as they are of one component.  For two other
 sets x and y of the list, overlap(x, y) <= min(o_x, o_y) + min(n_x - o_x, n_y - o_y),
 with o_x and o_y the overlaps with the pivot that were computed: most answers
-follow from the pivot's, and the few pairs left over are compared as well.
+answers follow from the pivot's, and the few pairs left over are compared as well.
+
+Counting links.  All links lie within components, whose sets are dealt into chunks;
+each pair of chunks is one group, in which a pivot's overlaps settle most pairs
+likewise (overlap(x, y) >= o_x + o_y - n_pivot) and the others are compared.
 """
 
 from __future__ import annotations
@@ -32,13 +36,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm import hashing
-from loomgraph.llm.common import arrow_map, release, stored, table
+from loomgraph.llm.common import arrow_map, dropped, release, stored, table
 from loomgraph.llm.components import components
 
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT, WIDTH = 80, 5
 #: A part of the token space has about so many tokens.
 PART_TOKENS = 2_000_000
+#: A chunk of a component has about so many tokens and sets at most.
+CHUNK_TOKENS, CHUNK_SETS = 500_000, 1_000
 
 
 def need(n: int, percent: int) -> int:
@@ -193,8 +199,83 @@ def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return joined.select("a", "b", "na", "nb", F.size(F.array_intersect("x", "y")).cast("long").alias("o"))
 
 
-def linked_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, width: int = WIDTH, part_tokens: int = PART_TOKENS) -> DataFrame:
-    """One row for each row of docs: id_col, n_shingles, component_id, n_links (sets linked with this one that were compared).
+def link_counts(tokens: np.ndarray, ends: np.ndarray, side: np.ndarray, within: bool, percent: int) -> np.ndarray:
+    """How many of the others each set links with, or how many of those of another side; set i is tokens[ends[i]:ends[i + 1]]."""
+    order = np.argsort(np.diff(ends), kind="stable")
+    n, side = np.diff(ends)[order], side[order]
+    stops = np.cumsum(n)
+    _, known = np.unique(tokens, return_inverse=True)
+    known = np.concatenate([known[ends[i] : ends[i + 1]] for i in order])
+    own = np.split(known, stops[:-1])
+    mark = np.zeros(int(known.max()) + 1, bool)
+    pivot = len(n) // 2
+    mark[own[pivot]] = True
+    o = np.add.reduceat(mark[known], stops - n, dtype=np.int64)
+    mark[own[pivot]] = False
+    counts = np.zeros(len(n), np.int64)
+    last = np.searchsorted(n * percent, 100 * n, "right")  # larger sets have no link with this one
+    for x in range(len(n)):
+        y = np.arange(x + 1, last[x])
+        if not within:
+            y = y[side[y] != side[x]]
+        least = -(-percent * (n[x] + n[y]) // (100 + percent))
+        sure = o[x] + o[y] - n[pivot] >= least
+        open_ = ~sure & (np.minimum(o[x], o[y]) + np.minimum(n[x] - o[x], n[y] - o[y]) >= least)
+        hit = y[sure]
+        y, least = y[open_], least[open_]
+        if len(y):
+            mark[own[x]] = True
+            shared = np.add.reduceat(mark[np.concatenate([own[i] for i in y])], np.cumsum(n[y]) - n[y], dtype=np.int64)
+            mark[own[x]] = False
+            hit = np.concatenate((hit, y[shared >= least]))
+        counts[x] += len(hit)
+        counts[hit] += 1
+    out = np.empty(len(n), np.int64)
+    out[order] = counts
+    return out
+
+
+def _count_links(percent: int):
+    """Some pairs of chunks: for each set of one how many sets it links with there."""
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        keys = [group.column(c).to_numpy() for c in ("label", "lo", "hi")]
+        chunk = group.column("chunk").to_numpy()
+        lists = group.column("tokens").chunk(0)
+        values, cuts = lists.values.to_numpy(), lists.offsets.to_numpy()
+        order = np.lexsort(keys[::-1])
+        new = np.any([k[order][1:] != k[order][:-1] for k in keys], axis=0)
+        counts = np.zeros(len(order), np.int64)
+        for rows in np.split(order, np.flatnonzero(new) + 1):
+            if len(rows) > 1:
+                own = [values[cuts[i] : cuts[i + 1]] for i in rows]
+                counts[rows] = link_counts(np.concatenate(own), np.cumsum([0, *map(len, own)]), chunk[rows], keys[1][rows[0]] == keys[2][rows[0]], percent)
+        out = pa.table({"rep": group.column("rep"), "n_links": pa.array(counts)})
+        release()
+        return out
+
+    return run
+
+
+def _degrees(label: DataFrame, sets: DataFrame, percent: int, buckets: int) -> DataFrame:
+    """(rep, n_links) for the nodes of label: with how many sets of its component each set links."""
+    id_type = label.schema["node"].dataType.simpleString()
+    member = sets.select("rep", F.size("tokens").alias("n")).join(label.withColumnRenamed("node", "rep"), "rep")
+    member = stored(member)
+    chunks = F.ceil(F.greatest(F.sum("n") / CHUNK_TOKENS, F.count(F.lit(1)) / CHUNK_SETS)).cast("int")
+    member = member.join(member.groupBy("label").agg(chunks.alias("q")), "label")
+    member = stored(member.select("rep", F.xxhash64("label").alias("label"), "q", F.pmod(F.xxhash64("rep"), "q").cast("int").alias("chunk")))
+    pairs = sets.join(member.hint("merge"), "rep").withColumn("with", F.explode(F.sequence(F.lit(0), F.col("q") - 1)))
+    pairs = pairs.withColumn("lo", F.least("chunk", "with")).withColumn("hi", F.greatest("chunk", "with"))
+    group = F.when(F.col("q") == 1, F.pmod("label", F.lit(buckets))).otherwise(F.xxhash64("label", "lo", "hi"))
+    pairs = pairs.select(group.alias("g"), "label", "lo", "hi", "chunk", "rep", "tokens")
+    found = pairs.groupBy("g").applyInArrow(_count_links(percent), f"rep {id_type}, n_links long")
+    return found.groupBy("rep").agg(F.sum("n_links").alias("n_links"))
+
+
+def linked_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, width: int = WIDTH, part_tokens: int = PART_TOKENS, count_links: bool = True) -> DataFrame:
+    """One row for each row of docs: id_col, n_shingles, component_id, and if count_links n_links (how many other sets this one links with).
 
     A-Z count as lower case; words are ``[^\\x20\\x09-\\x0D]+``.  The set of a
     text has the distinct shingles of ``width`` words, or the whole sequence of
@@ -216,6 +297,7 @@ def linked_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     docs_ = about.unionByName(answers, allowMissingColumns=True).groupBy("chunk").applyInArrow(_assemble(percent, to_arrow_type(kind)), f"id {id_type}, n long, s1 long, s2 long, alone long, tokens array<long>")
     docs_ = stored(docs_)
+    dropped(frag)
 
     classes = docs_.where("tokens is not null").groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"), F.first("alone").alias("alone"), F.first("tokens").alias("tokens"))
     classes = stored(classes)
@@ -271,16 +353,20 @@ def linked_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     links = known.unionByName(more).where(linked).select("a", "b")
     if not more.where(linked).isEmpty():
         label = stored(components(links))
-    degree = links.select(F.col("a").alias("rep")).union(links.select("b")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
-    of = classes.select("n", "s1", "s2", "rep").join(label.select(F.col("node").alias("rep"), "label"), "rep", "left").join(degree, "rep", "left")
+    of = classes.select("n", "s1", "s2", "rep").join(label.select(F.col("node").alias("rep"), "label"), "rep", "left")
+    if count_links:
+        of = of.join(stored(_degrees(label, sets, percent, 4 * parts)), "rep", "left")
+    else:
+        of = of.withColumn("n_links", F.lit(None).cast("long"))
     of = stored(of.select("n", "s1", "s2", F.coalesce("label", "rep").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")))
     out = docs_.select("id", "n", "s1", "s2").join(of, ["n", "s1", "s2"], "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce(F.when(F.col("n") > 0, F.col("component_id")), F.col("id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    out = out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce(F.when(F.col("n") > 0, F.col("component_id")), F.col("id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return out if count_links else out.drop("n_links")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of docs whose id is the smallest of their component, and those without an id."""
-    own = linked_components(docs, id_col, text_col, **options).where(F.col(id_col) != F.col("component_id")).select(F.col(id_col)).distinct()
+    own = linked_components(docs, id_col, text_col, count_links=False, **options).where(F.col(id_col) != F.col("component_id")).select(F.col(id_col)).distinct()
     return docs.join(stored(own), id_col, "left_anti")
 
 

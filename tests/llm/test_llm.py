@@ -148,6 +148,22 @@ def test_jaccard_join(spark, odd, docs, none):
     assert kept == {c for _, _, c in plain_links([(r["doc_id"], r["text"]) for r in rows(docs)])}
 
 
+def test_jaccard_link_counts(spark, docs, monkeypatch):
+    """n_links against all pairs of different sets, with components whole and dealt into many chunks."""
+    near = [(i, t) for i, t in families()]
+    for df, chunk in ((spark.createDataFrame(near, "doc_id long, text string"), 1000), (spark.createDataFrame(near, "doc_id long, text string"), 20), (docs, 1000)):
+        monkeypatch.setattr(setjoin, "CHUNK_SETS", chunk)
+        own = {r["doc_id"]: shingles(r["text"]) for r in rows(df)}
+        sets, index, links = list(set(own.values())), defaultdict(list), Counter()
+        for k, s in enumerate(sets):
+            for j, o in Counter(j for x in s for j in index[x]).items():
+                if 100 * o >= 80 * (len(s) + len(sets[j]) - o):
+                    links.update((s, sets[j]))
+            for x in s:
+                index[x].append(k)
+        assert {r["doc_id"]: r["n_links"] for r in rows(setjoin.linked_components(df, part_tokens=500))} == {i: links[s] for i, s in own.items()}
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 150), (150, 120), (7, 7)]
     got = {r["node"]: r["label"] for r in rows(components(spark.createDataFrame(edges, "a long, b long")))}
