@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,11 +58,12 @@ def stale(links: DataFrame, causes: DataFrame, written) -> DataFrame:
     return state.join(causes, "slug", "left").select("slug", F.coalesce("cause", F.lit("Dependency")).alias("cause"), F.when(F.col("cause").isNull(), F.col("root")).alias("root"))
 
 
-def communities(links: DataFrame, pages: DataFrame, rounds: int, written) -> DataFrame:
+def communities(links: DataFrame, pages: DataFrame, rounds: int | None, written) -> DataFrame:
     """(slug, community): modularity moves by synchronous label steps on the undirected simple graph, distributed and deterministic.
 
     Each page takes the label of the largest modularity gain among its neighbours' (ties: the smaller label), in every
-    second round only towards smaller labels, so two pages do not swap for ever. Pages without links are left out.
+    second round only towards smaller labels, so two pages do not swap for ever. Pages without links are left out. It takes so many rounds, or with None goes on
+    until a pair of rounds moves no page (or leads back to labels met before, from where it would only repeat itself).
     """
     known = links.join(pages, F.col("source") == F.col("slug"), "left_semi").join(pages, F.col("target") == F.col("slug"), "left_semi")
     pairs = known.select(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")).distinct()
@@ -68,7 +71,13 @@ def communities(links: DataFrame, pages: DataFrame, rounds: int, written) -> Dat
     degree = written(both.groupBy("a").agg(F.count(F.lit(1)).alias("k")))
     total = degree.agg(F.sum("k")).first()[0] or 1
     label = written(degree.select("a", "k", F.col("a").alias("c")))
-    for i in range(rounds):
+    seen = set()
+    for i in itertools.count() if rounds is None else range(rounds):
+        if rounds is None and i % 2 == 0:
+            mark = label.agg(F.sum(F.xxhash64("a", "c").cast("decimal(38,0)"))).first()[0]
+            if mark in seen:
+                break
+            seen.add(mark)
         volume = written(label.groupBy("c").agg(F.sum("k").alias("v")))
         near = both.join(label.select(F.col("a").alias("b"), "c"), "b").groupBy("a", "c").agg(F.count(F.lit(1)).alias("w"))
         own = label.select("a", "k", F.col("c").alias("now"))

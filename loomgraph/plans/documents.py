@@ -74,7 +74,7 @@ def _(s, d):
 
 @query("d7_communities")
 def _(s, d):
-    return D.communities(links(s, d), pages(s, d), 6, written)
+    return D.communities(links(s, d), pages(s, d), None, written)
 
 
 @query("a10_cohesion", f"""WITH {LINKS}, p AS (SELECT DISTINCT least(source, target) AS a, greatest(source, target) AS b FROM links), s AS (SELECT slug % 25 AS community, count(*) AS size FROM pages_ GROUP BY ALL),

@@ -56,6 +56,22 @@ def test_communities(spark):
     assert {r[2] for r in rows(links.cohesion(e, found))} == {1.0}
 
 
+def test_communities_settle(spark):
+    """Without a number of rounds, no page of a chain is left with a move that gains; after 6 rounds some are."""
+    n = 24
+    e = spark.createDataFrame([(i, i + 1) for i in range(n - 1)], "source long, target long")
+    pages = spark.createDataFrame([(i,) for i in range(n)], "slug long")
+
+    def movable(label):
+        k = {i: 1 if i in (0, n - 1) else 2 for i in range(n)}
+        v = {c: sum(k[i] for i in label if label[i] == c) for c in label.values()}
+        gain = lambda i, c: sum(label.get(j) == c for j in (i - 1, i + 1)) - k[i] * (v[c] - k[i] * (label[i] == c)) / (2 * n - 2)
+        return [i for i in label if any(gain(i, label[j]) > max(gain(i, label[i]), 0) + 1e-9 for j in (i - 1, i + 1) if j in label)]
+
+    assert movable(dict(links.communities(e, pages, 6, written).collect()))
+    assert not movable(dict(links.communities(e, pages, None, written).collect()))
+
+
 def test_vectors(spark):
     v = spark.createDataFrame([(0, [0.0, 1.0]), (1, [1.0, 0.0]), (2, None), (3, [-1.0, 0.0])], "k long, v array<float>")
     assert rows(v.select("k", retrieval.cosine_distance(v["v"], [1.0, 0.0]))) == [(0, 1.0), (1, 0.0), (2, None), (3, 2.0)]
