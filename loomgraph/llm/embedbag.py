@@ -155,6 +155,6 @@ def train(texts: list[str], labels: list, features: Features, dim: int = 16, epo
     order = np.argsort(-sure, kind="stable")
     wrong = np.cumsum(~right[order]) / np.arange(1, len(order) + 1)
     fine = np.flatnonzero(wrong <= target_error)
-    model.reject_below = min(0.95, float(sure[order[fine[-1]]])) if len(fine) else 1.0
+    model.reject_below = float(sure[order[fine[-1]]]) if len(fine) else 1.0
     model.report = {"kept_back": len(test), "accuracy": float(right.mean()), "temperature": model.temperature, "reject_below": model.reject_below}
     return model

@@ -481,6 +481,17 @@ def test_model_reads_whole_texts_one_by_one():
     assert model.classes[p[2].argmax()] == "en" and model.classes[p[4].argmax()] == "de"
 
 
+def test_rejection_keeps_its_promise(monkeypatch):
+    """Sure but wrong predictions take the threshold beyond 0.95."""
+    margin = np.array([80.0] * 10 + [-60.0] + [60.0] * 9)  # of the right class, text by text kept back
+    monkeypatch.setattr(embedbag.Model, "logits", lambda self, column: np.stack([margin, 0 * margin], axis=1))
+    model = embedbag.train(["x"] * 100, ["b"] + ["a"] * 99, embedbag.Features(buckets=1 << 6), epochs=1, steps=1)
+    assert model.reject_below > 0.95
+    p = embedbag.softmax(np.stack([margin, 0 * margin], axis=1) / model.temperature)
+    accepted = p.max(axis=1) >= model.reject_below
+    assert accepted.sum() == 10 and (margin[accepted] > 0).all()
+
+
 def test_hashing():
     texts = ["A b\tC", "", "  x ", "éa b\x0cc", "d"]
     for _, _, data, ends in hashing.chunks(pa.array(texts)):
