@@ -201,8 +201,13 @@ def test_bpe_long_pieces(tokens):
     own = bpe.encoder(*bpe.vocabulary())
     for text in ("a" * 5000, "ab" * 3000, "".join(rng.choice(list("theandingstroé"), 4000)), "!?" * 700, " " * 300 + "x", "<|endoftext|>", "\r\n\r\n x"):
         assert own.encode(text).tolist() == tokens.encode_ordinary(text)
+    plain = bpe.Encoder(*bpe.vocabulary(), remember=50)
+    assert plain.latin and bpe.beyond("a\x1cb") and bpe.beyond("\u0250") and not bpe.beyond("aß\u024f")
+    texts = ["".join(rng.choice(list("abcdeinotrsühé漢🙂 \x1c\n1²'"), n)) for n in rng.integers(0, 400, 200)] + ["the and in an " * 400_000, "banana" * 30_000]
+    assert [bpe.numbers(x).tolist() for x in plain.id_texts(texts)] == [tokens.encode_ordinary(t) for t in texts]
+    assert all(plain.decode(x).decode() == t for x, t in zip(plain.id_texts(texts), texts, strict=True))
     own.forget()
-    assert not own.packed and not own.older
+    assert not own.packed and not own.packed.older
     for _ in range(300):
         text = "".join(rng.choice(list("abcdeino "), rng.integers(1, 60)))
         assert own.encode(text).tolist() == tokens.encode_ordinary(text)
