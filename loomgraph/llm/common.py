@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -16,16 +17,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else (as in tests, on one machine) one made here."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local master (tests, one machine) gets one here; on a cluster it is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found is None:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="loom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path below the shared folder. Whatever is there when the driver ends goes with it."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    of = spark._jvm.org.apache.hadoop.fs.Path(path)
+    of.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(of)
+    return path
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -33,17 +40,17 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, "stage")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
 
 
 def dropped(*frames: DataFrame) -> None:
     """Deletes what stored() wrote, once no plan reads it any more."""
     for df in frames:
         spark = df.sparkSession
-        for name in {x.rpartition("/")[0] for x in df.inputFiles()}:
-            path = spark._jvm.org.apache.hadoop.fs.Path(name)
-            if path.getName().startswith("stage-"):
-                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def release() -> None:

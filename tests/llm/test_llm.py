@@ -80,6 +80,36 @@ def test_exact_dedup(odd, docs, none, block):
     assert rows(blocknames.exact_dedup(none)) == []
 
 
+def test_exact_dedup_when_scans_are_cut_differently(spark, docs, monkeypatch):
+    """Another number of cores between two jobs cuts scans elsewhere; no row may be lost by that."""
+    want = plain_exact([(r["doc_id"], r["text"]) for r in rows(docs)])
+    real, settings = blocknames.stored, iter(["4k", "128m", "16k", "64k"] * 20)
+
+    def other(df):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", next(settings))
+        return real(df)
+
+    monkeypatch.setattr(blocknames, "stored", other)
+    try:
+        got = blocknames.exact_dedup(docs, block_bytes=64)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+        assert Counter((r["doc_id"], r["keep_id"], r["group_size"], r["kept"], r["text_sha256"]) for r in rows(got)) == want
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_exact_dedup_of_hot_blocks(spark):
+    """Texts that consist of one block or share most of theirs, and are yet told apart."""
+    texts = ["z" * n for n in (7, 70_000, 70_000, 70_007)] + ["header " * 3 + str(i // 2) for i in range(400)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = Counter((r["doc_id"], r["keep_id"], r["group_size"], r["kept"], r["text_sha256"]) for r in rows(blocknames.exact_dedup(df, block_bytes=7)))
+    assert got == plain_exact(list(enumerate(texts)))
+    named = Counter()
+    for r in rows(blocknames.identities(df, block_bytes=7)[1]):
+        named[r["uid"]] += 1
+    assert set(named.values()) == {1}
+
+
 # --- 5: n-gram Jaccard join
 
 
