@@ -308,7 +308,7 @@ def linked_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     guest = entry.select("token", (F.col("band") - 1).alias("block"), "rep", "n", "alone", "room", F.lit(False).alias("home"))
     far = home.groupBy("token", "block").agg(F.max("room").alias("most"))
     guest = guest.join(far, ["token", "block"]).where(F.col("most") * 100 >= percent * F.col("n")).drop("most")
-    members = stored(home.unionByName(guest))
+    members = listed = stored(home.unionByName(guest))
     pivot = F.min(F.struct((F.col("alone") / F.col("n")).alias("by"), F.col("rep").alias("r"), F.col("n").alias("rn"), F.col("room").alias("rroom")))
     lists = stored(members.groupBy("token", "block").agg(F.count(F.lit(1)).alias("k"), pivot.alias("p")).where("k > 1").select("token", "block", "p.*").drop("by"))
     members = members.join(lists, ["token", "block"])
@@ -326,17 +326,22 @@ def linked_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     # What the pivots' answers leave open.
     m = members.join(label.select(F.col("node").alias("rep"), "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     m = m.join(label.select(F.col("node").alias("r"), F.col("label").alias("rlabel")), "r", "left").withColumn("rlabel", F.coalesce("rlabel", "r"))
-    m = stored(m)
+    m = first_m = stored(m)
+    dropped(listed, lists)
     several = m.groupBy("token", "block").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.sum((F.col("label") != F.col("rlabel")).cast("int")).alias("others")).where("lo != hi").select("token", "block")
-    m = m.join(stored(several), ["token", "block"])
+    several = stored(several)
+    m = m.join(several, ["token", "block"])
     m = m.withColumn("a", F.least("rep", "r")).withColumn("b", F.greatest("rep", "r")).join(known.select("a", "b", "o"), ["a", "b"], "left").drop("a", "b")
     m = m.withColumn("o", F.when(F.col("rep") == F.col("r"), F.col("n")).otherwise(F.col("o"))).withColumn("inside", F.col("label") == F.col("rlabel"))
-    m = stored(m.where("rep != r"))
+    m = second_m = stored(m.where("rep != r"))
+    dropped(first_m, several)
     reach = m.groupBy("token", "block").agg(F.max(F.when(F.col("inside"), F.coalesce(F.col("n") - F.col("o"), F.col("n")))).alias("in_new"), F.max(F.when(~F.col("inside"), F.coalesce("o", "n"))).alias("out_o"))
-    m = m.join(stored(reach), ["token", "block"])
+    reach = stored(reach)
+    m = m.join(reach, ["token", "block"])
     # x inside needs new tokens enough to make up what the others have less of the pivot.
     m = m.where(~F.col("inside") | F.col("o").isNull() | ((F.col("n") - F.col("o") + F.col("out_o")) * 100 >= percent * F.col("n")))
     m = stored(m.select("token", "block", "rep", "n", "room", "o", "label", "inside", "home"))
+    dropped(second_m, reach)
     x = m.where(~F.col("inside")).alias("x")
     y = m.alias("y")
     c = lambda s, n: F.col(f"{s}.{n}")
@@ -349,7 +354,9 @@ def linked_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     )
     first = c("x", "rep") < c("y", "rep")
     open_ = open_.select(F.least(c("x", "rep"), c("y", "rep")).alias("a"), F.greatest(c("x", "rep"), c("y", "rep")).alias("b"), F.when(first, c("x", "n")).otherwise(c("y", "n")).alias("na"), F.when(first, c("y", "n")).otherwise(c("x", "n")).alias("nb")).distinct().join(known.select("a", "b"), ["a", "b"], "left_anti")
-    more = stored(_overlaps(stored(open_), sets))
+    open_ = stored(open_)
+    more = stored(_overlaps(open_, sets))
+    dropped(m, open_)
     links = known.unionByName(more).where(linked).select("a", "b")
     if not more.where(linked).isEmpty():
         label = stored(components(links))
@@ -359,14 +366,21 @@ def linked_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     else:
         of = of.withColumn("n_links", F.lit(None).cast("long"))
     of = stored(of.select("n", "s1", "s2", F.coalesce("label", "rep").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")))
+    dropped(known, more, sets, classes, label)
     out = docs_.select("id", "n", "s1", "s2").join(of, ["n", "s1", "s2"], "left")
     out = out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce(F.when(F.col("n") > 0, F.col("component_id")), F.col("id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     return out if count_links else out.drop("n_links")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs whose id is the smallest of their component, and those without an id."""
-    own = linked_components(docs, id_col, text_col, count_links=False, **options).where(F.col(id_col) != F.col("component_id")).select(F.col(id_col)).distinct()
+    """Of each component the row with the smallest id, and all rows without words.
+
+    Rows that repeat an id are told apart by their sets: of a component with
+    several rows of its smallest id, one set stays with all its rows.  A component
+    whose rows all lack an id keeps one of its sets.
+    """
+    own = linked_components(docs, id_col, text_col, count_links=False, **options)
+    own = own.where((F.col("n_shingles") > 0) & ~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col)).distinct()
     return docs.join(stored(own), id_col, "left_anti")
 
 

@@ -285,22 +285,45 @@ def test_mixing(odd, docs, none):
     assert times == sorted(times) and all(r["first_position"] is None for r in order[len(times) :])
 
 
-def test_curriculum_follows_schedules(docs):
+@pytest.mark.parametrize("schedules", [mixing.SCHEDULES, ((0.0, 1.0, 0.0), (3.0, 1.0), (1.0, 0.0, 0.0, 5.0))])
+def test_curriculum_follows_schedules(docs, schedules):
     """Each source's share of the tokens up to time t is the integral of its schedule."""
-    own = [r for r in rows(mixing.plan(docs)) if r["positions"]]
+    own = [r for r in rows(mixing.plan(docs, schedules=schedules)) if r["positions"]]
     done = defaultdict(list)
     for r in own:
         done[r["source"]] += [(t, r["size"], r["target"]) for t in r["positions"]]
-    names = sorted(done)
-    for s in names:
-        i = sorted({r["source"] for r in rows(docs)}).index(s) % 3
-        slope = 0.6 - 0.6 * i
+    order = sorted({r["source"] for r in rows(docs)})
+    for s in sorted(done):
+        rates = schedules[order.index(s) % len(schedules)]
+        grid = np.linspace(0, 1, 100_001)
+        rate = np.interp(grid, np.linspace(0, 1, len(rates)), rates)
+        demand = np.concatenate(([0], np.cumsum((rate[1:] + rate[:-1]) / 2)))
+        demand /= demand[-1]
         before = 0
         for t, size, target in sorted(done[s]):
-            assert abs(target * (t + slope * (t - t * t)) - before) <= max(x for _, x, _ in done[s]) * 2
+            assert abs(target * np.interp(t, grid, demand) - before) <= max(x for _, x, _ in done[s]) * 2 + 1e-3 * target
             before += size
 
 
+def test_mixed_by_rows(spark):
+    """Repeated ids, repeated rows, null ids and columns that clash: as many rows of each text as the plan has copies."""
+    data = [(i % 40 if i % 7 else None, some_text(600 + i % 60, 5 + i % 30), ["a", None, "b"][i % 3], i % 2) for i in range(200)] + [(5, "same words here", "a", 1)] * 30 + [(6, None, "a", 0)]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string, mix_0 long")
+    got = rows(mixing.mixed(df))
+    assert set(got[0]) == set(df.columns)
+    each = Counter((r["doc_id"], r["text"], r["source"], r["mix_0"]) for r in got)
+    there = Counter(data)
+    assert all(v <= 2 * there[k] for k, v in each.items())
+    sizes, words = Counter(), Counter()
+    for _, text, source, _ in data:
+        sizes[source] += len((text or "").split())
+    for r in got:
+        words[r["source"]] += len(r["text"].split())
+    for s, target in plain_targets(dict(sizes)).items():
+        assert target - 35 <= words[s] <= target + 1e-6
+    assert each == Counter((r["doc_id"], r["text"], r["source"], r["mix_0"]) for r in rows(mixing.mixed(df.repartition(3))))
+
+
 # --- 4: media
 
 
