@@ -19,7 +19,7 @@ def running(df: DataFrame, order: list[Column], sums: dict[str, Column], written
     ranged = written(df.repartitionByRange(*order).withColumn(part, F.spark_partition_id()))
     totals = ranged.groupBy(part).agg(*[F.sum(sums[n]).alias(n) for n in names])
     kinds = [(f.name, f.dataType) for f in totals.schema][1:]
-    before, offsets = [0] * len(names), []
+    before, offsets = [0.0 if t.typeName() == "double" else 0 for _, t in kinds], []
     for row in sorted(totals.collect()):  # a row for each range, which are as many as shuffle partitions
         offsets.append((row[0], *before))
         before = [a + (b or 0) for a, b in zip(before, row[1:], strict=True)]
