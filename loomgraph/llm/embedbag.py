@@ -1,9 +1,12 @@
 """Averaged hashed subword embeddings with a linear softmax, trained by stochastic gradient descent in numpy.
 
-A text's features are hashed: its words (lower-cased or not) and the n-grams of
-its UTF-8 bytes, blanks included, so that n-grams also mark where words begin and
-end; on request also whether each word equals the one before.  Every feature has a learned vector; a text's vector is the mean over all its
-features, words and n-grams weighted alike by kind.  As that mean and the output
+A text's features are hashed: its words and, on request, n-grams of words (both
+lower-cased), and the n-grams of its characters (code points, lower-cased or not),
+blanks included, so that they also mark where words begin and end.  A word n-gram
+is hashed without regard to the order of its words (exclusive or), so that pairs of
+equal words share one learned vector, and texts that repeat words are told by it
+also where the word itself was never learned.  Every feature has a learned vector; a text's vector is the
+mean over all its features, words and n-grams weighted alike by kind.  As that mean and the output
 layer are both linear, a trained model is folded into one table (bucket x class)
 for prediction, which is then a gather and a segmented sum over the whole text.
 """
@@ -24,39 +27,41 @@ class Features:
     buckets: int = 1 << 16
     grams: tuple[int, ...] = (3, 4)
     lower: bool = True
-    repeats: bool = False
+    words: int = 1
 
     @property
     def kinds(self) -> int:
-        return 1 + self.repeats + len(self.grams)
+        return self.words + len(self.grams)
 
     def of(self, data: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For each kind of feature: (buckets of all features in order, for each row where its features begin, one more entry at the end)."""
+        bits = int(self.buckets).bit_length() - 1
         starts, stops, words = hashing.word_spans(data, ends)
-        shift = np.uint64(64 - int(self.buckets).bit_length() + 1)
         h = hashing.span_hashes(data, starts, stops)
-        yield (h >> shift).astype(np.int64), words
-        if self.repeats:  # a word bigram known only by whether its two words are equal
-            same = np.zeros(len(h), np.int64)
-            same[1:] = h[1:] == h[:-1]
-            same[words[:-1][words[:-1] < len(h)]] = 0
-            yield same, words
-        d = data
+        yield (h >> np.uint64(64 - bits)).astype(np.int64), words
+        code = h
+        for n in range(2, self.words + 1):
+            code = code[: max(0, len(h) - n + 1)] ^ h[n - 1 :]
+            room = np.maximum(np.diff(words) - n + 1, 0)
+            inside = np.repeat(words[:-1] - np.concatenate(([0], np.cumsum(room)[:-1])), room) + np.arange(int(room.sum()))  # n-grams do not cross texts
+            yield (hashing.mix(code[inside]) >> np.uint64(64 - bits)).astype(np.int64), np.concatenate(([0], np.cumsum(room)))
+        points = np.frombuffer(data.tobytes().decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32)
+        ends = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))[ends]
         if self.lower:
-            d = data.copy()
-            d[(d >= 65) & (d <= 90)] += 32
-        d = d.astype(np.uint32)
+            points = points + np.uint32(32) * ((points >= 65) & (points <= 90))
         for n in self.grams:
-            if len(d) < n:
+            if len(points) < n:
                 yield np.zeros(0, np.int64), np.zeros(len(ends), np.int64)
                 continue
-            code = d[: len(d) - n + 1].copy()
-            for k in range(1, n):
-                code |= d[k : len(d) - n + 1 + k] << np.uint32(8 * k)
-            code *= np.uint32(0x9E3779B1)
+            code = np.full(len(points) - n + 1, n, np.uint32)
+            for k in range(n):
+                code *= np.uint32(0x01000193)
+                code ^= points[k : len(points) - n + 1 + k]
             code ^= code >> np.uint32(15)
-            code *= np.uint32(0x85EBCA6B + 2 * n)
-            code >>= np.uint32(32 - int(self.buckets).bit_length() + 1)
+            code *= np.uint32(0x85EBCA6B)
+            code ^= code >> np.uint32(13)
+            code *= np.uint32(0x9E3779B1)
+            code >>= np.uint32(32 - bits)
             room = np.maximum(np.diff(ends) - n + 1, 0)
             if len(room) > 1:  # n-grams do not cross texts
                 keep = np.ones(len(code), bool)
@@ -105,10 +110,10 @@ def train(texts: list[str], labels: list, features: Features, dim: int = 16, epo
     It takes epochs passes, and more until it has taken steps steps.  A
     prediction is to be rejected when its calibrated probability is below the
     lowest threshold at which at most target_error of the accepted texts kept
-    back are wrong.
+    back are wrong.  Without texts the model has no classes.
     """
     if not texts:
-        raise ValueError("there are no labelled texts to learn from")
+        return Model([], features, np.zeros((features.buckets, 0), np.float32), np.zeros(0))
     classes = sorted(set(labels))
     y = np.array([classes.index(x) for x in labels])
     bags = []

@@ -1,6 +1,8 @@
 """Every operator of the subpackage against a plain version, on awkward rows and on the smallest tables."""
 
+import functools
 import hashlib
+import operator
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -508,9 +510,22 @@ def test_language_id(spark, odd, none):
     assert (both["held_out"] == [zlib.crc32(str(i).encode()) % 3 == 1 for i in both.index]).all()
     assert (both["lang_pred"] == both["lang"])[both["held_out"]].mean() >= 0.98 and both["score"].between(0, 1).all()
     model = langid.fit(spark.read.parquet(f"{path}/documents.parquet"), bound=150)
-    for r in rows(langid.identify(odd, model).join(odd.select("doc_id", "text"), "doc_id")):
-        assert (r["lang_pred"] == "und") == (not any(c.isalpha() for c in r["text"] or "")) or r["doc_id"] in (0, 1, 2)
+    known = Counter((r["doc_id"], not any(c.isalpha() for c in r["text"] or "")) for r in rows(odd))
+    assert Counter((r["doc_id"], r["lang_pred"] == "und") for r in rows(langid.identify(odd, model))) == known
     assert rows(langid.identify(none, model)) == []
+    blank = langid.fit(none)
+    assert rows(langid.identify(none, blank)) == [] and {(r["lang_pred"], r["score"], r["accepted"]) for r in rows(langid.identify(odd, blank))} == {("und", 0.0, False)}
+
+
+def test_labelled_sample(spark):
+    """Rows that repeat an id count once, whatever the order they come in, and no more than the bound are taken."""
+    data = [(i % 50, f"text {i}", ["en", "de"][i % 2]) for i in range(600)] + [(None, "x", "en"), (7, None, None)]
+    got = []
+    for k in (1, 5):
+        df = spark.createDataFrame(data, "id long, text string, label string").repartition(k)
+        got.append(langid.labelled_sample(df.select("id", "label"), df.where("label is not null"), 20))
+    assert got[0] == got[1] and len(got[0][0]) == 20 and len(set(got[0][0])) == 20
+    assert langid.labelled_sample(df.select("id", "label"), df, 0) == ([], [])
 
 
 def test_quality(spark, odd, none):
@@ -525,8 +540,98 @@ def test_quality(spark, odd, none):
     scored = rows(quality.score(odd, model))
     assert len(scored) == odd.count() and all(0 <= r["score"] <= 1 for r in scored) and set(scored[0]) == set(odd.columns) | {"predicted"}
     assert rows(quality.score(none, model)) == []
-    with pytest.raises(ValueError):
-        quality.fit(none, spark.createDataFrame([], "doc_id long, quality int"))
+    blank = quality.fit(none, spark.createDataFrame([], "doc_id long, quality int"))
+    assert rows(quality.score(none, blank)) == [] and {(r["score"], r["predicted"]) for r in rows(quality.score(odd, blank))} == {(0.5, 1)}
+    assert set(rows(quality.score(odd, model, score_col="own", predicted_col="kept"))[0]) == set(odd.columns) | {"own", "kept"}
+
+
+def plain_features(text, features):
+    """(bucket, weight) of each feature, by loops over words and characters."""
+    top = 1 << 64
+
+    def mixed(h):
+        h ^= h >> 33
+        h = h * 0xFF51AFD7ED558CCD % top
+        h ^= h >> 29
+        h = h * 0xC4CEB9FE1A85EC53 % top
+        return h ^ h >> 32
+
+    bits, kinds = features.buckets.bit_length() - 1, []
+    own = []
+    for word in re.findall(rb"[^\x20\x09-\x0D]+", text.encode()):
+        h = sum((b + 1 + 32 * (65 <= b <= 90)) * pow(0x9E3779B97F4A7C15, k, top) for k, b in enumerate(word)) % top
+        own.append(mixed(h))
+    kinds.append([h >> (64 - bits) for h in own])
+    for n in range(2, features.words + 1):
+        kinds.append([mixed(functools.reduce(operator.xor, own[i : i + n])) >> (64 - bits) for i in range(len(own) - n + 1)])
+    chars = [ord(c) + 32 * (features.lower and "A" <= c <= "Z") for c in text]
+    for n in features.grams:
+        own = []
+        for i in range(len(chars) - n + 1):
+            code = n
+            for c in chars[i : i + n]:
+                code = code * 0x01000193 % (1 << 32) ^ c
+            code ^= code >> 15
+            code = code * 0x85EBCA6B % (1 << 32)
+            code ^= code >> 13
+            code = code * 0x9E3779B1 % (1 << 32)
+            own.append(code >> (32 - bits))
+        kinds.append(own)
+    return [(b, 1 / (len(own) * features.kinds)) for own in kinds for b in own]
+
+
+@pytest.mark.parametrize("features", [langid.FEATURES, quality.FEATURES])
+def test_features_and_scores_against_loops(features):
+    texts = ["Ünïcode ß 漢字 🙂 words", "", None, "The the cat\nsat  on", "x", some_text(4, 90)]
+    model = embedbag.Model([0, 1, 2], features, np.random.default_rng(0).normal(size=(features.buckets, 3)).astype(np.float32), np.array([0.1, -0.2, 0.3]), temperature=1.7)
+    want = []
+    for text in texts:
+        z = model.bias.copy()
+        for bucket, weight in plain_features(text or "", features):
+            z += weight * model.table[bucket].astype(float)
+        want.append(z)
+    assert np.allclose(model.logits(pa.array(texts)), want, atol=1e-5)
+    z = np.exp(np.array(want) / 1.7)
+    assert np.allclose(model.probabilities(pa.array(texts)), z / z.sum(axis=1, keepdims=True), atol=1e-5)
+
+
+def test_training_against_loops():
+    """A few steps of gradient descent, number by number."""
+    features, texts, labels = embedbag.Features(buckets=1 << 8, grams=(2,)), ["ab cd", "ab", "x y z", "cd x"], ["p", "q", "p", "q"]
+    dim, steps, rate = 3, 12, 2.0
+    model = embedbag.train(texts, labels, features, dim=dim, epochs=3, steps=steps, rate=rate, seed=5)
+    rng = np.random.default_rng(5)
+    emb = rng.normal(0, 0.1, (features.buckets, dim)).astype(np.float32).tolist()
+    out = rng.normal(0, 0.5, (dim, 2)).astype(np.float32).tolist()
+    bias, done = [0.0, 0.0], 0
+    for _ in range(3):
+        for i in rng.permutation(np.arange(4)):
+            weights = defaultdict(float)  # by kind, as the same bucket of two kinds is updated once for each
+            kinds = {}
+            for n, (b, w) in enumerate(plain_features(texts[i], features)):
+                kind = 0 if n < len(texts[i].split()) else 1
+                weights[kind, b] += w
+            lr = rate * (1 - done / steps) + 0.01
+            done += 1
+            mean = [sum(w * emb[b][d] for (_, b), w in weights.items()) for d in range(dim)]
+            z = [sum(mean[d] * out[d][c] for d in range(dim)) + bias[c] for c in range(2)]
+            e = [np.exp(x - max(z)) for x in z]
+            p = [x / sum(e) for x in e]
+            p[["p", "q"].index(labels[i])] -= 1
+            back = [sum(out[d][c] * p[c] for c in range(2)) for d in range(dim)]
+            norm = sum(w * w for w in weights.values()) + 1e-3
+            for (_, b), w in weights.items():
+                assert b not in kinds, "buckets must differ here"
+                kinds[b] = True
+                for d in range(dim):
+                    emb[b][d] -= w * 0.25 / norm * lr * 0.2 * back[d]
+            for d in range(dim):
+                for c in range(2):
+                    out[d][c] -= lr * 0.2 * mean[d] * p[c]
+            for c in range(2):
+                bias[c] -= lr * 0.05 * p[c]
+    want = np.array(emb) @ np.array(out)
+    assert np.allclose(model.table, want, atol=1e-4) and np.allclose(model.bias, bias, atol=1e-4)
 
 
 def test_model_reads_whole_texts_one_by_one():
