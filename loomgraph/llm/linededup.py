@@ -1,13 +1,16 @@
 """Line deduplication by winnowing over line hashes.
 
-The non-blank lines of a text, trimmed, are hashed.  In every window of ``run``
-consecutive lines the line with the least hash (of equals, the last) is a
-fingerprint; so every run of that many lines holds one, at the same place
-wherever the run occurs.  A fingerprint joins through each window that chose it,
-and so do the least lines of shorter runs that first reach ``words`` words: a line
-of that many words through itself, else the lines that only together have as many.  Its positions in the
-corpus are joined with the first of them, the match is extended both ways line
-by line, and the later run is deleted.
+The non-blank lines of a text, trimmed, are hashed.  A run of lines counts if it has
+``run`` lines or ``words`` words.  From every line begins a window, the shortest run
+that counts; the line with the least hash in it (of equals, the last) is a fingerprint.
+So every repeated run that counts holds a fingerprint, at the same place wherever the
+run occurs, and a text has far fewer of them than windows.
+
+Fingerprints are joined by their line's hash: each occurrence with the first of the
+corpus.  The match is extended both ways line by line, up to ``reach`` lines, and if the
+run counts, the later one is deleted.  A line that is common by itself may meet its first
+occurrence in other company.  Then the windows that chose it and are not part of the match
+are joined once more, by all their lines: each with the first one like it that is open too.
 """
 
 from __future__ import annotations
@@ -20,88 +23,118 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm import hashing
-from loomgraph.llm.common import stored, table
+from loomgraph.llm.common import dropped, stored, table
 
-RUN, WORDS = 3, 50
+RUN, WORDS, REACH = 3, 50, 16
 
 
-def window_minima(h: np.ndarray, run: int) -> np.ndarray:
-    """For each window of run lines, the place of its least hash; of equals, the last."""
-    if len(h) < run:
-        return np.zeros(0, np.int64)
-    w = np.lib.stride_tricks.sliding_window_view(h, run)
-    return np.arange(len(w)) + run - 1 - w[:, ::-1].argmin(axis=1)
+def windows(h: np.ndarray, sizes: np.ndarray, run: int, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(begin, end, place of the least hash) of the window from each line that has one; line i has hash h[i] and sizes[i] words."""
+    n = len(h)
+    at = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
+    begin = np.arange(n)
+    end = np.minimum(begin + run, np.searchsorted(at, at[:-1] + words, "left"))
+    begin = begin[end <= n]
+    end = end[: len(begin)]
+    place = np.zeros(len(begin), np.int64)
+    for size in range(1, run + 1):
+        own = np.flatnonzero(end - begin == size)
+        if len(own):
+            w = np.lib.stride_tricks.sliding_window_view(h, size)[begin[own]]
+            place[own] = begin[own] + size - 1 - w[:, ::-1].argmin(axis=1)
+    return begin, end, place
 
 
-def reaching(at: np.ndarray, size: int, words: int) -> np.ndarray:
-    """Where runs of size lines begin that have words words together, but not without their first or their last line; line i has at[i + 1] - at[i]."""
-    if len(at) <= size:
-        return np.zeros(0, np.int64)
-    shorter = at[size - 1 :] - at[: len(at) - size + 1]
-    return np.flatnonzero((at[size:] - at[:-size] >= words) & (np.maximum(shorter[:-1], shorter[1:]) < words))
+def hash_line(line: bytes) -> int:
+    import xxhash
+
+    return xxhash.xxh3_64_intdigest(line)
 
 
 def _lines(run: int, words: int):
+    """(id, text) to (id, lines, sizes, numbers, keys, places): the hashes, word counts and numbers of all lines; fingerprints and where they are."""
+
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mul = np.uint64(0xD6E8FEB86659FD93)
         for batch in batches:
-            lines, keys, places = [], [], []
+            lines, sizes, numbers, keys, places = [], [], [], [], []
             for text in batch.column(1):
                 whole = (text.as_py() or "").encode("utf-8", "surrogatepass")
                 trimmed = [x.strip(hashing.WHITESPACE) for x in whole.split(b"\n")]
-                numbers = [i for i, x in enumerate(trimmed) if x]
-                parts = [trimmed[i] for i in numbers]
+                own = [i for i, x in enumerate(trimmed) if x]
+                parts = [trimmed[i] for i in own]
                 data = np.frombuffer(b"".join(parts), np.uint8)
-                ends = np.cumsum([0, *map(len, parts)])
-                h = np.array([hash_line(x) for x in parts], np.uint64) if parts else np.zeros(0, np.uint64)
-                _, _, at = hashing.word_spans(data, ends)
-                long_ = np.flatnonzero(np.diff(at) >= words)
-                own_keys, own_places = [hashing.mix(h[long_] ^ np.uint64(0x5851F42D4C957F2D))], [long_]
-                for size in range(2, run + 1):
-                    chosen = window_minima(h, size)
-                    starts = np.arange(len(chosen))
-                    window = np.full(len(chosen), run - size, np.uint64)
-                    for k in range(size):
-                        window = window * mul + h[k : k + len(chosen)]
-                    # A window's key holds the fingerprint's place in it, and long lines have keys of their own.
-                    window = hashing.mix(window + (chosen - starts).astype(np.uint64))
-                    if size < run:
-                        few = reaching(at, size, words)
-                        window, chosen = window[few], chosen[few]
-                    own_keys.append(window)
-                    own_places.append(chosen)
-                keys.append(np.concatenate(own_keys).view(np.int64))
-                places.append(np.concatenate(own_places).astype(np.int32))
-                lines.append((h.view(np.int64), numbers))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([x for x, _ in lines], pa.list_(pa.int64())), pa.array([x for _, x in lines], pa.list_(pa.int32())), pa.array(keys, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int32()))],
-                ["id", "lines", "numbers", "keys", "places"],
-            )
+                h = np.fromiter(map(hash_line, parts), np.uint64, len(parts))
+                _, _, at = hashing.word_spans(data, np.cumsum([0, *map(len, parts)]))
+                count = np.diff(at).astype(np.int32)
+                chosen = np.unique(windows(h, count, run, words)[2])
+                lines.append(h.view(np.int64))
+                sizes.append(count)
+                numbers.append(own)
+                keys.append(h[chosen].view(np.int64))
+                places.append(chosen.astype(np.int32))
+            long_, int_ = pa.list_(pa.int64()), pa.list_(pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lines, long_), pa.array(sizes, int_), pa.array(numbers, int_), pa.array(keys, long_), pa.array(places, int_)], ["id", "lines", "sizes", "numbers", "keys", "places"])
 
     return go
 
 
-def hash_line(line: bytes) -> int:
-    import xxhash
+def _slice(reach: int):
+    """(id, wanted, lines, sizes) to a row for each wanted place: (id, at, low, lines, sizes), the lines from low on within reach of it."""
 
-    return xxhash.xxh3_64_intdigest(line)
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, at, low, lines, sizes = [], [], [], [], []
+            for i, (wanted, h, n) in enumerate(zip(batch.column(1), batch.column(2), batch.column(3), strict=True)):
+                wanted, h, n = wanted.values.to_numpy(), h.values.to_numpy(), n.values.to_numpy()
+                for p in wanted.tolist():
+                    a = max(0, p - reach)
+                    rows.append(i)
+                    at.append(p)
+                    low.append(a)
+                    lines.append(h[a : p + reach + 1])
+                    sizes.append(n[a : p + reach + 1])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int32())), pa.array(at, pa.int32()), pa.array(low, pa.int32()), pa.array(lines, pa.list_(pa.int64())), pa.array(sizes, pa.list_(pa.int32()))], ["id", "at", "low", "lines", "sizes"])
 
+    return go
 
-def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, at, lines, first_at, first_lines) to (id, begin, stop): the longest equal run through both places, in the later text."""
-    for batch in batches:
-        begin, stop = [], []
-        for at, own, there, other in zip(batch.column(1).to_pylist(), batch.column(2), batch.column(4).to_pylist(), batch.column(5), strict=True):
-            x, y = own.values.to_numpy(), other.values.to_numpy()
-            back = min(at, there)
-            differ = np.flatnonzero(x[at - back : at][::-1] != y[there - back : there][::-1])
-            a = at - (int(differ[0]) if len(differ) else back)
-            ahead = min(len(x) - at, len(y) - there)
-            differ = np.flatnonzero(x[at : at + ahead] != y[there : there + ahead])
-            b = at + (int(differ[0]) if len(differ) else ahead)
-            begin.append(a)
-            stop.append(b)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(begin, pa.int32()), pa.array(stop, pa.int32())], ["id", "begin", "stop"])
+
+def extended(x: np.ndarray, at: int, y: np.ndarray, there: int) -> tuple[int, int]:
+    """The longest equal run through x[at] and y[there], as a range of x."""
+    back = min(at, there)
+    differ = np.flatnonzero(x[at - back : at][::-1] != y[there - back : there][::-1])
+    begin = at - (int(differ[0]) if len(differ) else back)
+    ahead = min(len(x) - at, len(y) - there)
+    differ = np.flatnonzero(x[at : at + ahead] != y[there : there + ahead])
+    return begin, at + (int(differ[0]) if len(differ) else ahead)
+
+
+def _extend(run: int, words: int):
+    """(id, at, low, lines, sizes, first_at, first_low, first_lines) to (id, at, begin, stop, counts, open): the match, whether it counts, and the hashes of the windows that chose the place and are not part of it."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mul = 0xD6E8FEB86659FD93
+        for batch in batches:
+            begin, stop, counts, open_ = [], [], [], []
+            c = [batch.column(k) for k in range(8)]
+            for p, low, h, n, q, first_low, other in zip(c[1].to_pylist(), c[2].to_pylist(), c[3], c[4], c[5].to_pylist(), c[6].to_pylist(), c[7], strict=True):
+                h, n, other = h.values.to_numpy(), n.values.to_numpy(), other.values.to_numpy()
+                a, b = extended(h, p - low, other, q - first_low)
+                begin.append(a + low)
+                stop.append(b + low)
+                counts.append(b - a >= run or int(n[a:b].sum()) >= words)
+                left = []
+                near = max(0, p - low - run + 1)  # no window that holds the place begins earlier
+                v = h[near : p - low + run].view(np.uint64)
+                for s, e, least in zip(*windows(v, n[near : p - low + run], run, words), strict=True):
+                    if least + near == p - low and (s + near < a or e + near > b):
+                        key = int(p - low - near - s) + 1
+                        for x in v[s:e].tolist():
+                            key = (key * mul + x) % (1 << 64)
+                        left.append(key - (1 << 64) * (key >> 63))
+                open_.append(left)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(begin, pa.int32()), pa.array(stop, pa.int32()), pa.array(counts, pa.bool_()), pa.array(open_, pa.list_(pa.int64()))], ["id", "at", "begin", "stop", "counts", "open"])
+
+    return go
 
 
 def _drop_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,37 +157,64 @@ def _drop_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(removed, pa.int32()), pa.array(spans, pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())])))], ["id", "text", "lines_removed", "runs"])
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, words: int = WORDS) -> DataFrame:
+def _matches(marks: DataFrame, lines: DataFrame, run: int, words: int, reach: int) -> DataFrame:
+    """Each mark (key, id, at) but the first of its key, extended from there: (id, at, begin, stop, counts, open)."""
+    id_type = marks.schema["id"].dataType.simpleString()
+    firsts = marks.groupBy("key").agg(F.min(F.struct("id", "at")).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    firsts = stored(firsts.select("key", F.col("f.id").alias("first_id"), F.col("f.at").alias("first_at")))
+    hits = marks.join(firsts, "key").where((F.col("id") != F.col("first_id")) | (F.col("at") > F.col("first_at")))
+    hits = stored(hits.select("id", "at", "first_id", "first_at").distinct())
+    wanted = hits.select("id", "at").union(hits.select("first_id", "first_at")).distinct().groupBy("id").agg(F.collect_list("at").alias("wanted"))
+    texts = stored(wanted).join(lines.select("id", "lines", "sizes"), "id").dropDuplicates(["id"])
+    # Stored, so that Spark can split the rows of a place that many match.
+    slices = stored(texts.select("id", "wanted", "lines", "sizes").mapInArrow(_slice(reach), f"id {id_type}, at int, low int, lines array<long>, sizes array<int>"))
+    dropped(firsts)
+    other = slices.select(F.col("id").alias("first_id"), F.col("at").alias("first_at"), F.col("low").alias("first_low"), F.col("lines").alias("first_lines"))
+    pairs = hits.join(other, ["first_id", "first_at"]).join(slices, ["id", "at"])
+    pairs = pairs.select("id", "at", "low", "lines", "sizes", "first_at", "first_low", "first_lines")
+    out = stored(pairs.mapInArrow(_extend(run, words), f"id {id_type}, at int, begin int, stop int, counts boolean, open array<long>"))
+    dropped(hits, slices)
+    return out
+
+
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, words: int = WORDS, reach: int = REACH) -> DataFrame:
     """One row for each row of docs: id_col, text without later repeated runs, lines_removed, runs (first and last line number of each, from 0).
 
-    Lines are compared trimmed of ``[\\x20\\x09-\\x0D]``; blank ones are passed
-    over and kept.  Text order is by id, then line.  A line goes if it lies in
-    ``run`` consecutive lines that occur earlier, or in fewer that occur earlier
-    and have at least ``words`` words, no end of them being dispensable for that
-    (so one such line alone), or continues such a match with the first
-    occurrence.  A null text stays null, an empty one empty.  Rows that repeat
-    an id and a text count once and each get the same result; rows of one id
-    with other texts are texts of their own.  A null id comes before all others.
-    An empty table gives no rows; other columns are ignored.
-
-    A key shared by a third of all texts joins each with the first one only, so
-    matches are never more than fingerprints.
+    Lines are compared trimmed of ``[\\x20\\x09-\\x0D]``, by their 64-bit hashes;
+    blank ones are passed over and kept.  Text order is by id, then line.  A run
+    of lines counts if it has at least ``run`` lines or ``words`` words.  Every
+    run that counts and occurs earlier goes, and nothing goes that is not part
+    of a run that counts and occurs earlier.  A line or two beside a repeated
+    run that do not count by themselves go with it if they continue its match
+    with the first occurrence of its fingerprint, within ``reach`` lines of that.
+
+    A null text stays null, an empty one empty.  Rows that repeat an id and a
+    text count once and each get the same result; rows of one id with other
+    texts are texts of their own.  A null id comes before all others.  An empty
+    table gives no rows; other columns are ignored.
+
+    A fingerprint shared by a third of all texts joins each with the first one
+    only, so matches are never more than fingerprints and the open windows of
+    these.  A match takes 2 * reach + 1 lines of either text, so the work is in
+    proportion to the lines also in a very long text.
     """
+    if reach < run:
+        raise ValueError("reach must be run at least")
     none = F.col(id_col).isNull()
     zero = F.coalesce(F.col(id_col), F.lit("" if docs.schema[id_col].dataType.simpleString() == "string" else 0).cast(docs.schema[id_col].dataType))
     source = docs.select(F.struct((~none).alias("known"), zero.alias("id"), F.xxhash64(text_col).alias("text")).alias("id"), F.col(text_col).alias("text"))
     id_type = source.schema["id"].dataType.simpleString()
-    lines = stored(source.mapInArrow(_lines(run, words), f"id {id_type}, lines array<long>, numbers array<int>, keys array<long>, places array<int>"))
-    marks = lines.select("id", F.explode(F.arrays_zip("keys", "places")).alias("m")).select("id", F.col("m.keys").alias("key"), F.col("m.places").alias("at"))
-    firsts = stored(marks.groupBy("key").agg(F.min(F.struct("id", "at")).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", F.col("f.id").alias("first_id"), F.col("f.at").alias("first_at")))
-    match = marks.join(firsts, "key").where((F.col("id") != F.col("first_id")) | (F.col("at") > F.col("first_at")))
-    match = stored(match.select("id", "at", "first_id", "first_at").distinct())
-    arrays = stored(lines.select("id", "lines").dropDuplicates(["id"]))  # so that Spark can split the rows of a text that many match
-    pairs = match.join(arrays, "id").join(arrays.select(F.col("id").alias("first_id"), F.col("lines").alias("first_lines")), "first_id")
-    runs = pairs.select("id", "at", "lines", "first_id", "first_at", "first_lines").mapInArrow(_extend, f"id {id_type}, begin int, stop int").distinct()
+    lines = stored(source.mapInArrow(_lines(run, words), f"id {id_type}, lines array<long>, sizes array<int>, numbers array<int>, keys array<long>, places array<int>"))
+    marks = lines.select("id", F.explode(F.arrays_zip("keys", "places")).alias("m")).select(F.col("m.keys").alias("key"), "id", F.col("m.places").alias("at"))
+    near = _matches(marks, lines, run, words, reach)
+    far = _matches(near.select(F.explode("open").alias("key"), "id", "at"), lines, run, words, reach)
+    runs = near.where("counts").select("id", "begin", "stop").unionByName(far.where("counts").select("id", "begin", "stop")).distinct()
     runs = stored(runs.groupBy("id").agg(F.collect_list(F.struct("begin", "stop")).alias("runs")))
+    dropped(near, far)
     numbers = lines.join(runs.select("id"), "id", "left_semi").select("id", "numbers").dropDuplicates(["id"]).join(runs, "id")
-    out = source.join(stored(numbers).hint("merge"), "id", "left").select("id", "text", F.coalesce("numbers", F.array().cast("array<int>")).alias("numbers"), "runs")
+    numbers = stored(numbers)
+    dropped(lines, runs)
+    out = source.join(numbers.hint("merge"), "id", "left").select("id", "text", F.coalesce("numbers", F.array().cast("array<int>")).alias("numbers"), "runs")
     out = out.mapInArrow(_drop_runs, f"id {id_type}, text string, lines_removed int, runs array<struct<first:int,last:int>>")
     return out.select(F.when(F.col("id.known"), F.col("id.id")).alias(id_col), F.col("text").alias(text_col), "lines_removed", "runs")
 

@@ -404,45 +404,68 @@ def test_loser_tree():
 # --- 10: line dedup
 
 
-def plain_lines(data, run=3, words=50):
-    """Texts in order, every earlier occurrence of every window known; matches extended from the first occurrence."""
-    parts, keys = [], {}
-    for _, t in data:
-        lines = [(i, x.strip(" \t\n\x0b\x0c\r")) for i, x in enumerate((t or "").split("\n"))]
-        parts.append([(i, x) for i, x in lines if x])
+def counted(lines, run, words):
+    """All runs of lines that count, as (begin, end); of each only such as no shorter one from its beginning does."""
     out = []
-    for d, p in enumerate(parts):
-        text = [x for _, x in p]
-        gone = set()
-        for i in range(len(text)):
-            for key in [tuple(text[i : i + run])] * (i + run <= len(text)) + [(text[i],)] * (len(text[i].split()) >= words):
-                key = (len(key), key)
-                if key not in keys:
-                    keys[key] = (d, i)
-                    continue
-                e, j = keys[key]
-                other = [x for _, x in parts[e]]
-                a = 0
-                while i - a > 0 and j - a > 0 and text[i - a - 1] == other[j - a - 1]:
-                    a += 1
-                b = 0
-                while i + b < len(text) and j + b < len(other) and text[i + b] == other[j + b]:
-                    b += 1
-                gone |= {p[x][0] for x in range(i - a, i + b)}
-        t = data[d][1]
-        out.append((data[d][0], "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone) if gone else t, len(gone)))
+    for i in range(len(lines)):
+        n = 0
+        for j in range(i, min(len(lines), i + run)):
+            n += len(re.findall(r"[^\x20\x09-\x0D]+", lines[j]))
+            if n >= words or j - i + 1 == run:
+                out.append((i, j + 1))
+                break
     return out
 
 
-def test_line_dedup(spark, docs, odd, none):
+def check_lines(data, got, run=3, words=50):
+    """Every window that occurs earlier is gone, and whatever is gone lies in a run that counts and occurs earlier; all by comparing lines themselves."""
+    texts, first, where = [], {}, defaultdict(list)
+    for d, (_, t) in enumerate(data):
+        lines = [(i, x.strip(" \t\n\x0b\x0c\r")) for i, x in enumerate((t or "").split("\n"))]
+        texts.append([(i, x) for i, x in lines if x])
+        own = [x for _, x in texts[-1]]
+        for a, b in counted(own, run, words):
+            first.setdefault(tuple(own[a:b]), (d, a))
+        for k, x in enumerate(own):
+            where[x].append((d, k))
+    for d, (name, t) in enumerate(data):
+        assert got[d][0] == name
+        own = [x for _, x in texts[d]]
+        gone = {k for k, (i, _) in enumerate(texts[d]) if any(r["first"] <= i <= r["last"] for r in got[d][3])}
+        must = {k for a, b in counted(own, run, words) if first[tuple(own[a:b])] < (d, a) for k in range(a, b)}
+        assert must <= gone, (name, must - gone)
+        may = set()
+        for k in gone - must:
+            for e, j in where[own[k]]:
+                if (e, j) < (d, k):
+                    other = [x for _, x in texts[e]]
+                    a, b = linededup.extended(np.array(own, object), k, np.array(other, object), j)
+                    if any(a <= s and f <= b for s, f in counted(own, run, words)):
+                        may.add(k)
+        assert gone <= must | may, name
+        numbers = {texts[d][k][0] for k in gone}
+        assert got[d][1] == (None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in numbers)) and got[d][2] == len(gone)
+
+
+def deduped(df, **options):
+    return sorted(((r["doc_id"], r["text"], r["lines_removed"], [x.asDict() for x in r["runs"]]) for r in rows(linededup.line_dedup(df, **options))), key=lambda r: r[0])
+
+
+@pytest.mark.parametrize("run, words", [(3, 50), (4, 7), (2, 1000)])
+def test_line_dedup(spark, docs, run, words):
     rng = np.random.default_rng(4)
     lines = [f"line {i}" for i in range(12)] + ["", "  ", some_text(5, 55)]
     data = [(i, "\n".join(lines[k] for k in rng.integers(len(lines), size=rng.integers(0, 14)))) for i in range(60)] + [(60, None), (61, "a\na\na\na\na"), (62, "  a\n\na\na \na")]
-    for df in (spark.createDataFrame(data, "doc_id long, text string"), docs):
-        own = sorted((r["doc_id"], r["text"]) for r in rows(df.select("doc_id", "text")) if r["text"] is not None)
-        got = sorted((r["doc_id"], r["text"], r["lines_removed"]) for r in rows(linededup.line_dedup(df)) if r["text"] is not None)
-        assert got == plain_lines(own)
-    assert len(rows(linededup.line_dedup(odd))) == odd.count()
+    for df in [spark.createDataFrame(data, "doc_id long, text string")] + [docs] * (run == 3):
+        own = sorted((r["doc_id"], r["text"]) for r in rows(df.select("doc_id", "text").fillna("", "text")))
+        if df is not docs:
+            own = data
+        check_lines(own, deduped(df.select("doc_id", "text")), 3, 50) if run == 3 else check_lines(own, deduped(df, run=run, words=words), run, words)
+
+
+def test_line_dedup_awkward(odd, none):
+    got = rows(linededup.line_dedup(odd))
+    assert len(got) == odd.count() and sum(r["text"] is None for r in got) == sum(r["text"] is None for r in rows(odd))
     assert rows(linededup.line_dedup(none)) == []
 
 
@@ -452,10 +475,43 @@ def test_line_dedup_short_runs(spark):
     data = [(0, f"{a}\n{b}"), (1, f"{a}\n{b}"), (2, f"one\n{c}\n\n {d}\ntwo"), (3, f"three\n{c}\n{d}\nfour"), (4, f"{b}\n{a}"), (5, c), (6, f"{c}\nshort"), (7, f"x\n{b}\n{a}")]
     got = {r["doc_id"]: r["text"] for r in rows(linededup.line_dedup(spark.createDataFrame(data, "doc_id long, text string")))}
     assert got == dict(data) | {1: "", 3: "three\nfour", 7: "x"}
-    lines = [some_text(400 + i, n) for i, n in enumerate((12, 20, 13, 19, 12))]
-    four = [(0, "\n".join(lines[:4])), (1, "\n".join(["y", *lines[:4], "z"])), (2, "\n".join(lines[:3])), (3, "\n".join(lines[1:4]))]
-    got = [r["text"] for r in sorted(rows(linededup.line_dedup(spark.createDataFrame(four, "doc_id long, text string"), run=5)), key=lambda r: r["doc_id"])]
-    assert got == [four[0][1], "y\nz", four[2][1], ""]  # 45 words stay, 52 go
+
+
+def test_line_dedup_of_common_lines(spark):
+    """A line that all texts have, in other company each time, hides no repeated run."""
+    fill = iter(f"filler {i}" for i in range(10_000))
+    data = [(i, "\n".join([next(fill), "common", next(fill), "common", next(fill)])) for i in range(50)]
+    data += [(50 + i, "\n".join([next(fill), "common", "left", "common", "right", next(fill)])) for i in range(6)]
+    got = deduped(spark.createDataFrame(data, "doc_id long, text string"))
+    check_lines(data, got)
+    assert [g[2] for g in got] == [0] * 51 + [4] * 5
+
+
+def test_line_dedup_fingerprints():
+    """Minima chosen by a plain loop: distinct places, far fewer than windows, and every window holds one of its own."""
+    rng = np.random.default_rng(8)
+    h, sizes = rng.integers(0, 1 << 40, 4000, dtype=np.uint64), rng.integers(1, 70, 4000).astype(np.int32)
+    sizes[500:] = 2
+    begin, end, place = linededup.windows(h, sizes, 3, 50)
+    want = []
+    for i in range(len(h)):
+        n = 0
+        for j in range(i, min(len(h), i + 3)):
+            n += int(sizes[j])
+            if n >= 50 or j - i == 2:
+                own = h[i : j + 1].tolist()
+                want.append((i, j + 1, max(k for k in range(i, j + 1) if h[k] == min(own))))
+                break
+    assert list(zip(begin.tolist(), end.tolist(), place.tolist())) == want
+    assert len(set(place[600:].tolist())) < 0.6 * len(place[600:])
+
+
+def test_line_dedup_of_long_texts(spark):
+    """Two copies of a text of 40,000 short lines, and one that shares every third line with it: in proportion to their lines."""
+    lines = [f"row {i} of a long text" for i in range(40_000)]
+    mixed = [x if i % 3 else f"other {i}" for i, x in enumerate(lines)]
+    got = deduped(spark.createDataFrame([(0, "\n".join(lines)), (1, "\n".join(lines)), (2, "\n".join(mixed))], "doc_id long, text string"))
+    assert [g[2] for g in got] == [0, 40_000, 0]
 
 
 # --- 1: packing
