@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import re
 import tempfile
@@ -35,10 +36,36 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+_noted: list[str] | None = None
+_left: list[str] = []
+
+
+@contextlib.contextmanager
+def scratch(docs: DataFrame) -> Iterator[None]:
+    """Notes what stored() writes within; first deletes what was noted before, but for what docs reads."""
+    global _noted
+    if _noted is None:
+        spark, read = docs.sparkSession, "\n".join(docs.inputFiles()) if _left else ""
+        gone = [x for x in _left if x.rpartition("/")[2] not in read]
+        _left[:] = [x for x in _left if x not in gone]
+        for x in gone:
+            path = spark._jvm.org.apache.hadoop.fs.Path(x)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _noted = _left
+        try:
+            yield
+        finally:
+            _noted = None
+    else:
+        yield
+
+
 def stored(df: DataFrame) -> DataFrame:
     """The rows written to the shared folder and read again: it cuts the lineage, survives lost executors, and gives the planner true sizes."""
     spark = df.sparkSession
     path = fresh_path(spark, "stage")
+    if _noted is not None:
+        _noted.append(path)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
