@@ -49,15 +49,16 @@ def yaml_kind(x: Column) -> Column:
     return (
         F.when(x.rlike(r"^(null|Null|NULL|~|)$"), "null")
         .when(x.rlike(r"^(true|True|TRUE|false|False|FALSE)$"), "bool")
-        .when(x.rlike(r"^[-+]?(\.[0-9]+|[0-9]+(\.[0-9]*)?)([eE][-+]?[0-9]+)?$"), "number")
+        # The numbers of the YAML 1.2 core schema.
+        .when(x.rlike(r"^[-+]?[0-9]+$|^0o[0-7]+$|^0x[0-9a-fA-F]+$"), "number")
+        .when(x.rlike(r"^[-+]?(\.[0-9]+|[0-9]+(\.[0-9]*)?)([eE][-+]?[0-9]+)?$|^[-+]?(\.inf|\.Inf|\.INF)$|^(\.nan|\.NaN|\.NAN)$"), "number")
         .otherwise("string")
     )
 
 
 def preview(summary: Column, body: Column, n: int) -> Column:
-    """The summary if it has one, else the body's first n characters, cut at the last blank of their second half, with an ellipsis."""
-    b = F.trim(F.coalesce(body, F.lit("")))
-    cut = F.substring(b, 1, n)
-    last = n - F.instr(F.reverse(cut), " ")
-    short = F.when((F.instr(cut, " ") > 0) & (last >= n // 2), F.rtrim(cut.substr(F.lit(1), last))).otherwise(cut)
-    return F.when(~blank(summary), F.trim(summary)).when(F.length(b) <= n, b).otherwise(F.concat(short, F.lit("…")))
+    """The summary, whole, if it has more than white space; else the body, beyond n characters cut at the last white space of their second half, with an ellipsis."""
+    b = F.coalesce(body, F.lit(""))
+    first, second = F.substring(b, 1, n // 2), F.substring(b, n // 2 + 1, n - n // 2)
+    short = F.when(second.rlike(r"(?U)\s"), F.concat(first, F.regexp_extract(second, r"(?Us)^(.*)\s", 1))).otherwise(F.substring(b, 1, n))
+    return F.when(F.coalesce(summary, F.lit("")).rlike(r"(?U)\S"), summary).when(F.length(b) <= n, b).otherwise(F.concat(short, F.lit("…")))

@@ -68,12 +68,20 @@ def resolve(references: DataFrame, declarations: DataFrame) -> DataFrame:
     """
     parts = F.split("scope", "/")
     outer = references.select("ref", "name", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.struct(k.alias("depth"), F.array_join(F.slice(parts, 1, k), "/").alias("scope")))).alias("s")).select("ref", "name", "s.depth", "s.scope")
-    hits = outer.join(declarations, ["name", "scope"]).groupBy("ref", "depth").agg(F.countDistinct("target").alias("n"), F.min("target").alias("target"))
+    known = declarations.groupBy("name", "scope").agg(F.countDistinct("target").alias("n"), F.min("target").alias("target"))  # so that a join meets one row
+    hits = outer.join(known, ["name", "scope"])
     best = hits.groupBy("ref").agg(F.max(F.struct("depth", "n", "target")).alias("b"))
     out = references.join(best, "ref", "left")
     return out.select("ref", "name", F.when(F.col("b.n") == 1, F.col("b.target")).alias("target"), F.when(F.col("b").isNull(), "NotFound").when(F.col("b.n") == 1, "Resolved").otherwise("Ambiguous").alias("status"))
 
 
+def entity_source(spans: DataFrame, lines: DataFrame) -> DataFrame:
+    """(file, start_line, end_line, source): the lines of each span, from 1 and with both ends; a span without lines has none."""
+    inside = spans.join(lines, "file").where(F.col("line_number").between(F.col("start_line"), F.col("end_line")))
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_number", "line"))), lambda x: x["line"]), "\n")
+    return inside.groupBy("file", "start_line", "end_line").agg(text.alias("source"))
+
+
 _NODE = r"\(\s*(\w+)?\s*(?::\s*(\w+))?\s*(?:\{([^}]*)\})?\s*\)"
 _EDGE = r"(<?)-\[\s*(\w+)?\s*(?::\s*(\w+))?\s*(?:\*\s*(\d+)\s*\.\.\s*(\d+))?\s*\]-(>?)"
 
@@ -93,6 +101,8 @@ def cypher(text: str, nodes: dict[str, DataFrame], edges: DataFrame, **params) -
     def value(x: str):
         x = x.strip()
         if x.startswith("$"):
+            if x[1:] not in params:
+                raise ValueError(f"no value for {x}")
             return F.lit(params[x[1:]])
         if x[:1] in "'\"":
             return F.lit(x[1:-1])
@@ -110,6 +120,8 @@ def cypher(text: str, nodes: dict[str, DataFrame], edges: DataFrame, **params) -
 
     def node(m: re.Match) -> tuple[str, str, DataFrame]:
         name, label, props = m[1] or f"_{m.start()}", m[2], m[3]
+        if label not in nodes:
+            raise ValueError(f"a node needs a label that is known, not {label}")
         df = nodes[label]
         df = df.select([F.col(c).alias(f"{name}.{c}") for c in df.columns])
         for p in filter(None, (props or "").split(",")):
@@ -119,6 +131,8 @@ def cypher(text: str, nodes: dict[str, DataFrame], edges: DataFrame, **params) -
 
     at = re.compile(_NODE).match(pattern.strip())
     pattern = pattern.strip()
+    if not at:
+        raise ValueError("the pattern can't be read")
     left, left_label, df = node(at)
     while at.end() < len(pattern):
         hop = re.compile(_EDGE).match(pattern, at.end())
@@ -143,8 +157,12 @@ def cypher(text: str, nodes: dict[str, DataFrame], edges: DataFrame, **params) -
         one = one.where((F.col("src_label") == left_label) & (F.col("dst_label") == right_label)).select(F.col("src").alias("_s"), F.col("dst").alias("_d"), F.col("uid").alias(f"{edge}.uid"))
         df = df.join(one, F.col(f"`{left}.id`") == F.col("_s")).join(other, F.col(f"`{right}.id`") == F.col("_d")).drop("_s", "_d")
         left, left_label = right, right_label
-    for term in re.split(r"\s+AND\s+", where, flags=re.I) if where else []:
-        a, op, b = re.fullmatch(r"(.*?)\s*(=|<>|>=|<=|>|<|ENDS WITH|STARTS WITH|CONTAINS)\s*(.*)", term.strip(), re.I | re.S).groups()
+    # Split at AND outside quotes.
+    for term in re.split(r"""\s+AND\s+(?=(?:[^'"]|'[^']*'|"[^"]*")*$)""", where, flags=re.I) if where else []:
+        compared = re.fullmatch(r"(.*?)\s*(=|<>|>=|<=|>|<|ENDS WITH|STARTS WITH|CONTAINS)\s*(.*)", term.strip(), re.I | re.S)
+        if not compared:
+            raise ValueError(f"not a comparison: {term}")
+        a, op, b = compared.groups()
         x, y = value(a), value(b)
         df = df.where({"=": x == y, "<>": x != y, ">": x > y, "<": x < y, ">=": x >= y, "<=": x <= y}[op] if op[0] in "=<>" else {"E": x.endswith, "S": x.startswith, "C": x.contains}[op[0].upper()](y))
     columns = []

@@ -63,34 +63,79 @@ def checks_pass(checks: Column, flagged: Column) -> Column:
     return ~flagged & both & F.forall(live, lambda c: (c["status"] == "passed") & (F.trim(F.coalesce(c["evidence"], F.lit(""))) != ""))
 
 
-def gates(tasks: DataFrame, deps: DataFrame, written) -> DataFrame:
-    """(id, completion, ready) over a graph of dependencies.
+def gates(tasks: DataFrame, deps: DataFrame, written, order: str | None = None) -> DataFrame:
+    """(id, completion, ready, valid): over the graph of prerequisites and parents.
 
-    tasks: id, status, own (its checks pass). deps: id, needs. completion holds if the task is not cancelled, its own
-    checks pass and all it needs is complete; ready if it is open and all it needs is complete and in state completed.
-    Starts from completion = own and only ever withdraws, so it ends after at most the longest chain; a cycle never
-    becomes complete by itself but stays as its checks are, and validate() refuses it beforehand.
+    tasks: id, status, own (its checks pass), and if there are any parent and session. deps: id, needs. A task is valid if it is
+    completed and its conditions hold: own, all it needs valid, and all its children valid, or cancelled with nothing
+    below them open. A cancelled task has no prerequisites, and nothing that needs it holds. completion: not cancelled
+    and the conditions hold; ready: open and all it needs valid.
+
+    Only what fails travels: each round takes the tasks that failed in the last one to those that wait for them, and
+    writes no more than these. A cycle is an error; where all edges lead upwards in the column order there is none, and
+    only else it is searched for.
     """
-    state = written(tasks.select("id", "status", ((F.col("status") != "cancelled") & F.col("own")).alias("completion")))
-    n = -1
+    tasks = tasks if "parent" in tasks.columns else tasks.withColumn("parent", F.lit(None).cast(tasks.schema["id"].dataType))
+    facts = written(tasks.select("id", "status", "own", "parent", *[order] * (order is not None)))
+    of = lambda name: facts.select(F.col("id").alias(name), F.col("status").alias("status_" + name), *([] if order is None else [F.col(order).alias("order_" + name)]))
+    need = deps.join(of("id"), "id").where("status_id <> 'cancelled'").join(of("needs"), "needs")
+    need = written(need)
+    child = facts.where("parent is not null").select("id", F.col("parent").alias("needs")).join(of("id"), "id").join(of("needs"), "needs")
+    edges = need.where("status_needs <> 'cancelled'").select(F.col("needs").alias("a"), F.col("id").alias("b"), *[F.col("order_needs").alias("low"), F.col("order_id").alias("high")] * (order is not None))
+    edges = edges.unionByName(child.select(F.col("id").alias("a"), F.col("needs").alias("b"), *[F.col("order_id").alias("low"), F.col("order_needs").alias("high")] * (order is not None)))
+    if order is None or not edges.where("not low < high").isEmpty():
+        if not acyclic(edges.select(F.col("b").alias("id"), F.col("a").alias("needs")), written).isEmpty():
+            raise ValueError("tasks wait for each other in a circle")
+    # Rows (id, kind): bad, its conditions fail; invalid, it does not count for those that need it; unmet, nor for its parent.
+    lost = need.where("status_needs = 'cancelled'").select("id").distinct().withColumn("lost", F.lit(True))
+    start = facts.join(lost, "id", "left").select("id", "status", (~F.col("own") | F.coalesce("lost", F.lit(False))).alias("bad"))
+    kinds = lambda x: F.filter(F.array(*[F.when(c, k) for c, k in x]), lambda k: k.isNotNull())
+    invalid = F.col("bad") | (F.col("status") != "completed")
+    front = written(start.select("id", F.explode(kinds([(F.col("bad"), "bad"), (invalid, "invalid"), (invalid & (F.col("status") != "cancelled"), "unmet")])).alias("kind")))
+    need, child = need.select("id", "needs", F.col("status_id").alias("status")), written(child.select("id", "needs", F.col("status_needs").alias("status")))
+    failed = front
     while True:
-        fine = deps.join(state.select(F.col("id").alias("needs"), F.col("completion").alias("c"), F.col("status").alias("s")), "needs", "left")
-        all_ = written(fine.groupBy("id").agg(F.bool_and(F.coalesce("c", F.lit(False))).alias("deps_complete"), F.bool_and(F.coalesce(F.col("c") & (F.col("s") == "completed"), F.lit(False))).alias("deps_done")))
-        state = written(state.join(all_, "id", "left").select("id", "status", (F.col("completion") & F.coalesce("deps_complete", F.lit(True))).alias("completion"), F.coalesce("deps_done", F.lit(True)).alias("deps_done")))
-        now = state.agg(F.count_if("completion")).first()[0]
-        if now == n:
-            return state.select("id", "completion", ((F.col("status") == "open") & F.col("deps_done")).alias("ready"))
-        n = now
-        state = state.drop("deps_done")
+        a = front.where("kind = 'invalid'").select(F.col("id").alias("needs")).join(need, "needs").select("id", "status")
+        b = front.where("kind = 'unmet'").join(child, "id").select(F.col("needs").alias("id"), "status")
+        c = F.col("status")
+        hit = a.select("id", kinds([(F.lit(True), "bad"), (c == "completed", "invalid"), (c == "completed", "unmet")]).alias("kinds")).unionAll(b.select("id", kinds([(F.lit(True), "bad"), (c == "completed", "invalid"), (c.isin("completed", "cancelled"), "unmet")]).alias("kinds")))
+        front = written(hit.select("id", F.explode("kinds").alias("kind")).distinct().join(failed, ["id", "kind"], "left_anti"))
+        if front.isEmpty():
+            break
+        failed = failed.unionByName(front)
+    state = failed.groupBy("id").agg(F.max(F.col("kind") == "bad").alias("bad"), F.max(F.col("kind") == "invalid").alias("invalid"))
+    state = written(facts.join(state, "id", "left").select("id", "status", F.coalesce("bad", F.lit(False)).alias("bad"), F.coalesce("invalid", F.lit(False)).alias("invalid")))
+    waits = need.join(state.where("invalid").select(F.col("id").alias("needs")), "needs", "left_semi").select("id").distinct().withColumn("waits", F.lit(True))
+    out = state.join(waits, "id", "left")
+    return out.select("id", ((F.col("status") != "cancelled") & ~F.col("bad")).alias("completion"), ((F.col("status") == "open") & F.col("waits").isNull()).alias("ready"), (~F.col("invalid")).alias("valid"))
+
+
+def closable(gated: DataFrame, tasks: DataFrame) -> DataFrame:
+    """(session, closable): all its tasks are cancelled or valid. gated: id, valid; tasks: id, session, status."""
+    both = tasks.select("id", "session", "status").join(gated.select("id", "valid"), "id")
+    return both.groupBy("session").agg(F.bool_and((F.col("status") == "cancelled") | F.col("valid")).alias("closable"))
 
 
 def validate(tasks: DataFrame, deps: DataFrame) -> DataFrame:
-    """(id, problem): repeated ids, dependencies on itself, on nothing, or twice."""
+    """(id, problem): repeated ids; dependencies on itself, on nothing, or twice; parents that are itself, nothing or of another session."""
     repeated = tasks.groupBy("id").count().where("count > 1").select("id", F.lit("repeated id").alias("problem"))
     self_ = deps.where("id = needs").select("id", F.lit("needs itself").alias("problem"))
     lost = deps.join(tasks.select(F.col("id").alias("needs")), "needs", "left_anti").select("id", F.lit("unknown dependency").alias("problem"))
     twice = deps.groupBy("id", "needs").count().where("count > 1").select("id", F.lit("repeated dependency").alias("problem"))
-    return repeated.unionAll(self_).unionAll(lost).unionAll(twice).distinct()
+    out = repeated.unionAll(self_).unionAll(lost).unionAll(twice)
+    if "parent" in tasks.columns:
+        up = tasks.where("parent is not null").select("id", "parent", "session").join(tasks.select(F.col("id").alias("parent"), F.col("session").alias("own")), "parent", "left")
+        problem = F.when(F.col("id") == F.col("parent"), "is its own parent").when(F.col("own").isNull(), "unknown parent").when(F.col("own") != F.col("session"), "parent of another session")
+        out = out.unionAll(up.select("id", problem.alias("problem")).where("problem is not null"))
+    return out.distinct()
+
+
+def guarded(df: DataFrame, rows: int) -> DataFrame:
+    """df if it has at most so many rows, else an error: nothing is cut off silently."""
+    few = df.limit(rows + 1)
+    if few.count() > rows:
+        raise ValueError(f"more than {rows} rows")
+    return few
 
 
 def acyclic(deps: DataFrame, written) -> DataFrame:
@@ -112,8 +157,10 @@ def chain(revisions: DataFrame, key: str, revision: str, value: str, deleted: Co
 
 
 def top_per_section(df: DataFrame, section: str, order: list[Column], k: int = 20) -> DataFrame:
-    w = Window.partitionBy(section)
-    return df.withColumn("total", F.count(F.lit(1)).over(w)).withColumn("place", F.row_number().over(w.orderBy(*order))).where(F.col("place") <= k).withColumn("has_more", F.col("total") > k)
+    """The first k rows of each section with their place, and the section's total; each task sends only k rows of a section."""
+    total = df.groupBy(section).agg(F.count(F.lit(1)).alias("total"))
+    top = df.withColumn("place", F.row_number().over(Window.partitionBy(section).orderBy(*order))).where(F.col("place") <= k)
+    return top.join(total, section).withColumn("has_more", F.col("total") > k)
 
 
 def mutate(heads: DataFrame, changes: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions import text as T
+from loomgraph.operators.ordering import numbered
 
 K1, B, RRF = 1.2, 0.75, 60
 
@@ -36,21 +37,28 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def cosine_distance(a: Column, q: list[float]) -> Column:
-    """Null for a null vector; a wrong width, a null element or a zero norm is an error."""
+def distance(a: Column, q: list[float], metric: str) -> Column:
+    """cosine, l2 (squared) or dot (one less the product). Null for a null vector; a wrong width, an element that is null, NaN or infinite, or for cosine a zero norm of either side, is an error."""
     if not q or any(x != x or abs(x) == float("inf") for x in q):
         raise ValueError("the query must have finite numbers")
     v = F.array(*[F.lit(float(x)) for x in q])
-    bad = (F.size(a) != len(q)) | F.exists(a, lambda x: x.isNull() | F.isnan(x))
+    wrong = lambda text: F.raise_error(F.lit(text)).cast("double")
+    odd = F.exists(a, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    out = F.when(a.isNull(), None).when(F.size(a) != len(q), wrong("the vector has another width than the query")).when(odd, wrong("the vector has an element that is null or not finite"))
+    if metric == "l2":
+        return out.otherwise(F.aggregate(F.zip_with(a, v, lambda x, y: (x.cast("double") - y) * (x.cast("double") - y)), F.lit(0.0), lambda s, x: s + x))
+    if metric == "dot":
+        return out.otherwise(1 - dot(a, v))
+    if metric != "cosine":
+        raise ValueError("the metric is cosine, l2 or dot")
+    if not any(q):
+        raise ValueError("the query has no direction")
     norm = F.sqrt(dot(a, a) * sum(x * x for x in q))
-    return F.when(a.isNull(), None).when(bad, F.raise_error(F.lit("bad vector")).cast("double")).when(norm == 0, None).otherwise(1 - dot(a, v) / norm)
+    return out.when(norm == 0, wrong("the vector has no direction")).otherwise(1 - dot(a, v) / norm)
 
 
-def distance(a: Column, q: list[float], metric: str) -> Column:
-    v = F.array(*[F.lit(float(x)) for x in q])
-    if metric == "l2":
-        return F.aggregate(F.zip_with(a, v, lambda x, y: (x.cast("double") - y) * (x.cast("double") - y)), F.lit(0.0), lambda s, x: s + x)
-    return cosine_distance(a, q) if metric == "cosine" else 1 - dot(a, v)
+def cosine_distance(a: Column, q: list[float]) -> Column:
+    return distance(a, q, "cosine")
 
 
 def knn(df: DataFrame, key: str, vector: str, q: list[float], k: int, metric: str = "cosine") -> DataFrame:
@@ -58,9 +66,22 @@ def knn(df: DataFrame, key: str, vector: str, q: list[float], k: int, metric: st
     return df.where(F.col(vector).isNotNull()).select(key, F.round(distance(F.col(vector), q, metric), 9).alias("distance")).orderBy("distance", key).limit(k)
 
 
-def ranked(df: DataFrame, key: str, by: Column) -> DataFrame:
-    """Adds rank from 1.  For lists that a limit has bounded."""
-    return df.withColumn("rank", F.row_number().over(Window.orderBy(by, key)))
+def ranked(df: DataFrame, key: str, by: Column, written=None) -> DataFrame:
+    """Adds rank from 1: of a list that a limit has bounded in one task, with written of a list of any length by ranges."""
+    if written is None:
+        return df.withColumn("rank", F.row_number().over(Window.orderBy(by, key)))
+    return numbered(df, [by, F.col(key)], "rank", written).withColumn("rank", F.col("rank") + 1)
+
+
+def fused_page(lexical: DataFrame, semantic: DataFrame, key: str, written, offset: int = 0, size: int = 20) -> DataFrame:
+    """(key, score, place, total): a page of the fusion of two complete lists, (key, score) and (key, distance), of eligible rows.
+
+    Both are ranked whole, so a row that is far down in one of them still has its share; only offset + size rows are gathered.
+    """
+    whole = written(rrf(ranked(lexical, key, F.desc("score"), written), ranked(semantic, key, F.col("distance"), written), key))
+    total = whole.agg(F.count(F.lit(1)).alias("total"))
+    top = whole.orderBy(F.desc("score"), key).limit(offset + size)
+    return ranked(top, key, F.desc("score")).withColumnRenamed("rank", "place").where(F.col("place") > offset).crossJoin(F.broadcast(total))  # one row
 
 
 def rrf(lexical: DataFrame, semantic: DataFrame, key: str, k: int = RRF) -> DataFrame:

@@ -29,12 +29,23 @@ class Store:
         return self.jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
 
     def _create(self, name: str, text: str) -> None:
-        try:
-            out = self.fs.create(self._path(name), False)
-        except Exception as e:
-            raise Conflict(name) from e
+        """Written aside and renamed without overwriting, so that it is there whole or not at all; Conflict if it is there already."""
+        aside, place = self._path(f"aside/{uuid.uuid4().hex}"), self._path(name)
+        out = self.fs.create(aside, False)
         out.write(text.encode())
         out.close()
+        self.fs.mkdirs(place.getParent())
+        fs = self.jvm.org.apache.hadoop.fs
+        kind = self.jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename")
+        how = self.jvm.java.lang.reflect.Array.newInstance(kind, 1)
+        self.jvm.java.lang.reflect.Array.set(how, 0, self.jvm.java.lang.Enum.valueOf(kind, "NONE"))
+        try:
+            fs.FileContext.getFileContext(place.toUri(), self.spark._jsc.hadoopConfiguration()).rename(aside, place, how)
+        except Exception as e:
+            self.fs.delete(aside, False)
+            if self.fs.exists(place):
+                raise Conflict(name) from e
+            raise
 
     def _read(self, name: str) -> str | None:
         path = self._path(name)
@@ -59,15 +70,42 @@ class Store:
     def read(self, branch: str = "main", version: int | None = None) -> DataFrame:
         return self.spark.read.option("mergeSchema", "true").parquet(*[f"{self.root}/{f}" for f in self.files(branch, version)])
 
-    def commit(self, df: DataFrame, base: int, branch: str = "main", keep: list[str] = ()) -> int:
-        """Publishes df, beside the kept folders, as version base + 1; Conflict if another was faster."""
-        name = f"data/{uuid.uuid4().hex}"
+    def commit(self, df: DataFrame, base: int, branch: str = "main", keep: list[str] = (), txn: str | None = None) -> int:
+        """Publishes df, beside the kept folders, as version base + 1; Conflict if another was faster. A transaction id can be resolved later."""
+        name = f"data/{txn or uuid.uuid4().hex}"
+        if txn:
+            self._create(f"txn/{txn}", f"{branch} {base + 1}")
         df.write.parquet(f"{self.root}/{name}")
         if self.head(branch) != base:
             raise Conflict(f"{branch} is not at {base}")
         self._create(f"refs/{branch}/{base + 1}", "\n".join([*keep, name]))
         return base + 1
 
+    def resolve(self, txn: str) -> str:
+        """What became of a transaction: Applied, Conflicted (another took its version) or Unresolved (its version is still free, or it never began)."""
+        noted = self._read(f"txn/{txn}")
+        if noted is None:
+            return "Unresolved"
+        branch, version = noted.rsplit(" ", 1)
+        files = self._read(f"refs/{branch}/{version}")
+        return "Unresolved" if files is None else "Applied" if f"data/{txn}" in files.split() else "Conflicted"
+
+    def clean(self) -> int:
+        """Deletes data folders that no version and no tag names; how many. Not beside writers that are still at work."""
+        named = set()
+        for top in ("refs", "tags"):
+            if self.fs.exists(self._path(top)):
+                found = self.fs.listFiles(self._path(top), True)
+                while found.hasNext():
+                    path = found.next().getPath()
+                    stream = self.fs.open(path)
+                    named |= set(self.jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").split())
+                    stream.close()
+        gone = [x.getPath() for x in self.fs.listStatus(self._path("data")) if f"data/{x.getPath().getName()}" not in named]
+        for path in gone:
+            self.fs.delete(path, True)
+        return len(gone)
+
     def append(self, df: DataFrame, base: int, branch: str = "main") -> int:
         return self.commit(df, base, branch, self.files(branch, base) if base else [])
 

@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions import text as T
 from loomgraph.operators import links as D
 from loomgraph.plans.registry import query
+from loomgraph.sources.shared import written
 from loomgraph.sources.tables import lines, table
 
-LINKS = """raw AS (SELECT doc_id AS source, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE (doc_id * 3 + k * 17) % 1200 END AS target FROM documents, (VALUES (0), (1), (2)) t(k) WHERE doc_id % 11 > 2),
+LINKS = """raw AS (SELECT doc_id AS source, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE (doc_id * 3 + k * 17) % 1200 END AS target FROM documents, (VALUES (0), (1), (2)) t(k)),
 links AS (SELECT DISTINCT source, target FROM raw WHERE target IS NOT NULL AND source <> target), pages_ AS (SELECT doc_id AS slug FROM documents)"""
 
 
@@ -22,22 +20,10 @@ def pages(s, d):
 
 
 def links(s, d):
-    docs = table(s, d, "documents").where("doc_id % 11 > 2").select("doc_id", F.explode(F.array(*map(F.lit, (0, 1, 2)))).alias("k"))
+    docs = table(s, d, "documents").select("doc_id", F.explode(F.array(*map(F.lit, (0, 1, 2)))).alias("k"))
     return D.link_graph(docs.select(F.col("doc_id").alias("source"), F.when(F.col("doc_id") % 7 != 0, (F.col("doc_id") * 3 + F.col("k") * 17) % 1200).alias("target")))
 
 
-def written(df):
-    """Writes to the folder that the cluster shares, and reads again."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        base = "file://" + tempfile.mkdtemp(prefix="loom-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base}/round-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 @query("d1_link_graph", f"WITH {LINKS} SELECT * FROM links")
 def _(s, d):
     return links(s, d)
@@ -66,10 +52,10 @@ def _(s, d):
 
 
 @query("d6_khop", f"""WITH RECURSIVE {LINKS}, both_ AS (SELECT source AS slug, target AS nxt FROM links UNION SELECT target, source FROM links),
-w AS (SELECT slug AS origin, slug, 0 AS depth FROM pages_ WHERE slug < 20 UNION SELECT origin, nxt, depth + 1 FROM w JOIN both_ USING (slug) JOIN pages_ USING (slug) WHERE depth < 3)
+w AS (SELECT slug AS origin, slug, 0 AS depth FROM pages_ UNION SELECT origin, nxt, depth + 1 FROM w JOIN both_ USING (slug) JOIN pages_ USING (slug) WHERE depth < 3)
 SELECT origin, slug, min(depth) AS depth FROM w GROUP BY ALL HAVING min(depth) > 0""")
 def _(s, d):
-    return D.khop(links(s, d), pages(s, d), pages(s, d).where("slug < 20"), 3)
+    return D.khop(links(s, d), pages(s, d), pages(s, d), 3)
 
 
 @query("d7_communities")
@@ -135,10 +121,10 @@ def _(s, d):
     return table(s, d, "pages").select("page_id", F.explode(F.filter(checks, lambda c: c["blank"])).alias("c")).select("page_id", "c.field", "c.level")
 
 
-@query("d12_preview", """SELECT doc_id, CASE WHEN doc_id % 6 = 0 THEN lang WHEN length(b) <= 80 THEN b ELSE (CASE WHEN contains(c, ' ') AND 80 - strpos(reverse(c), ' ') >= 40 THEN rtrim(left(c, 80 - strpos(reverse(c), ' ')), ' ') ELSE c END) || '…' END AS preview
-FROM (SELECT *, trim(text, ' ') AS b, left(trim(text, ' '), 80) AS c FROM documents)""")
+@query("d12_preview", r"""SELECT doc_id, CASE WHEN doc_id % 6 = 0 THEN lang WHEN length(b) <= 80 THEN b
+ELSE (CASE WHEN regexp_matches(b[41:80], '\s') THEN b[1:40] || regexp_extract(b[41:80], '^((?s:.*))\s', 1) ELSE b[1:80] END) || '…' END AS preview FROM (SELECT *, coalesce(text, '') AS b FROM documents)""")
 def _(s, d):
-    return table(s, d, "documents").select("doc_id", T.preview(F.when(F.col("doc_id") % 6 == 0, F.col("lang")), F.col("text"), 80).alias("preview"))
+    return table(s, d, "documents").select("doc_id", T.preview(F.when(F.col("doc_id") % 6 == 0, F.col("lang")).when(F.col("doc_id") % 6 == 1, F.lit("\n\t ")), F.col("text"), 80).alias("preview"))
 
 
 @query("d13_virtual_source", "SELECT doc_id, md5('---' || chr(10) || 'lang: ' || lang || chr(10) || '---' || chr(10) || text) AS digest FROM documents")
@@ -160,8 +146,9 @@ def _(s, d):
 def _(s, d):
     e = links(s, d)
     r = e.where("source = 30").select(F.lit("out").alias("direction"), F.col("target").alias("slug")).unionAll(e.where("target = 30").select(F.lit("in"), "source"))
-    w = Window.partitionBy("direction")
-    return r.withColumn("total", F.count(F.lit(1)).over(w)).withColumn("k", F.row_number().over(w.orderBy("slug"))).where("k <= 20").drop("k")
+    total = r.groupBy("direction").agg(F.count(F.lit(1)).alias("total"))
+    top = r.withColumn("k", F.row_number().over(Window.partitionBy("direction").orderBy("slug"))).where("k <= 20").drop("k")  # each task keeps 20
+    return top.join(F.broadcast(total), "direction")  # two rows
 
 
 @query("j10_target_heads", f"WITH {LINKS} SELECT links.source, target, coalesce(lang, 'Unresolved') AS title FROM links LEFT JOIN documents ON doc_id = target")
@@ -169,9 +156,9 @@ def _(s, d):
     return links(s, d).join(table(s, d, "documents").select(F.col("doc_id").alias("target"), "lang"), "target", "left").select("source", "target", F.coalesce("lang", F.lit("Unresolved")).alias("title"))
 
 
-@query("j11_backlinks", f"WITH {LINKS} SELECT target, list_sort(list(source)) AS sources FROM links WHERE target < 50 GROUP BY ALL")
+@query("j11_backlinks", f"WITH {LINKS} SELECT target, list_sort(list(source)) AS sources FROM links GROUP BY ALL")
 def _(s, d):
-    return links(s, d).where("target < 50").groupBy("target").agg(F.sort_array(F.collect_list("source")).alias("sources"))
+    return links(s, d).groupBy("target").agg(F.sort_array(F.collect_list("source")).alias("sources"))
 
 
 @query("j13_pairs", f"WITH {LINKS} SELECT DISTINCT least(source, target) AS a, greatest(source, target) AS b FROM links WHERE target IN (SELECT slug FROM pages_)")

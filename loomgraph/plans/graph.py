@@ -152,11 +152,11 @@ def _(s, d):
     return table(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("declaration")).agg((1 + F.sum(weight)).alias("complexity"))
 
 
-@query("g19_line_window", r"SELECT doc_id, 1 + length(substr(text, 1, 200)) - length(replace(substr(text, 1, 200), chr(10), '')) AS start_line, 1 + length(text) - length(replace(text, chr(10), '')) AS end_line FROM documents WHERE text <> ''")
+@query("g19_line_window", r"SELECT doc_id, 1 + length(substr(text, 1, length(text) // 2)) - length(replace(substr(text, 1, length(text) // 2), chr(10), '')) AS start_line, 1 + length(text) - length(replace(text, chr(10), '')) AS end_line FROM documents WHERE text <> ''")
 def _(s, d):
     nl = lambda x: F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit("")))
     docs = table(s, d, "documents").where("text <> ''")
-    return docs.select("doc_id", (1 + nl(F.substring("text", 1, 200))).cast("long").alias("start_line"), (1 + nl(F.col("text"))).cast("long").alias("end_line"))
+    return docs.select("doc_id", (1 + nl(F.col("text").substr(F.lit(1), F.floor(F.length("text") / 2).cast("int")))).cast("long").alias("start_line"), (1 + nl(F.col("text"))).cast("long").alias("end_line"))
 
 
 @query("g20_symbols", f"WITH {EDGES} SELECT kind || ' ' || src || ' ' || dst AS symbol, count(*) AS n_references FROM edges WHERE kind <> 'IN_REGION' GROUP BY ALL")
@@ -177,17 +177,24 @@ def _(s, d):
     return li.join(owner, ["l_orderkey", "l_suppkey"]).select("l_orderkey", "l_linenumber", F.when(F.col("n") == 1, F.col("m")).alias("target"))
 
 
-@query("g23_coordinates", "SELECT doc_id, octet_length(encode(substr(text, 1, 100))) AS byte_at_100, length(substr(text, 1, 100)) AS point_at_100 FROM documents")
+@query("g23_coordinates", "SELECT doc_id, octet_length(encode(substr(text, 1, length(text) // 2))) AS byte_offset, length(text) // 2 AS point_offset, octet_length(encode(text)) AS bytes FROM documents")
 def _(s, d):
-    cut = F.substring("text", 1, 100)
-    return table(s, d, "documents").select("doc_id", F.octet_length(cut).cast("long").alias("byte_at_100"), F.length(cut).cast("long").alias("point_at_100"))
+    half = F.floor(F.length("text") / 2)
+    return table(s, d, "documents").select("doc_id", F.octet_length(F.col("text").substr(F.lit(1), half.cast("int"))).cast("long").alias("byte_offset"), half.alias("point_offset"), F.octet_length("text").cast("long").alias("bytes"))
 
 
-@query("g24_canonical_names", "SELECT p_partkey, nfc_normalize(p_name) AS name FROM part")
+@query("g12_entity_source", "SELECT doc_id, array_to_string(string_split(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(10))[2:4], chr(10)) AS source FROM documents WHERE len(string_split(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(10))) > 4")
+def _(s, d):
+    docs = table(s, d, "documents")
+    spans = docs.where(F.size(F.split(F.regexp_replace(F.coalesce("text", F.lit("")), "\r\n", "\n"), "\n")) > 4).select(F.col("doc_id").alias("file"), F.lit(2).alias("start_line"), F.lit(4).alias("end_line"))
+    return G.entity_source(spans, tables.lines(docs, "doc_id", "text").withColumnRenamed("doc_id", "file")).select(F.col("file").alias("doc_id"), "source")
+
+
+@query("g24_canonical_names", "SELECT p_partkey, nfc_normalize(replace(p_name || ' ﬁne e\u0301', 'ﬁ', 'fi')) AS name FROM part")
 def _(s, d):
     from loomgraph.functions.text import nfkc
 
-    return table(s, d, "part").select("p_partkey", nfkc("p_name").alias("name"))
+    return table(s, d, "part").select("p_partkey", nfkc(F.concat("p_name", F.lit(" \ufb01ne e\u0301"))).alias("name"))
 
 
 def _csr(s, d):

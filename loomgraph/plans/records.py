@@ -1,4 +1,4 @@
-"""Typed queries over records: orders as tasks, line items as their checks, the customer's previous order as dependency; conversations as revisions."""
+"""Typed queries over records: orders as tasks, line items as their checks, the customer's previous order as prerequisite and a later one as parent; conversations as revisions."""
 
 from __future__ import annotations
 
@@ -7,17 +7,18 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import text as T
 from loomgraph.operators import records as R
-from loomgraph.plans.documents import written
 from loomgraph.plans.registry import query
+from loomgraph.sources.shared import written
 from loomgraph.sources.tables import table
 
-STATUS = "CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'open' ELSE 'in_progress' END"
+STATUS = "CASE WHEN o_orderkey % 13 = 5 THEN 'cancelled' WHEN o_orderstatus = 'F' THEN 'completed' WHEN o_orderstatus = 'O' THEN 'open' ELSE 'in_progress' END"
 TASKS = f"""tasks AS (SELECT 'T' || lpad(CAST(o_orderkey AS VARCHAR), 10, '0') AS record_id, o_custkey AS session_id, o_orderpriority AS title, {STATUS} AS status, CAST(left(o_orderpriority, 1) AS INT) AS priority, o_orderkey AS id,
-epoch_ms(o_orderdate) AS created_at, epoch_ms(o_orderdate) + o_orderkey % 1000 AS updated_at, o_orderkey % 17 = 0 AS flagged FROM orders)"""
+epoch_ms(o_orderdate) AS created_at, epoch_ms(o_orderdate) + o_orderkey % 1000 AS updated_at, o_orderkey % 17 = 0 AS flagged,
+CASE WHEN o_orderkey % 4 = 1 THEN lead(o_orderkey, 2) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) END AS parent FROM orders)"""
 
 
 def tasks(s, d):
-    status = F.when(F.col("o_orderstatus") == "F", "completed").when(F.col("o_orderstatus") == "O", "open").otherwise("in_progress")
+    status = F.when(F.col("o_orderkey") % 13 == 5, "cancelled").when(F.col("o_orderstatus") == "F", "completed").when(F.col("o_orderstatus") == "O", "open").otherwise("in_progress")
     ms = F.unix_millis(F.col("o_orderdate").cast("timestamp"))
     return table(s, d, "orders").select(F.concat(F.lit("T"), F.lpad(F.col("o_orderkey").cast("string"), 10, "0")).alias("record_id"), F.col("o_custkey").alias("session_id"), F.col("o_orderpriority").alias("title"), status.alias("status"), F.substring("o_orderpriority", 1, 1).cast("int").alias("priority"), F.col("o_orderkey").alias("id"), ms.alias("created_at"), (ms + F.col("o_orderkey") % 1000).alias("updated_at"), (F.col("o_orderkey") % 17 == 0).alias("flagged"))
 
@@ -211,36 +212,74 @@ def _(s, d):
 
 
 def deps(s, d):
+    """Each order needs the one before it of the same customer."""
     w = Window.partitionBy("session_id").orderBy("created_at", "id")
-    return tasks(s, d).withColumn("needs", F.lag("id").over(w)).where("needs is not null and id % 3 = 0").select("id", "needs")
+    return tasks(s, d).withColumn("needs", F.lag("id").over(w)).where("needs is not null").select("id", "needs")
 
 
-DEPS = "deps AS (SELECT id, needs FROM (SELECT id, lag(id) OVER (PARTITION BY session_id ORDER BY created_at, id) AS needs FROM tasks) WHERE needs IS NOT NULL AND id % 3 = 0)"
-GATES = f"""WITH RECURSIVE {CHECKED}, {DEPS}, bad AS (SELECT id FROM checked WHERE NOT own UNION SELECT deps.id FROM deps JOIN bad ON needs = bad.id),
-g AS (SELECT c.id, c.id NOT IN (SELECT id FROM bad) AS completion, c.status, c.session_id, d.needs FROM checked c LEFT JOIN deps d ON d.id = c.id),
-gates AS (SELECT g.id, g.completion, g.status = 'open' AND (g.needs IS NULL OR (n.completion AND n.status = 'completed')) AS ready, g.session_id, g.status FROM g LEFT JOIN g n ON n.id = g.needs)"""
+def facts(s, d):
+    """Checked tasks, every fourth order with the second after it as parent; all edges lead upwards in rank."""
+    w = Window.partitionBy("session_id").orderBy("created_at", "id")
+    up = tasks(s, d).select("id", F.when(F.col("id") % 4 == 1, F.lead("id", 2).over(w)).alias("parent"))
+    return checked(s, d).join(up, "id").withColumn("session", F.col("session_id")).withColumn("rank", F.struct("created_at", "id"))
+
+
+def gated(s, d):
+    """The gates of all tasks, joined with them."""
+    t = written(facts(s, d).select("id", "status", "own", "parent", "session", "rank", "title", "flagged"))
+    return R.gates(t, deps(s, d), written, "rank"), t
+
+
+DEPS = "deps AS (SELECT id, needs FROM (SELECT id, lag(id) OVER (PARTITION BY session_id ORDER BY created_at, id) AS needs FROM tasks) WHERE needs IS NOT NULL)"
+GATES = f"""WITH RECURSIVE {CHECKED}, {DEPS},
+need AS (SELECT d.id, d.needs, n.status AS ns, t.status AS ts FROM deps d JOIN checked t ON t.id = d.id JOIN checked n ON n.id = d.needs WHERE t.status <> 'cancelled'),
+base AS (SELECT id, status, NOT own OR id IN (SELECT id FROM need WHERE ns = 'cancelled') AS bad FROM checked),
+ev AS (SELECT id, unnest(CASE WHEN bad THEN ['bad', 'invalid'] WHEN status <> 'completed' THEN ['invalid'] ELSE [] END || CASE WHEN (bad OR status <> 'completed') AND status <> 'cancelled' THEN ['unmet'] ELSE [] END) AS kind FROM base
+UNION SELECT id, unnest(kinds) AS kind FROM (
+SELECT n.id, CASE WHEN ts = 'completed' THEN ['bad', 'invalid', 'unmet'] ELSE ['bad'] END AS kinds FROM ev JOIN need n ON ev.kind = 'invalid' AND n.needs = ev.id
+UNION ALL SELECT p.id, CASE p.status WHEN 'completed' THEN ['bad', 'invalid', 'unmet'] WHEN 'cancelled' THEN ['bad', 'unmet'] ELSE ['bad'] END FROM ev JOIN checked c ON ev.kind = 'unmet' AND c.id = ev.id JOIN checked p ON p.id = c.parent)),
+failed AS (SELECT id, bool_or(kind = 'bad') AS bad, bool_or(kind = 'invalid') AS invalid FROM ev GROUP BY id),
+gates AS (SELECT c.id, c.status <> 'cancelled' AND NOT coalesce(f.bad, false) AS completion, c.status = 'open' AND c.id NOT IN (SELECT n.id FROM need n JOIN failed x ON x.id = n.needs AND x.invalid) AS ready,
+NOT coalesce(f.invalid, false) AS valid, c.session_id, c.status, c.title, c.flagged FROM checked c LEFT JOIN failed f ON f.id = c.id)"""
+
+
+@query("t11_t13_t14_a9_gates", f"{GATES} SELECT id, completion, ready, valid FROM gates")
+def _(s, d):
+    return gated(s, d)[0]
+
+
+@query("t15_session_closable", f"{GATES} SELECT session_id AS session, bool_and(status = 'cancelled' OR valid) AS closable FROM gates GROUP BY ALL")
+def _(s, d):
+    return R.closable(*gated(s, d))
 
 
-@query("t11_t13_t14_a9_gates", f"{GATES} SELECT id, completion, ready FROM gates")
+@query("t11_validate", f"WITH {TASKS}, {DEPS} SELECT id, 'unknown dependency' AS problem FROM deps WHERE needs % 5 = 0 UNION ALL SELECT id, 'unknown parent' FROM tasks WHERE id % 5 <> 0 AND parent % 5 = 0")
 def _(s, d):
-    return R.gates(checked(s, d), deps(s, d), written)
+    return R.validate(facts(s, d).where("id % 5 <> 0"), deps(s, d))
 
 
-@query("t15_session_closable", f"{GATES} SELECT session_id, bool_and(status = 'cancelled' OR completion) AS closable FROM gates GROUP BY ALL")
+@query("t17_read_view", f"{GATES} SELECT id, ready, completion, count(*) OVER (PARTITION BY session_id) AS in_session FROM gates")
 def _(s, d):
-    g = R.gates(checked(s, d), deps(s, d), written).join(tasks(s, d).select("id", "session_id", "status"), "id")
-    return g.groupBy("session_id").agg(F.bool_and((F.col("status") == "cancelled") | F.col("completion")).alias("closable"))
+    g, t = gated(s, d)
+    size = t.groupBy("session").agg(F.count(F.lit(1)).alias("in_session"))
+    return g.join(t.select("id", "session"), "id").join(size, "session").select("id", "ready", "completion", "in_session")
 
 
-@query("t11_validate", f"WITH {TASKS}, {DEPS} SELECT id, 'unknown dependency' AS problem FROM deps WHERE needs % 5 = 0")
+@query("p4_search_filter", f"{GATES} SELECT id FROM gates WHERE ready AND NOT flagged AND contains(lower(title), 'urg')")
 def _(s, d):
-    return R.validate(tasks(s, d).where("id % 5 <> 0"), deps(s, d))
+    g, t = gated(s, d)
+    return g.where("ready").join(t.where(~F.col("flagged") & F.lower("title").contains("urg")), "id").select("id")
 
 
-@query("t17_read_view", f"{GATES} SELECT id, ready, count(*) OVER (PARTITION BY session_id) AS in_session FROM gates")
+@query("p15_guards", "SELECT * FROM (VALUES ('nation', 'rejected'), ('region', 'admitted')) v(name, outcome)")
 def _(s, d):
-    g = R.gates(checked(s, d), deps(s, d), written).join(tasks(s, d).select("id", "session_id"), "id")
-    return g.select("id", "ready", F.count(F.lit(1)).over(Window.partitionBy("session_id")).alias("in_session"))
+    def outcome(name):
+        try:
+            return "admitted" if R.guarded(table(s, d, name), 10).count() else "empty"
+        except ValueError:
+            return "rejected"
+
+    return s.createDataFrame([(n, outcome(n)) for n in ("nation", "region")], "name string, outcome string")
 
 
 @query("t18_history", "SELECT conv_id, turn, role FROM conversations WHERE conv_id = 3 ORDER BY turn LIMIT 20")
@@ -310,10 +349,10 @@ def _(s, d):
     return table(s, d, "documents").select("doc_id", F.sha2("text", 256).alias("sha"), T.base64url(F.concat("lang", F.lit("?>"), "source").cast("binary")).alias("b64"), F.hex("lang").alias("hex"))
 
 
-@query("fn_yaml_scalars", r"SELECT event_id, CASE WHEN v IN ('null', '', '~') THEN 'null' WHEN v IN ('true', 'false') THEN 'bool' WHEN regexp_full_match(v, '[-+]?(\.[0-9]+|[0-9]+(\.[0-9]*)?)([eE][-+]?[0-9]+)?') THEN 'number' ELSE 'string' END AS kind FROM (SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'null' WHEN 1 THEN 'true' WHEN 2 THEN CAST(event_id AS VARCHAR) || '.5e3' WHEN 3 THEN event_type ELSE '' END AS v FROM events)")
+@query("fn_yaml_scalars", r"SELECT event_id, CASE WHEN v IN ('null', '', '~') THEN 'null' WHEN v IN ('true', 'false') THEN 'bool' WHEN v IN ('0x1F', '-.INF') OR regexp_full_match(v, '[-+]?(\.[0-9]+|[0-9]+(\.[0-9]*)?)([eE][-+]?[0-9]+)?') THEN 'number' ELSE 'string' END AS kind FROM (SELECT event_id, CASE event_id % 8 WHEN 0 THEN 'null' WHEN 1 THEN 'true' WHEN 2 THEN CAST(event_id AS VARCHAR) || '.5e3' WHEN 3 THEN event_type WHEN 4 THEN '0x1F' WHEN 5 THEN '-.INF' WHEN 6 THEN '0o78' ELSE '' END AS v FROM events)")
 def _(s, d):
-    m = F.col("event_id") % 5
-    v = F.when(m == 0, "null").when(m == 1, "true").when(m == 2, F.concat(F.col("event_id").cast("string"), F.lit(".5e3"))).when(m == 3, F.col("event_type")).otherwise("")
+    m = F.col("event_id") % 8
+    v = F.when(m == 0, "null").when(m == 1, "true").when(m == 2, F.concat(F.col("event_id").cast("string"), F.lit(".5e3"))).when(m == 3, F.col("event_type")).when(m == 4, "0x1F").when(m == 5, "-.INF").when(m == 6, "0o78").otherwise("")
     return table(s, d, "events").select("event_id", T.yaml_kind(v).alias("kind"))
 
 

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import text as T
 from loomgraph.operators import retrieval as R
+from loomgraph.operators.textindex import TextIndex
 from loomgraph.plans.registry import query
+from loomgraph.sources.shared import shared_path, written
 from loomgraph.sources.tables import table
 
 TERMS = ["the", "thing", "eau", "und"]
@@ -21,8 +23,24 @@ def bm25_sql(source: str, key: str, x: str, terms: list[str]) -> str:
     return f"SELECT {key}, round({score}, 9) AS score FROM (SELECT {key}, len(w) AS n, {tf} FROM (SELECT {key}, {TOKENS.format(x=x)} AS w FROM {source})), (SELECT count(*) AS docs, avg(n) AS mean, {df} FROM (SELECT len(w) AS n, {tf} FROM (SELECT {TOKENS.format(x=x)} AS w FROM {source}))) WHERE {' OR '.join(f'tf{i} > 0' for i in n)}"
 
 
+_built: dict[tuple, TextIndex] = {}
+
+
+def index(s, d, name, key, fields):
+    """The index of a table, built when it is first asked for and read by all queries after; another session or another version of its files has its own."""
+    docs = table(s, d, name)
+    path = s._jvm.org.apache.hadoop.fs.Path(f"{d}/{name}.parquet")
+    stamp = path.getFileSystem(s._jsc.hadoopConfiguration()).getFileStatus(path).getModificationTime()
+    mark = (s.sparkContext.applicationId, d, name, stamp)
+    if mark not in _built:
+        own = TextIndex(s, shared_path(s, "index"), fields)
+        own.append(docs, key, F.col(key) % 16)
+        _built[mark] = own
+    return _built[mark]
+
+
 def lexical(s, d):
-    return R.bm25(table(s, d, "documents"), "doc_id", T.tokens(F.col("text")), TERMS)
+    return index(s, d, "documents", "doc_id", {"text": T.tokens(F.col("text"))}).bm25("text", TERMS).withColumnRenamed("key", "doc_id")
 
 
 LEXICAL = bm25_sql("documents", "doc_id", "text", sorted(TERMS))
@@ -38,9 +56,8 @@ CODE = r"regexp_replace(regexp_replace(p_name || ' ' || p_brand, '(\p{Ll})(\p{Lu
 
 @query("f1_code_fts", f"SELECT p_partkey, max(score) AS score FROM ({bm25_sql('part', 'p_partkey', CODE, ['12', 'brand'])} UNION ALL {bm25_sql('part', 'p_partkey', 'p_type', ['12', 'brand', 'promo'])}) GROUP BY ALL")
 def _(s, d):
-    part = table(s, d, "part")
-    name = R.bm25(part, "p_partkey", T.code_tokens(F.concat_ws(" ", "p_name", "p_brand")), ["brand", "12"])
-    return R.best_field(name, R.bm25(part, "p_partkey", T.tokens(F.col("p_type")), ["brand", "12", "promo"]), key="p_partkey")
+    own = index(s, d, "part", "p_partkey", {"name": T.code_tokens(F.concat_ws(" ", "p_name", "p_brand")), "type": T.tokens(F.col("p_type"))})
+    return R.best_field(own.bm25("name", ["brand", "12"]), own.bm25("type", ["brand", "12", "promo"]), key="key").withColumnRenamed("key", "p_partkey")
 
 
 @query("f3_json_path_fts", "SELECT event_id, CASE WHEN json_extract_string(props, '$.k') IN ('7', '11') THEN 'props' ELSE 'event_type' END AS path FROM events WHERE json_extract_string(props, '$.k') IN ('7', '11') OR event_type = 'purchase'")
@@ -61,17 +78,27 @@ def _(s, d):
     return table(s, d, "orders").select("o_orderkey", p.alias("public_search"))
 
 
-@query("f6_index_state", "SELECT lang, CASE WHEN sum((text IS NULL)::INT) = count(*) THEN 'Missing' WHEN sum((text IS NULL)::INT) > 0 THEN 'Incompatible' ELSE 'Ready' END AS state FROM documents GROUP BY ALL")
+@query("f6_index_state", "SELECT * FROM (VALUES ('before', 'Missing'), ('built', 'Ready'), ('other analyser', 'Incompatible'), ('other fields', 'Incompatible')) v(moment, state)")
 def _(s, d):
-    n = F.count_if(F.col("text").isNull())
-    return table(s, d, "documents").groupBy("lang").agg(F.when(n == F.count(F.lit(1)), "Missing").when(n > 0, "Incompatible").otherwise("Ready").alias("state"))
+    root, fields = shared_path(s, "index"), {"text": T.tokens(F.col("text"))}
+    own = TextIndex(s, root, fields)
+    found = [("before", own.state())]
+    own.append(table(s, d, "conversations"), "conv_id", F.col("conv_id") % 4)
+    found += [("built", own.state()), ("other analyser", TextIndex(s, root, fields, "code").state()), ("other fields", TextIndex(s, root, fields | {"role": T.tokens(F.col("role"))}).state())]
+    return s.createDataFrame(found, "moment string, state string")
 
 
-@query("f7_incremental_segments", "SELECT doc_id % 16 AS fragment, CAST(floor(log2(count(*))) AS BIGINT) AS tier, count(*) AS n FROM documents WHERE doc_id % 16 NOT IN (3, 5) GROUP BY ALL")
+@query("f7_incremental_segments", f"SELECT term, count(*) AS n_rows, CAST(sum(tf) AS BIGINT) AS n_times FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({TOKENS.format(x='text')}) AS term FROM documents) GROUP BY ALL) GROUP BY ALL")
 def _(s, d):
-    docs = table(s, d, "documents").withColumn("fragment", F.col("doc_id") % 16)
-    covered = docs.where("fragment in (3, 5)").select("fragment").distinct()
-    return docs.join(covered, "fragment", "left_anti").groupBy("fragment").agg(F.floor(F.log2(F.count(F.lit(1)))).alias("tier"), F.count(F.lit(1)).alias("n"))
+    docs = table(s, d, "documents")
+    own = TextIndex(s, shared_path(s, "index"), {"text": T.tokens(F.col("text"))})
+    fragment = F.col("doc_id") % 16
+    own.append(docs.where(fragment < 5), "doc_id", fragment)
+    own.append(docs.where(fragment < 9), "doc_id", fragment)  # four are new
+    own.append(docs, "doc_id", fragment)
+    own.append(docs, "doc_id", fragment)  # none is
+    own.merge(2)
+    return own.store.read().where("term <> ''").groupBy("term").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("tf").alias("n_times"))
 
 
 Q = [round(((i * 37) % 19 - 9) / 10, 1) for i in range(64)]
@@ -114,43 +141,46 @@ def _(s, d):
     return table(s, d, "embeddings").select("vec_id", F.round(1 - F.round(R.cosine_distance(F.col("embedding"), Q), 6), 6).alias("similarity"))
 
 
-L20 = f"SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM ({LEXICAL} ORDER BY score DESC, doc_id LIMIT 20)"
-S20 = f"SELECT vec_id AS doc_id, row_number() OVER (ORDER BY distance, vec_id) AS rank FROM (SELECT vec_id, {COS} AS distance FROM embeddings ORDER BY distance, vec_id LIMIT 20)"
-FUSED = f"SELECT doc_id, round(sum(1.0 / (60 + rank)), 9) AS score FROM (SELECT * FROM ({L20}) UNION ALL SELECT * FROM ({S20})) GROUP BY ALL"
+def fused_sql(where: str = "true") -> str:
+    lex = f"SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM ({LEXICAL}) WHERE {where}"
+    near = f"SELECT vec_id AS doc_id, row_number() OVER (ORDER BY distance, vec_id) AS rank FROM (SELECT vec_id, vec_id AS doc_id, {COS} AS distance FROM embeddings) WHERE {where}"
+    fused = f"SELECT doc_id, round(sum(1.0 / (60 + rank)), 9) AS score FROM (SELECT * FROM ({lex}) UNION ALL SELECT * FROM ({near})) GROUP BY ALL"
+    return f"SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS total FROM ({fused})"
 
 
-def lists(s, d, k=20):
-    lex = R.ranked(lexical(s, d).orderBy(F.desc("score"), "doc_id").limit(k), "doc_id", F.desc("score"))
-    near = R.knn(table(s, d, "embeddings"), "vec_id", "embedding", Q, k).select(F.col("vec_id").alias("doc_id"), F.round("distance", 6).alias("distance"))
-    return lex, R.ranked(near, "doc_id", F.col("distance"))
+def lists(s, d, where="true"):
+    """The complete lists of the eligible rows by score and by distance."""
+    near = table(s, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.round(R.distance(F.col("embedding"), Q, "cosine"), 6).alias("distance"))
+    return lexical(s, d).where(where), near.where(where)
 
 
-@query("h1_hybrid_code", f"{FUSED} ORDER BY score DESC, doc_id LIMIT 20")
+@query("h1_hybrid_code", f"SELECT doc_id, score, place FROM ({fused_sql()}) WHERE place <= 20")
 def _(s, d):
-    return R.rrf(*lists(s, d), "doc_id").orderBy(F.desc("score"), "doc_id").limit(20)
+    return R.fused_page(*lists(s, d), "doc_id", written).select("doc_id", "score", F.col("place").cast("long"))
 
 
-@query("h2_hybrid_pages", f"SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id) AS place FROM ({FUSED}) ORDER BY place LIMIT 10 OFFSET 10")
+@query("h2_hybrid_pages", f"SELECT doc_id, score, place, total FROM ({fused_sql()}) WHERE place BETWEEN 11 AND 20")
 def _(s, d):
-    fused = R.ranked(R.rrf(*lists(s, d), "doc_id"), "doc_id", F.desc("score")).withColumnRenamed("rank", "place")
-    return fused.where("place between 11 and 20").select("doc_id", "score", F.col("place").cast("long"))
+    return R.fused_page(*lists(s, d), "doc_id", written, 10, 10).select("doc_id", "score", F.col("place").cast("long"), "total")
 
 
-@query("h3_hybrid_memory", f"SELECT doc_id, score FROM ({FUSED}) WHERE doc_id % 4 <> 0 ORDER BY score DESC, doc_id LIMIT 5")
+@query("h3_hybrid_memory", f"SELECT doc_id, score, place, total FROM ({fused_sql('doc_id % 4 <> 0')}) WHERE place <= 5")
 def _(s, d):
-    return R.rrf(*lists(s, d), "doc_id").where("doc_id % 4 <> 0").orderBy(F.desc("score"), "doc_id").limit(5)
+    return R.fused_page(*lists(s, d, "doc_id % 4 <> 0"), "doc_id", written, 0, 5).select("doc_id", "score", F.col("place").cast("long"), "total")
 
 
-@query("h4_semantic_task", S20.replace("AS rank", "AS rank"))
+@query("h4_semantic_task", f"SELECT vec_id AS doc_id, row_number() OVER (ORDER BY distance, vec_id) AS rank FROM (SELECT vec_id, {COS} AS distance FROM embeddings ORDER BY distance, vec_id LIMIT 20)")
 def _(s, d):
-    return lists(s, d)[1].select("doc_id", F.col("rank").cast("long"))
+    top = lists(s, d)[1].orderBy("distance", "doc_id").limit(20)
+    return R.ranked(top, "doc_id", F.col("distance")).select("doc_id", F.col("rank").cast("long"))
 
 
 @query("h5_degradation", f"SELECT doc_id, score, 'unavailable' AS vector_status FROM ({LEXICAL}) ORDER BY score DESC, doc_id LIMIT 20")
 def _(s, d):
     usable = table(s, d, "embeddings").where("label = 99")
-    out = lexical(s, d).orderBy(F.desc("score"), "doc_id").limit(20)
-    return out.withColumn("vector_status", F.lit("unavailable")) if usable.isEmpty() else R.rrf(*lists(s, d), "doc_id").withColumn("vector_status", F.lit("used"))
+    if usable.isEmpty():
+        return lexical(s, d).orderBy(F.desc("score"), "doc_id").limit(20).withColumn("vector_status", F.lit("unavailable"))
+    return R.fused_page(*lists(s, d), "doc_id", written).select("doc_id", "score").withColumn("vector_status", F.lit("used"))
 
 
 @query("r1_rerank", f"SELECT doc_id, score, n_chars AS rerank_score, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS rerank_rank FROM (SELECT * FROM ({LEXICAL}) ORDER BY score DESC, doc_id LIMIT 20) JOIN documents USING (doc_id)")
@@ -159,10 +189,10 @@ def _(s, d):
     return R.rerank(page, "doc_id", F.col("n_chars")).select("doc_id", "score", "rerank_score", F.col("rerank_rank").cast("long"))
 
 
-@query("r2_rerank_text", "SELECT d.doc_id, CASE WHEN l.toxic = 0 THEN left(text, 40) WHEN lang <> 'en' THEN left(text, 20) ELSE 'doc ' || source || ' in ' || lang END AS chosen FROM documents d LEFT JOIN labels l USING (doc_id)")
+@query("r2_rerank_text", "SELECT d.doc_id, CASE WHEN l.toxic = 0 THEN text WHEN lang <> 'en' THEN lang || ': ' || text ELSE 'doc ' || source || ' in ' || lang END AS chosen FROM documents d LEFT JOIN labels l USING (doc_id)")
 def _(s, d):
     j = table(s, d, "documents").join(table(s, d, "labels"), "doc_id", "left")
-    return j.select("doc_id", F.when(F.col("toxic") == 0, F.substring("text", 1, 40)).when(F.col("lang") != "en", F.substring("text", 1, 20)).otherwise(F.concat(F.lit("doc "), "source", F.lit(" in "), "lang")).alias("chosen"))
+    return j.select("doc_id", F.when(F.col("toxic") == 0, F.col("text")).when(F.col("lang") != "en", F.concat("lang", F.lit(": "), "text")).otherwise(F.concat(F.lit("doc "), "source", F.lit(" in "), "lang")).alias("chosen"))
 
 
 FP = "sha256('recipe-1' || chr(10) || 'document' || chr(10) || lang || chr(10) || '64' || chr(10) || text)"

@@ -2,25 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from loomgraph.operators import versions as V
 from loomgraph.plans.registry import query
+from loomgraph.sources.shared import shared_path as shared
 from loomgraph.sources.tables import table
 from loomgraph.streaming import publish
 
 
-def shared(s, name):
-    base = s.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        base = "file://" + tempfile.mkdtemp(prefix="loom-")
-        s.conf.set("spark.checkpoint.dir", base)
-    return f"{base}/{name}-{uuid.uuid4().hex}"
-
-
 def before(s, d):
     return table(s, d, "part").where("p_partkey % 7 <> 0").select("p_partkey", "p_brand", "p_size")
 
@@ -92,12 +82,29 @@ def _(s, d):
 
 @query("x9_delete", f"WITH {SNAP} SELECT * FROM a WHERE NOT p_size > 25")
 def _(s, d):
-    return before(s, d).where("not p_size > 25")
+    store = V.Store(s, shared(s, "store"))
+    v = store.commit(before(s, d), 0)
+    store.commit(store.read().where("not p_size > 25"), v)
+    return store.read()
 
 
 @query("x10_columns", f"WITH {SNAP} SELECT p_partkey, p_size, CAST(NULL AS VARCHAR) AS note FROM a")
 def _(s, d):
-    return before(s, d).drop("p_brand").withColumn("note", F.lit(None).cast("string"))
+    store = V.Store(s, shared(s, "store"))
+    v = store.commit(before(s, d), 0)
+    store.commit(store.read().drop("p_brand").withColumn("note", F.lit(None).cast("string")), v)
+    return store.read()
+
+
+@query("x7_recovery", "SELECT * FROM (VALUES ('t1', 'Applied'), ('t2', 'Conflicted'), ('t3', 'Unresolved')) v(txn, outcome)")
+def _(s, d):
+    store = V.Store(s, shared(s, "store"))
+    store.commit(before(s, d), 0, txn="t1")
+    try:
+        store.commit(after(s, d), 0, txn="t2")
+    except V.Conflict:
+        pass
+    return s.createDataFrame([(t, store.resolve(t)) for t in ("t1", "t2", "t3")], "txn string, outcome string")
 
 
 @query("x11_a13_compaction", f"WITH {SNAP} SELECT * FROM a")
@@ -196,6 +203,32 @@ def _(s, d):
     return store.read().select("user_id", "event_id")
 
 
+@query("st2_embedding_stream", "SELECT vec_id, label FROM embeddings JOIN documents ON doc_id = vec_id WHERE n_chars % 3 = label % 3")
+def _(s, d):
+    """Embeddings arrive with the fingerprint of the text they were made of; those of texts that have changed since are refused."""
+    path = shared(s, "feed")
+    made = table(s, d, "embeddings").select("vec_id", "label", (F.col("label") % 3).cast("long").alias("fingerprint"), F.lit(1).alias("revision"))
+    for k in range(2):
+        made.where(F.col("vec_id") % 2 == k).write.parquet(f"{path}/b={k}")
+    arriving = s.readStream.schema(made.schema).option("maxFilesPerTrigger", 8).parquet(f"{path}/b=*")
+    now = table(s, d, "documents").select(F.col("doc_id").alias("vec_id"), (F.col("n_chars") % 3).cast("long").alias("fingerprint"))
+    store = V.Store(s, shared(s, "store"))
+    publish.run(arriving, store, "vec_id", "revision", shared(s, "ckpt"), current=(now, ["vec_id", "fingerprint"]))
+    return store.read().select("vec_id", "label")
+
+
+@query("g13_st3_file_deltas", f"WITH {SNAP} SELECT p_partkey, p_brand, p_size FROM a WHERE p_brand NOT IN ('Brand#11', 'Brand#12') UNION ALL SELECT * FROM b WHERE p_brand = 'Brand#11'")
+def _(s, d):
+    """Deltas of files (here brands) on a published graph: replaced, deleted, sent twice, and one that comes late."""
+    store = V.Store(s, shared(s, "store"))
+    store.commit(before(s, d).withColumns({"path": F.col("p_brand"), "revision": F.lit(1)}), 0)
+    new = after(s, d).where("p_brand = 'Brand#11'").withColumns({"path": F.col("p_brand"), "revision": F.lit(3)})
+    publish.replace_files(store, new, s.createDataFrame([("Brand#11", 3)], "path string, revision int"))
+    publish.replace_files(store, new, s.createDataFrame([("Brand#11", 3)], "path string, revision int"))
+    publish.replace_files(store, new.limit(0), s.createDataFrame([("Brand#11", 2), ("Brand#12", 2)], "path string, revision int"))
+    return store.read().where("p_partkey is not null").select("p_partkey", "p_brand", "p_size")
+
+
 @query("st6_lease_expiry", "SELECT user_id, max(ts) + INTERVAL 2 DAY > TIMESTAMP '2024-01-31' AS alive FROM events GROUP BY ALL")
 def _(s, d):
     return table(s, d, "events").groupBy("user_id").agg((F.max("ts") + F.expr("interval 2 days") > F.lit("2024-01-31").cast("timestamp_ntz")).alias("alive"))

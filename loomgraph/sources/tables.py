@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from loomgraph.operators.ordering import numbered, running
+from loomgraph.sources.shared import written
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -20,14 +23,16 @@ def node_shards(shards: list[tuple[DataFrame, int]], key: str) -> DataFrame:
     """
     out = None
     for df, base in shards:
-        one = df.withColumn("row", F.row_number().over(Window.orderBy(key)) - 1 + base)
+        one = numbered(df, [F.col(key)], "row", written).withColumn("row", F.col("row") + base)
         out = one if out is None else out.unionByName(one, allowMissingColumns=True)
     return out
 
 
 def csr_ranges(indptr: DataFrame) -> DataFrame:
     """(row, ptr) to (source, begin, end): the adjacency range of each source."""
-    return indptr.withColumn("end", F.lead("ptr").over(Window.orderBy("row"))).where("end is not null").select(F.col("row").alias("source"), F.col("ptr").alias("begin"), "end")
+    placed = written(numbered(indptr, [F.col("row")], "place", written))
+    after = placed.select((F.col("place") - 1).alias("place"), F.col("ptr").alias("end"))
+    return placed.join(after, "place").select(F.col("row").alias("source"), F.col("ptr").alias("begin"), "end")
 
 
 def csr_edges(indptr: DataFrame, indices: DataFrame) -> DataFrame:
@@ -39,8 +44,7 @@ def csr_edges(indptr: DataFrame, indices: DataFrame) -> DataFrame:
 def csr_write(edges: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(source, target, uid) and the rows of all sources to (indptr, indices), sorted by source and uid."""
     counts = nodes.select("row").join(edges.groupBy(F.col("source").alias("row")).agg(F.count(F.lit(1)).alias("n")), "row", "left")
-    ptr = F.coalesce(F.sum(F.coalesce("n", F.lit(0))).over(Window.orderBy("row").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    indptr = counts.select("row", ptr.alias("ptr"))
+    indptr = written(running(counts, [F.col("row")], {"ptr": F.coalesce("n", F.lit(0))}, written).select("row", "ptr"))
     total = counts.agg((F.max("row") + 1).alias("row"), F.sum(F.coalesce("n", F.lit(0))).alias("ptr"))
     within = F.row_number().over(Window.partitionBy("source").orderBy("uid")) - 1
     indices = edges.withColumn("k", within).join(indptr.withColumnRenamed("row", "source"), "source").select((F.col("ptr") + F.col("k")).alias("position"), "target", "uid")
