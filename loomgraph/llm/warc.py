@@ -3,15 +3,19 @@
 Archives are written by Spark's text writer with CRLF CRLF, the end of a WARC
 record, as its line separator, so every part file is a plain WARC 1.1 file.
 Reading a file gives a run of index entries, sorted by URL key and time where it
-is read.  The runs are dealt by ranges of (URL key, time), and a loser tree
-merges the parts of all runs within a range: the captures of all URLs come out
-in one global order, the history of each URL in order of time.
+is read.  The runs are dealt by ranges of their whole key, down to file and offset,
+so that captures of one URL and time can lie in several ranges and none is larger
+than others.  Where a range arrives, its ascending stretches are the parts of the
+runs, which the shuffle has kept in order; a loser tree merges them, and nothing is
+sorted again.  The captures of all URLs come out in one global order, the history
+of each URL in order of time.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import islice
 from urllib.parse import urlsplit
 
 import pyarrow as pa
@@ -23,8 +27,12 @@ from loomgraph.llm.common import fresh_path, stored, table
 
 #: Payloads of at least so many bytes are stored once.
 REVISIT_FROM = 1000
-#: Archives are cut at about so many payload bytes.
+#: Archives are cut at about so many payload bytes, and never above _MOST but for a single page.
 FILE_BYTES = 16 << 20
+#: Pages below these sizes share archives, those of each class apart, so that a run of large pages can't swell one.
+_CLASSES, _MOST = (128 << 10, 4 << 20, 1 << 62), 1 << 30
+#: A range of the merged index has about so many entries.
+RANGE_ROWS = 50_000
 EPOCH = 1_700_000_000
 END = "\r\n\r\n"
 
@@ -46,9 +54,13 @@ def with_record_types(pages: DataFrame, page_id: str = "page_id", html: str = "h
 
 
 def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url", least: int = REVISIT_FROM, file_bytes: int = FILE_BYTES) -> None:
-    """Writes one WARC record for each row of pages."""
+    """Writes one WARC record for each row of pages, into a folder for each class of sizes."""
     p = with_record_types(pages, page_id, least=least)
-    mean = pages.agg(F.avg(F.octet_length("html"))).first()[0] or 0
+    bytes_ = F.coalesce(F.octet_length("html"), F.lit(0))
+    kind = F.lit(len(_CLASSES) - 1)
+    for k in range(len(_CLASSES) - 2, -1, -1):
+        kind = F.when(bytes_ < _CLASSES[k], k).otherwise(kind)
+    classes = pages.groupBy(kind.alias("k")).agg(F.avg(bytes_).alias("mean"), F.max(bytes_).alias("most")).collect()  # three rows at most
     line = F.lit("\r\n")
     clean = F.regexp_replace(F.regexp_replace(F.coalesce(url, F.lit("")), "\r", "%0D"), "\n", "%0A")
     name = lambda x: F.concat(F.lit("<urn:x-page:"), x.cast("string"), F.lit(">"))
@@ -65,7 +77,12 @@ def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", url: s
         F.lit("WARC-Payload-Digest: sha1:"), F.col("payload_digest"), line,
         F.lit("Content-Type: application/http; msgtype=response\r\nContent-Length: "), F.octet_length(block).cast("string"), F.lit(END),
     )
-    p.select(F.concat(head, block).alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", max(1, int(file_bytes / (mean + 600)))).text(path)
+    rows = p.select(F.concat(head, block).alias("value"), F.col("payload_bytes"))
+    for c in classes or [{"k": 0, "mean": 0, "most": 0}]:
+        low, high = ([0, *_CLASSES][c["k"]], _CLASSES[c["k"]]) if len(classes) > 1 else (0, _CLASSES[-1])
+        records_ = max(1, min(int(file_bytes / (c["mean"] + 600)), int(_MOST / (c["most"] + 600))))
+        own = rows.where((F.col("payload_bytes") >= low) & (F.col("payload_bytes") < high)).select("value")
+        own.write.option("lineSep", END).option("maxRecordsPerFile", records_).text(f"{path}/sizes-{c['k']}")
 
 
 def url_key(url: str) -> str:
@@ -102,7 +119,7 @@ _FIELDS = [f.split(" ") for f in INDEX.split(", ")]
 _TYPES = {"string": pa.string(), "long": pa.int64()}
 
 
-def _batch(rows: list[tuple], more: tuple[list, ...] = ()) -> pa.RecordBatch:
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
     columns = list(zip(*rows, strict=True)) if rows else [[] for _ in _FIELDS]
     return pa.RecordBatch.from_arrays([pa.array(c, _TYPES[t]) for c, (_, t) in zip(columns, _FIELDS, strict=True)], [n for n, _ in _FIELDS])
 
@@ -115,7 +132,7 @@ def _read_run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     number = lambda x: int(x[len("<urn:x-page:") : -1]) if x else None
     for batch in batches:
         for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            data, rows, name = content.as_py(), [], path.rpartition("/")[2]
+            data, rows, name = content.as_py(), [], "/".join(path.rsplit("/", 2)[1:])
             for offset, length, head, block in records(data):
                 body = bytes(block)
                 cut = body.find(b"\r\n\r\n") + 4
@@ -132,7 +149,7 @@ def _read_run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_runs(spark: SparkSession, path: str) -> DataFrame:
     """The index entries of all archives, each archive's sorted: a run for each file."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").load(path).select("path", "content")
     return files.mapInArrow(_read_run, INDEX)
 
 
@@ -175,31 +192,22 @@ class LoserTree:
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    runs: dict[str, list[tuple]] = {}
-    for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            runs.setdefault(row[7], []).append((_key(row), row))
-    for run in runs.values():
-        run.sort(key=lambda x: x[0])  # the shuffle kept its order: one pass that finds it sorted
-    shard, rows, place = TaskContext.get().partitionId(), [], 0
-
-    def out() -> pa.RecordBatch:
-        b = _batch(rows)
-        return pa.RecordBatch.from_arrays([*b.columns, pa.array([shard] * len(rows), pa.int32()), pa.array(range(place - len(rows), place), pa.int64())], [*b.schema.names, "shard", "place"])
-
-    for _, row in LoserTree([iter(runs[name]) for name in sorted(runs)]):
-        rows.append(row)
-        place += 1
-        if len(rows) == 10_000:
-            yield out()
-            rows.clear()
-    if rows:
-        yield out()
+    whole = pa.Table.from_batches(batches, schema=pa.schema([(n, _TYPES[t]) for n, t in _FIELDS]))
+    columns = [whole.column(k).to_pylist() for k in (0, 1, 2, 7, 8)]
+    keys = list(zip(columns[0], columns[1], (-1 if x is None else x for x in columns[2]), columns[3], columns[4], strict=True))
+    cuts = [0, *(i for i in range(1, len(keys)) if keys[i] < keys[i - 1]), len(keys)]  # ascending stretches
+    shard, place, order = TaskContext.get().partitionId(), 0, []
+    merged = iter(LoserTree([((keys[i], i) for i in range(a, b)) for a, b in zip(cuts, cuts[1:])]))
+    while order := [i for _, i in islice(merged, 10_000)]:
+        out = whole.take(pa.array(order, pa.int64())).combine_chunks().to_batches()[0]
+        yield pa.RecordBatch.from_arrays([*out.columns, pa.array([shard] * len(order), pa.int32()), pa.array(range(place, place + len(order)), pa.int64())], [*out.schema.names, "shard", "place"])
+        place += len(order)
 
 
-def merged_index(runs: DataFrame) -> DataFrame:
-    """The entries of all runs in the global order of (url_key, time): by shard, then by place in it."""
-    return runs.repartitionByRange("url_key", "time", "page_id").mapInArrow(_merge, INDEX + ", shard int, place long")
+def merged_index(runs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """The entries of all runs in the global order of (url_key, time): by shard, then by place in it.  A task holds one range."""
+    parts = max(int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-runs.count() // range_rows))
+    return runs.repartitionByRange(parts, "url_key", "time", "page_id", "file", "offset").mapInArrow(_merge, INDEX + ", shard int, place long")
 
 
 def archive(pages: DataFrame, path: str | None = None, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -207,7 +215,8 @@ def archive(pages: DataFrame, path: str | None = None, page_id: str = "page_id",
 
     One entry for each row of pages, repeated rows too.  A null html is an empty
     payload, a null url an empty one; null page_ids stay null.  An empty table
-    gives an empty index.  Other columns are ignored.
+    gives an empty index.  Other columns are ignored.  An archive is read whole,
+    so a page may be as large as a binary value (2 GB with its headers).
     """
     spark = pages.sparkSession
     path = path or fresh_path(spark, "warc")

@@ -394,6 +394,21 @@ def test_warc(spark, sf_dir, none):
     assert rows(warc.archive(spark.createDataFrame([], "page_id long, url string, html string"))) == []
 
 
+def test_warc_sizes_and_ranges(spark):
+    """Pages of all size classes, and more captures of one URL, time and page than a range holds."""
+    data = [(i % 7, "http://a.example/", "x" * (3 + i)) for i in range(500)] + [(900, "http://b.example/", "y" * 200_000), (901, "http://b.example/", "z" * 5_000_000), (902, None, None)]
+    pages = spark.createDataFrame(data, "page_id long, url string, html string").repartition(5)
+    path = warc.fresh_path(spark, "warc")
+    got = rows(warc.archive(pages, path))
+    assert Counter((r["page_id"], r["payload_digest"]) for r in got) == Counter((i, hashlib.sha1((h or "").encode()).hexdigest()) for i, _, h in data)
+    assert {r["file"].split("/")[0] for r in got} == {"sizes-0", "sizes-1", "sizes-2"}
+    few = rows(warc.merged_index(warc.stored(warc.read_runs(spark, path)), range_rows=20))
+    assert max(Counter(r["shard"] for r in few).values()) < 120 and len({r["shard"] for r in few if r["url_key"] == "example,a)/"}) > 5
+    order = sorted(few, key=lambda r: (r["shard"], r["place"]))
+    key = lambda r: (r["url_key"], r["time"], -1 if r["page_id"] is None else r["page_id"], r["file"], r["offset"])
+    assert list(map(key, order)) == sorted(map(key, few))
+
+
 def test_loser_tree():
     rng = np.random.default_rng(2)
     for k in range(0, 12):
