@@ -45,6 +45,8 @@ PERCENT, WIDTH = 80, 5
 PART_TOKENS = 2_000_000
 #: A chunk of a component has about so many tokens and sets at most.
 CHUNK_TOKENS, CHUNK_SETS = 500_000, 1_000
+#: A component with enough sets has so many chunks at least, of so many sets or more, that its pairs are dealt to several tasks.
+SPREAD, SPREAD_SETS = 8, 100
 
 
 def need(n: int, percent: int) -> int:
@@ -263,7 +265,9 @@ def _degrees(label: DataFrame, sets: DataFrame, percent: int, buckets: int) -> D
     id_type = label.schema["node"].dataType.simpleString()
     member = sets.select("rep", F.size("tokens").alias("n")).join(label.withColumnRenamed("node", "rep"), "rep")
     member = stored(member)
-    chunks = F.ceil(F.greatest(F.sum("n") / CHUNK_TOKENS, F.count(F.lit(1)) / CHUNK_SETS)).cast("int")
+    k = F.count(F.lit(1))
+    spread = F.least(k / SPREAD_SETS, F.lit(float(SPREAD)))
+    chunks = F.ceil(F.greatest(F.sum("n") / CHUNK_TOKENS, k / CHUNK_SETS, spread)).cast("int")
     member = member.join(member.groupBy("label").agg(chunks.alias("q")), "label")
     member = stored(member.select("rep", F.xxhash64("label").alias("label"), "q", F.pmod(F.xxhash64("rep"), "q").cast("int").alias("chunk")))
     pairs = sets.join(member.hint("merge"), "rep").withColumn("with", F.explode(F.sequence(F.lit(0), F.col("q") - 1)))
