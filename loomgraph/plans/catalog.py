@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.plans import documents, graph, records, retrieval, versioned  # noqa: F401  they register their queries
+from loomgraph.plans import documents, graph, lifecycle, records, retrieval, versioned  # noqa: F401  they register their queries
 from loomgraph.plans.registry import QUERIES, SQL
 
 
