@@ -62,7 +62,7 @@ CASE WHEN o_orderkey % 5 > 1 THEN 1000000 + (o_orderkey % 100 - 30) * 1000 END A
 r AS (SELECT *, CASE id % 3 WHEN 0 THEN 'claim' WHEN 1 THEN 'heartbeat' ELSE 'release' END AS kind, CASE WHEN id % 7 = 0 THEN 'a0' ELSE 'a' || o_custkey % 2 END AS actor, epoch - CASE WHEN id % 11 = 0 THEN 1 ELSE 0 END AS fence, id % 13 <> 0 AS fresh, CASE WHEN id % 17 = 0 THEN 0 ELSE 60000 END AS lease FROM h),
 o AS (SELECT *, CASE WHEN NOT fresh THEN 'conflict' WHEN kind <> 'release' AND lease = 0 THEN 'invalid' WHEN kind = 'claim' THEN CASE WHEN status = 'completed' THEN 'closed' WHEN expires_at > 1000000 THEN 'held' ELSE 'applied' END
 WHEN owner IS NULL OR owner <> actor OR fence <> epoch THEN 'fenced' WHEN kind = 'heartbeat' AND expires_at <= 1000000 THEN 'expired' ELSE 'applied' END AS outcome FROM r)
-SELECT id, outcome, CASE WHEN outcome = 'applied' AND kind <> 'release' THEN actor END AS owner, CASE WHEN outcome = 'applied' THEN epoch + CASE WHEN kind = 'claim' THEN 1 ELSE 0 END END AS epoch, CASE WHEN outcome = 'applied' AND kind <> 'release' THEN 1060000 END AS expires_at FROM o""")
+SELECT id, outcome, CASE WHEN outcome = 'applied' AND kind <> 'release' THEN actor END AS owner, CASE WHEN outcome = 'applied' THEN epoch + CASE WHEN kind = 'claim' THEN 1 ELSE 0 END END AS epoch, CASE WHEN outcome = 'applied' AND kind <> 'release' THEN CAST(1060000 AS BIGINT) END AS expires_at FROM o""")
 def _(s, d):
     k, now = F.col("o_orderkey"), F.lit(1_000_000).cast("long")
     held, mine = k % 5 > 1, F.concat(F.lit("a"), (F.col("o_custkey") % 2).cast("string"))
@@ -89,7 +89,7 @@ def specs(s, d):
 
 
 def counted(done):
-    n = lambda status: F.size(F.filter("after.checks", lambda c: c["status"] == status))
+    n = lambda status: F.size(F.filter("after.checks", lambda c: c["status"] == status)).cast("long")
     return done.select("id", "outcome", *[F.when(F.col("after").isNotNull(), n(x)).alias(x) for x in ("passed", "pending", "superseded")])
 
 
