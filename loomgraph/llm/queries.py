@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import blocknames, bpe, langid, linededup, media, mixing, packing, quality, setjoin, warc
+from loomgraph.llm import bestfit, blocknames, bpe, langid, linededup, media, mixing, packing, prefixtrie, quality, setjoin, spelling, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,9 +23,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_mixing": mixing.query,
         "op9_exact_dedup": blocknames.query,
         "op10_line_dedup": linededup.query,
+        "op11_prefix_trie": prefixtrie.query,
+        "op12_best_fit_packing": bestfit.query,
+        "op13_spelling_variants": spelling.query,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_exact_dedup": blocknames.ORACLE}
+    return {"op9_exact_dedup": blocknames.ORACLE, "op11_prefix_trie": prefixtrie.ORACLE}
