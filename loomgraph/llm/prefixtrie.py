@@ -54,7 +54,7 @@ def rebuilt(conversations: DataFrame, family: int = FAMILY, shared: int = SHARED
     own = stored(turns(conversations))
     many = stored(own.groupBy("conv_id").agg(F.count(F.lit(1)).alias("own_n")))
     base = many.select(F.col("conv_id").alias("base"), F.col("own_n").alias("base_n"))
-    convs = many.withColumn("base", F.col("conv_id") - F.col("conv_id") % family).withColumn("h", F.crc32(F.col("conv_id").cast("string").cast("binary")) % shared)
+    convs = many.withColumn("base", F.col("conv_id") - F.pmod("conv_id", F.lit(family))).withColumn("h", F.crc32(F.col("conv_id").cast("string").cast("binary")) % shared)
     convs = convs.join(base, "base", "left").withColumn("taken", F.least("h", F.coalesce("base_n", F.lit(0).cast("long"))))
     convs = stored(convs.select("conv_id", "base", "h", "taken", (F.col("taken") + F.greatest(F.col("own_n") - F.col("h"), F.lit(0).cast("long"))).alias("n")))
     head = own.where(F.col("place") < shared).withColumnRenamed("conv_id", "base")
