@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import contextlib
+import contextvars
 import ctypes
 import re
 import tempfile
@@ -36,36 +36,35 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-_noted: list[str] | None = None
-_left: list[str] = []
+_noted: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("noted", default=None)
 
 
-@contextlib.contextmanager
-def scratch(docs: DataFrame) -> Iterator[None]:
-    """Notes what stored() writes within; first deletes what was noted before, but for what docs reads."""
-    global _noted
-    if _noted is None:
-        spark, read = docs.sparkSession, "\n".join(docs.inputFiles()) if _left else ""
-        gone = [x for x in _left if x.rpartition("/")[2] not in read]
-        _left[:] = [x for x in _left if x not in gone]
-        for x in gone:
-            path = spark._jvm.org.apache.hadoop.fs.Path(x)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-        _noted = _left
-        try:
-            yield
-        finally:
-            _noted = None
-    else:
-        yield
+def _delete(spark: SparkSession, at: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def tidy(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
+    """What make() returns; of what stored() wrote meanwhile, only what this still reads is kept. Nothing that another call wrote is touched."""
+    mine: list[str] = []
+    token, read = _noted.set(mine), ""
+    try:
+        out = make()
+        read = "\n".join(out.inputFiles())
+    finally:
+        _noted.reset(token)
+        for x in mine:
+            if x.rpartition("/")[2] not in read:
+                _delete(spark, x)
+    return out
 
 
 def stored(df: DataFrame) -> DataFrame:
     """The rows written to the shared folder and read again: it cuts the lineage, survives lost executors, and gives the planner true sizes."""
     spark = df.sparkSession
     path = fresh_path(spark, "stage")
-    if _noted is not None:
-        _noted.append(path)
+    if (mine := _noted.get()) is not None:
+        mine.append(path)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
@@ -75,9 +74,7 @@ def stored(df: DataFrame) -> DataFrame:
 def dropped(*frames: DataFrame) -> None:
     """Deletes what stored() wrote, once no plan reads it any more."""
     for df in frames:
-        spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(df.stored_at)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(df.sparkSession, df.stored_at)
 
 
 def release() -> None:

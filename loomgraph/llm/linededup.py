@@ -1,16 +1,18 @@
 """Line deduplication by winnowing over line hashes.
 
 The non-blank lines of a text, trimmed, are hashed.  A run of lines counts if it has
-``run`` lines or ``words`` words.  From every line begins a window, the shortest run
-that counts; the line with the least hash in it (of equals, the last) is a fingerprint.
-So every repeated run that counts holds a fingerprint, at the same place wherever the
-run occurs, and a text has far fewer of them than windows.
+``run`` lines or ``words`` words.  Windows are the shortest runs that count from each line
+and up to each line: every line of a run that counts lies in a window within that run.
+The line with the least hash in a window (of equals, the last) is a fingerprint.  So every
+repeated window holds a fingerprint, at the same place wherever it occurs, and a text has
+far fewer of them than windows.
 
 Fingerprints are joined by their line's hash: each occurrence with the first of the
-corpus.  The match is extended both ways line by line, up to ``reach`` lines, and if the
-run counts, the later one is deleted.  A line that is common by itself may meet its first
-occurrence in other company.  Then the windows that chose it and are not part of the match
-are joined once more, by all their lines: each with the first one like it that is open too.
+corpus.  From there the match is extended both ways, as far as the windows that chose the
+fingerprint reach, and those within the match are later occurrences: they go.  A line that
+is common by itself may meet its first occurrence in other company.  Then the windows that
+are not part of the match are joined once more, by all their lines: each with the first one
+like it that is open too.
 """
 
 from __future__ import annotations
@@ -25,17 +27,26 @@ from pyspark.sql import functions as F
 from loomgraph.llm import hashing
 from loomgraph.llm.common import dropped, stored, table
 
-RUN, WORDS, REACH = 3, 50, 16
+RUN, WORDS = 3, 50
 
 
-def windows(h: np.ndarray, sizes: np.ndarray, run: int, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(begin, end, place of the least hash) of the window from each line that has one; line i has hash h[i] and sizes[i] words."""
-    n = len(h)
-    at = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
+def _shortest(at: np.ndarray, run: int, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(begin, end) of the shortest run that counts from each line that has one; at has the words before each line."""
+    n = len(at) - 1
     begin = np.arange(n)
     end = np.minimum(begin + run, np.searchsorted(at, at[:-1] + words, "left"))
     begin = begin[end <= n]
-    end = end[: len(begin)]
+    return begin, end[: len(begin)]
+
+
+def windows(h: np.ndarray, sizes: np.ndarray, run: int, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(begin, end, place of the least hash) of the windows; line i has hash h[i] and sizes[i] words."""
+    n = len(h)
+    at = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
+    begin, end = _shortest(at, run, words)
+    stop, start = (n - x for x in _shortest(at[-1] - at[::-1], run, words))
+    spans = np.unique(np.concatenate((begin * (n + 1) + end, start * (n + 1) + stop)))
+    begin, end = spans // (n + 1), spans % (n + 1)
     place = np.zeros(len(begin), np.int64)
     for size in range(1, run + 1):
         own = np.flatnonzero(end - begin == size)
@@ -109,30 +120,36 @@ def extended(x: np.ndarray, at: int, y: np.ndarray, there: int) -> tuple[int, in
 
 
 def _extend(run: int, words: int):
-    """(id, at, low, lines, sizes, first_at, first_low, first_lines) to (id, at, begin, stop, counts, open): the match, whether it counts, and the hashes of the windows that chose the place and are not part of it."""
+    """(id, at, low, lines, sizes, first_at, first_low, first_lines, same) to (id, runs, open): what goes, and the windows that chose the place and are not part of the match.
+
+    With same, both are of one text, and what goes begins after the first
+    occurrence.  A window is open by its begin, end and 128 bits of its lines'
+    hashes and the place chosen.
+    """
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mul = 0xD6E8FEB86659FD93
+        import xxhash
+
+        span = pa.struct([("begin", pa.int32()), ("stop", pa.int32())])
+        window = pa.struct([("begin", pa.int32()), ("stop", pa.int32()), ("key", pa.binary())])
         for batch in batches:
-            begin, stop, counts, open_ = [], [], [], []
-            c = [batch.column(k) for k in range(8)]
-            for p, low, h, n, q, first_low, other in zip(c[1].to_pylist(), c[2].to_pylist(), c[3], c[4], c[5].to_pylist(), c[6].to_pylist(), c[7], strict=True):
+            runs, open_ = [], []
+            c = [batch.column(k) for k in range(1, 9)]
+            for p, low, h, n, q, first_low, other, same in zip(c[0].to_pylist(), c[1].to_pylist(), c[2], c[3], c[4].to_pylist(), c[5].to_pylist(), c[6], c[7].to_pylist(), strict=True):
                 h, n, other = h.values.to_numpy(), n.values.to_numpy(), other.values.to_numpy()
                 a, b = extended(h, p - low, other, q - first_low)
-                begin.append(a + low)
-                stop.append(b + low)
-                counts.append(b - a >= run or int(n[a:b].sum()) >= words)
-                left = []
-                near = max(0, p - low - run + 1)  # no window that holds the place begins earlier
-                v = h[near : p - low + run].view(np.uint64)
-                for s, e, least in zip(*windows(v, n[near : p - low + run], run, words), strict=True):
-                    if least + near == p - low and (s + near < a or e + near > b):
-                        key = int(p - low - near - s) + 1
-                        for x in v[s:e].tolist():
-                            key = (key * mul + x) % (1 << 64)
-                        left.append(key - (1 << 64) * (key >> 63))
+                gone, left = [], []
+                for s, e, least in zip(*(x.tolist() for x in windows(h.view(np.uint64), n, run, words)), strict=True):
+                    if least != p - low:
+                        continue
+                    if a <= s and e <= b:
+                        begin = max(s + low, e + low - (p - q)) if same else s + low
+                        gone.append({"begin": begin, "stop": e + low})
+                    else:
+                        left.append({"begin": s + low, "stop": e + low, "key": xxhash.xxh3_128_digest(h[s:e].tobytes() + bytes([least - s]))})
+                runs.append(gone)
                 open_.append(left)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(begin, pa.int32()), pa.array(stop, pa.int32()), pa.array(counts, pa.bool_()), pa.array(open_, pa.list_(pa.int64()))], ["id", "at", "begin", "stop", "counts", "open"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(runs, pa.list_(span)), pa.array(open_, pa.list_(window))], ["id", "runs", "open"])
 
     return go
 
@@ -157,8 +174,8 @@ def _drop_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(removed, pa.int32()), pa.array(spans, pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())])))], ["id", "text", "lines_removed", "runs"])
 
 
-def _matches(marks: DataFrame, lines: DataFrame, run: int, words: int, reach: int) -> DataFrame:
-    """Each mark (key, id, at) but the first of its key, extended from there: (id, at, begin, stop, counts, open)."""
+def _matches(marks: DataFrame, lines: DataFrame, run: int, words: int) -> DataFrame:
+    """Each mark (key, id, at) but the first of its key, extended from there: (id, runs, open)."""
     id_type = marks.schema["id"].dataType.simpleString()
     firsts = marks.groupBy("key").agg(F.min(F.struct("id", "at")).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1")
     firsts = stored(firsts.select("key", F.col("f.id").alias("first_id"), F.col("f.at").alias("first_at")))
@@ -167,26 +184,33 @@ def _matches(marks: DataFrame, lines: DataFrame, run: int, words: int, reach: in
     wanted = hits.select("id", "at").union(hits.select("first_id", "first_at")).distinct().groupBy("id").agg(F.collect_list("at").alias("wanted"))
     texts = stored(wanted).join(lines.select("id", "lines", "sizes"), "id").dropDuplicates(["id"])
     # Stored, so that Spark can split the rows of a place that many match.
-    slices = stored(texts.select("id", "wanted", "lines", "sizes").mapInArrow(_slice(reach), f"id {id_type}, at int, low int, lines array<long>, sizes array<int>"))
+    slices = stored(texts.select("id", "wanted", "lines", "sizes").mapInArrow(_slice(run - 1), f"id {id_type}, at int, low int, lines array<long>, sizes array<int>"))
     dropped(firsts)
     other = slices.select(F.col("id").alias("first_id"), F.col("at").alias("first_at"), F.col("low").alias("first_low"), F.col("lines").alias("first_lines"))
     pairs = hits.join(other, ["first_id", "first_at"]).join(slices, ["id", "at"])
-    pairs = pairs.select("id", "at", "low", "lines", "sizes", "first_at", "first_low", "first_lines")
-    out = stored(pairs.mapInArrow(_extend(run, words), f"id {id_type}, at int, begin int, stop int, counts boolean, open array<long>"))
+    pairs = pairs.select("id", "at", "low", "lines", "sizes", "first_at", "first_low", "first_lines", (F.col("id") == F.col("first_id")).alias("same"))
+    out = stored(pairs.mapInArrow(_extend(run, words), f"id {id_type}, runs array<struct<begin:int,stop:int>>, open array<struct<begin:int,stop:int,key:binary>>"))
     dropped(hits, slices)
     return out
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, words: int = WORDS, reach: int = REACH) -> DataFrame:
+def _later(open_: DataFrame) -> DataFrame:
+    """(id, begin, stop) of each open window (key, id, begin, stop) but the first of its key; of one that overlaps the first only what is beyond it."""
+    firsts = stored(open_.groupBy("key").agg(F.min(F.struct("id", "begin", "stop")).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "f"))
+    later = open_.join(firsts, "key").where((F.col("id") != F.col("f.id")) | (F.col("begin") != F.col("f.begin")))
+    begin = F.when(F.col("id") == F.col("f.id"), F.greatest("begin", F.col("f.stop"))).otherwise(F.col("begin"))
+    return later.select("id", begin.alias("begin"), "stop")
+
+
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, words: int = WORDS) -> DataFrame:
     """One row for each row of docs: id_col, text without later repeated runs, lines_removed, runs (first and last line number of each, from 0).
 
     Lines are compared trimmed of ``[\\x20\\x09-\\x0D]``, by their 64-bit hashes;
     blank ones are passed over and kept.  Text order is by id, then line.  A run
-    of lines counts if it has at least ``run`` lines or ``words`` words.  Every
-    run that counts and occurs earlier goes, and nothing goes that is not part
-    of a run that counts and occurs earlier.  A line or two beside a repeated
-    run that do not count by themselves go with it if they continue its match
-    with the first occurrence of its fingerprint, within ``reach`` lines of that.
+    of lines counts if it has at least ``run`` lines or ``words`` words.  A line
+    goes if and only if it is part of a run that counts and occurs earlier.  Of a
+    run that overlaps its own first occurrence in the same text only the lines
+    beyond that go, so a line said six times over stays ``run`` times.
 
     A null text stays null, an empty one empty.  Rows that repeat an id and a
     text count once and each get the same result; rows of one id with other
@@ -195,22 +219,20 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     A fingerprint shared by a third of all texts joins each with the first one
     only, so matches are never more than fingerprints and the open windows of
-    these.  A match takes 2 * reach + 1 lines of either text, so the work is in
+    these.  A match takes 2 * run - 1 lines of either text, so the work is in
     proportion to the lines also in a very long text.
     """
-    if reach < run:
-        raise ValueError("reach must be run at least")
     none = F.col(id_col).isNull()
     zero = F.coalesce(F.col(id_col), F.lit("" if docs.schema[id_col].dataType.simpleString() == "string" else 0).cast(docs.schema[id_col].dataType))
     source = docs.select(F.struct((~none).alias("known"), zero.alias("id"), F.xxhash64(text_col).alias("text")).alias("id"), F.col(text_col).alias("text"))
     id_type = source.schema["id"].dataType.simpleString()
     lines = stored(source.mapInArrow(_lines(run, words), f"id {id_type}, lines array<long>, sizes array<int>, numbers array<int>, keys array<long>, places array<int>"))
     marks = lines.select("id", F.explode(F.arrays_zip("keys", "places")).alias("m")).select(F.col("m.keys").alias("key"), "id", F.col("m.places").alias("at"))
-    near = _matches(marks, lines, run, words, reach)
-    far = _matches(near.select(F.explode("open").alias("key"), "id", "at"), lines, run, words, reach)
-    runs = near.where("counts").select("id", "begin", "stop").unionByName(far.where("counts").select("id", "begin", "stop")).distinct()
+    near = _matches(marks, lines, run, words)
+    open_ = near.select("id", F.explode("open").alias("w")).select("id", "w.key", "w.begin", "w.stop")
+    runs = near.select("id", F.explode("runs").alias("r")).select("id", "r.begin", "r.stop").unionByName(_later(open_)).distinct()
     runs = stored(runs.groupBy("id").agg(F.collect_list(F.struct("begin", "stop")).alias("runs")))
-    dropped(near, far)
+    dropped(near)
     numbers = lines.join(runs.select("id"), "id", "left_semi").select("id", "numbers").dropDuplicates(["id"]).join(runs, "id")
     numbers = stored(numbers)
     dropped(lines, runs)

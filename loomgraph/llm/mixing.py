@@ -25,13 +25,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgraph.llm.common import stored, table
-from loomgraph.operators.ordering import running
+from loomgraph.operators.ordering import numbered, running
 
 WEIGHTS = (5, 2, 1)
 #: Rates of the sources' schedules at t = 0 and t = 1, taken in turn like the weights: the heavy ones early, the light ones late.
 SCHEDULES = ((1.6, 0.4), (1.0, 1.0), (0.4, 1.6))
 #: So many buckets of a source are summed together, and then these sums.
 _BUCKETS = 4096
+#: An entry that stands for more rows than this is split before it is counted out.
+_STRETCH = 1000
 
 
 def word_count(text: Column) -> Column:
@@ -79,6 +81,27 @@ def _time(offset: Column, target: Column, turn: Column, schedules: tuple[tuple[f
     return F.least(F.lit(1.0), out)
 
 
+def _counted(rows: DataFrame) -> DataFrame:
+    """A row for each of the m rows that an entry stands for, numbered j from 0; one repeated very often is first dealt out in stretches."""
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n))
+    few = rows.where(F.col("m") <= _STRETCH).withColumn("j", upto(F.col("m") - 1))
+    many = rows.where(F.col("m") > _STRETCH).withColumn("stretch", upto(F.floor((F.col("m") - 1) / _STRETCH))).repartition("key", "stretch")
+    start = F.col("stretch") * _STRETCH
+    many = many.withColumn("i", upto(F.least(F.lit(_STRETCH).cast("long"), F.col("m") - start) - 1)).withColumn("j", start + F.col("i")).drop("i")
+    return few.unionByName(many.drop("stretch"))
+
+
+def _nth(rows: DataFrame, by: list[str], order: list[Column], name: str) -> DataFrame:
+    """Adds the place of each row among those that agree in by, from 0: numbered by ranges of the whole, so rows that agree need not fit a task."""
+    tie = "_tie"
+    own = stored(numbered(rows.withColumn(tie, F.monotonically_increasing_id()), [*map(F.col, by), *order, F.col(tie)], name, stored).drop(tie))
+    first = own.groupBy(*[F.col(c).alias(f"_{c}") for c in by]).agg(F.min(name).alias("_first"))
+    same = F.lit(True)
+    for c in by:
+        same &= F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return own.join(first, same).withColumn(name, F.col(name) - F.col("_first")).drop("_first", *[f"_{c}" for c in by])
+
+
 def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, cap: float = 2.0, bucket_rows: int = 1000, schedules: tuple[tuple[float, ...], ...] = SCHEDULES) -> DataFrame:
     """One row for each row of docs: id_col, source, size, source_size, target, taken (words the mix takes), positions (times of its copies).
 
@@ -90,7 +113,7 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     more than one bucket of entries.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
-    rows = stored(rows.groupBy("id", "source", "size").agg(F.count(F.lit(1)).alias("m")).withColumn("key", F.md5(F.concat_ws("|", F.coalesce(F.col("id").cast("string"), F.lit("")), F.col("size").cast("string")))))
+    rows = stored(rows.groupBy("id", "source", "size").agg(F.count(F.lit(1)).alias("m")).withColumn("key", F.md5(F.concat_ws("|", F.col("id").isNull().cast("string"), F.coalesce(F.col("id").cast("string"), F.lit("")), F.col("size").cast("string")))))
     sums = stored(rows.groupBy("source").agg(F.sum(F.col("size") * F.col("m")).alias("source_size"), F.count(F.lit(1)).alias("n")))
     sums = targets(sums, weights, share, cap).join(sums.select(F.col("source").alias("s"), "n"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     sums = stored(sums.withColumn("buckets", F.greatest(F.lit(1), F.ceil(F.col("n") / bucket_rows))).withColumn("passes", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)).withColumn("rest", F.col("target") - F.col("passes") * F.col("source_size")))
@@ -121,7 +144,7 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     bucket = ahead(Window.partitionBy("source", "bucket").orderBy("key", "size"))
     taken, left_over = F.sum(F.col("size") * F.col("extra")), F.sum(F.col("size") * (F.col("m") - F.col("extra")))
     rows = rows.withColumn("taken_before", F.coalesce(taken.over(bucket), F.lit(0))).withColumn("others_before", F.coalesce(left_over.over(bucket), F.lit(0)) + taken.over(Window.partitionBy("source", "bucket")))
-    rows = rows.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1))).withColumn("again", F.col("j") < F.col("extra"))
+    rows = _counted(rows).withColumn("again", F.col("j") < F.col("extra"))
     rows = rows.withColumn("offset", F.col("before") + F.when(F.col("again"), F.col("taken_before") + F.col("j") * F.col("size")).otherwise(F.col("others_before") + (F.col("j") - F.col("extra")) * F.col("size")))
     copies = F.when(F.col("size") > 0, F.col("passes") + F.col("again").cast("long")).otherwise(F.lit(0)).cast("int")
     times = F.when(copies > 0, F.transform(F.sequence(F.lit(0), copies - 1), lambda k: _time(F.col("offset") + k * F.col("source_size"), F.col("target"), F.col("turn"), schedules))).otherwise(F.array().cast("array<double>"))
@@ -143,22 +166,24 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     are taken in turn: the copies planned for them are dealt to them evenly.
     """
     names = [f"mix_{i}" for i in range(len(docs.columns) + 9)]
-    key, time, nth, many, mine, key_source = [n for n in names if n not in docs.columns][:6]
+    key, time, nth, many, mine, key_source, place = [n for n in names if n not in docs.columns][:7]
     content = lambda x: F.struct(F.col(id_col).isNull(), F.col(id_col), F.xxhash64(F.col(x)))
     keyed = docs.select(content(text_col).alias("key"), F.col(text_col).alias("text"), F.col(source_col).alias("source"))
     own = plan(keyed, id_col="key", **options).where(F.size("positions") > 0)
     copies = own.select(F.col("key").alias(key), F.col("source").alias(key_source), F.explode("positions").alias(time))
     rows = docs.withColumn(mine, content(text_col))
-    again = stored(keyed.groupBy("key", "source").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-    same = F.col(mine).eqNullSafe(F.col(key)) & F.col(source_col).eqNullSafe(F.col(key_source))
+    again = stored(keyed.groupBy("key", "source").agg(F.count(F.lit(1)).alias(many)).where(F.col(many) > 1).select(F.col("key").alias("again_key"), F.col("source").alias("again_source"), many))
+    same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
+    met = same(mine, key) & same(source_col, key_source)
     if again.isEmpty():
-        out = rows.join(copies, same)
+        out = rows.join(copies, met)
     else:
-        copies = copies.withColumn(nth, F.row_number().over(Window.partitionBy(key, key_source).orderBy(time)) - 1)
-        copies = copies.join(again.select(F.col("key").alias("k"), F.col("source").alias("s"), F.col("n").alias(many)), F.col(key).eqNullSafe(F.col("k")) & F.col(key_source).eqNullSafe(F.col("s")), "left").drop("k", "s")
-        copies = copies.withColumn(nth, F.col(nth) % F.coalesce(many, F.lit(1))).drop(many)
-        place = F.row_number().over(Window.partitionBy(mine, source_col).orderBy(*[c for c in docs.columns if c != text_col])) - 1
-        out = rows.withColumn(many, place).join(copies, same & (F.col(many) == F.col(nth))).drop(many, nth)
+        of_rows, of_copies = (same(a, "again_key") & same(b, "again_source") for a, b in ((mine, source_col), (key, key_source)))
+        keys = again.select("again_key", "again_source")
+        rest = [F.col(c) for c in docs.columns if c not in (text_col, source_col)]
+        some = _nth(rows.join(keys, of_rows, "left_semi"), [mine, source_col], rest, place)
+        dealt = _nth(copies.join(again, of_copies).drop("again_key", "again_source"), [key, key_source], [F.col(time)], nth).withColumn(nth, F.col(nth) % F.col(many)).drop(many)
+        out = rows.join(keys, of_rows, "left_anti").join(copies, met).unionByName(some.join(dealt, met & (F.col(place) == F.col(nth))).drop(place, nth))
     return out.drop(mine, key, key_source).repartitionByRange(time, id_col).sortWithinPartitions(time, id_col).drop(time)
 
 

@@ -327,6 +327,17 @@ def test_mixed_by_rows(spark):
     assert each == Counter((r["doc_id"], r["text"], r["source"], r["mix_0"]) for r in rows(mixing.mixed(df.repartition(3))))
 
 
+def test_mixing_tells_null_from_blank(spark):
+    """A null id and a blank one are two documents; rows of one id and size that are very many are counted out in stretches."""
+    df = spark.createDataFrame([(None, some_text(1, 10), "a"), ("", some_text(2, 10), "a")], "doc_id string, text string, source string")
+    assert sum(r["taken"] for r in rows(mixing.plan(df))) == 30
+    many = spark.createDataFrame([("x", "one two", "a")] * 2500 + [("y", "three", "b")] * 3, "doc_id string, text string, source string")
+    got = rows(mixing.plan(many))
+    assert len(got) == 2503 and Counter(r["doc_id"] for r in got) == {"x": 2500, "y": 3}
+    assert abs(sum(r["taken"] for r in got if r["doc_id"] == "x") - got[0]["target"]) <= 10 or got[0]["doc_id"] == "y"
+    assert len(rows(mixing.mixed(many))) == sum(len(r["positions"]) for r in got)
+
+
 # --- 4: media
 
 
@@ -421,44 +432,30 @@ def test_loser_tree():
 
 
 def counted(lines, run, words):
-    """All runs of lines that count, as (begin, end); of each only such as no shorter one from its beginning does."""
-    out = []
-    for i in range(len(lines)):
-        n = 0
-        for j in range(i, min(len(lines), i + run)):
-            n += len(re.findall(r"[^\x20\x09-\x0D]+", lines[j]))
-            if n >= words or j - i + 1 == run:
-                out.append((i, j + 1))
-                break
-    return out
+    """All runs of at most ``run`` lines that count, as (begin, end)."""
+    n = [len(re.findall(r"[^\x20\x09-\x0D]+", x)) for x in lines]
+    return [(i, j) for i in range(len(lines)) for j in range(i + 1, min(len(lines), i + run) + 1) if j - i == run or sum(n[i:j]) >= words]
 
 
 def check_lines(data, got, run=3, words=50):
-    """Every window that occurs earlier is gone, and whatever is gone lies in a run that counts and occurs earlier; all by comparing lines themselves."""
-    texts, first, where = [], {}, defaultdict(list)
+    """A line is gone if and only if it is part of a run that counts and occurs earlier, and not of that run's own first occurrence; all by comparing lines themselves."""
+    texts, first = [], {}
     for d, (_, t) in enumerate(data):
         lines = [(i, x.strip(" \t\n\x0b\x0c\r")) for i, x in enumerate((t or "").split("\n"))]
         texts.append([(i, x) for i, x in lines if x])
         own = [x for _, x in texts[-1]]
         for a, b in counted(own, run, words):
-            first.setdefault(tuple(own[a:b]), (d, a))
-        for k, x in enumerate(own):
-            where[x].append((d, k))
+            first.setdefault(tuple(own[a:b]), (d, a, b))
     for d, (name, t) in enumerate(data):
         assert got[d][0] == name
         own = [x for _, x in texts[d]]
         gone = {k for k, (i, _) in enumerate(texts[d]) if any(r["first"] <= i <= r["last"] for r in got[d][3])}
-        must = {k for a, b in counted(own, run, words) if first[tuple(own[a:b])] < (d, a) for k in range(a, b)}
-        assert must <= gone, (name, must - gone)
-        may = set()
-        for k in gone - must:
-            for e, j in where[own[k]]:
-                if (e, j) < (d, k):
-                    other = [x for _, x in texts[e]]
-                    a, b = linededup.extended(np.array(own, object), k, np.array(other, object), j)
-                    if any(a <= s and f <= b for s, f in counted(own, run, words)):
-                        may.add(k)
-        assert gone <= must | may, name
+        want = set()
+        for a, b in counted(own, run, words):
+            e, c, f = first[tuple(own[a:b])]
+            if (e, c) < (d, a):
+                want |= {k for k in range(a, b) if e != d or k >= f}
+        assert gone == want, (name, gone ^ want)
         numbers = {texts[d][k][0] for k in gone}
         assert got[d][1] == (None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in numbers)) and got[d][2] == len(gone)
 
@@ -509,19 +506,38 @@ def test_line_dedup_fingerprints():
     h, sizes = rng.integers(0, 1 << 40, 4000, dtype=np.uint64), rng.integers(1, 70, 4000).astype(np.int32)
     sizes[500:] = 2
     begin, end, place = linededup.windows(h, sizes, 3, 50)
-    want = []
+    want = set()
     for i in range(len(h)):
-        n = 0
-        for j in range(i, min(len(h), i + 3)):
-            n += int(sizes[j])
-            if n >= 50 or j - i == 2:
-                own = h[i : j + 1].tolist()
-                want.append((i, j + 1, max(k for k in range(i, j + 1) if h[k] == min(own))))
-                break
-    assert list(zip(begin.tolist(), end.tolist(), place.tolist())) == want
+        for step in (1, -1):
+            n = 0
+            for j in range(i, max(-1, i - 3) if step < 0 else min(len(h), i + 3), step):
+                n += int(sizes[j])
+                if n >= 50 or abs(j - i) == 2:
+                    low, high = min(i, j), max(i, j) + 1
+                    own = h[low:high].tolist()
+                    want.add((low, high, max(k for k in range(low, high) if h[k] == min(own))))
+                    break
+    assert list(zip(begin.tolist(), end.tolist(), place.tolist())) == sorted(want)
     assert len(set(place[600:].tolist())) < 0.6 * len(place[600:])
 
 
+def test_line_dedup_keeps_the_first_of_what_overlaps(spark):
+    """A text that repeats itself keeps the first occurrence of the run it repeats; so does one that a later text repeats."""
+    data = [(0, "\n".join(["a b c"] * 6)), (1, "\n".join(["a b c", "d e f"] * 4)), (2, "\n".join(["x", some_text(9, 60), some_text(9, 60), "y", "a b c", "d e f", "a b c"]))]
+    got = deduped(spark.createDataFrame(data, "doc_id long, text string"))
+    check_lines(data, got)
+    assert got[0][1] == "a b c\na b c\na b c" and got[1][1] == "a b c\nd e f\na b c" and got[2][1].split("\n")[::2] == ["x", "y"]
+
+
+def test_line_dedup_of_tails(spark):
+    """A short line after a long one goes if both occur together, wherever the long one was first."""
+    long_ = some_text(10, 60)
+    data = [(0, f"{long_}\nother"), (1, f"p\n{long_}\ntail\nq"), (2, f"r\n{long_}\ntail\ns"), (3, f"tail\n{long_}"), (4, f"tail\n{long_}")]
+    got = deduped(spark.createDataFrame(data, "doc_id long, text string"))
+    check_lines(data, got)
+    assert [g[1] for g in got] == [data[0][1], "p\ntail\nq", "r\ns", "tail", ""]
+
+
 def test_line_dedup_of_long_texts(spark):
     """Two copies of a text of 40,000 short lines, and one that shares every third line with it: in proportion to their lines."""
     lines = [f"row {i} of a long text" for i in range(40_000)]
@@ -766,6 +782,15 @@ def test_pipeline(spark, sf_dir, docs, tokens):
     assert all(r["n_tokens"] == len(tokens.encode_ordinary(text[r["doc_id"]])) for r in out)
 
 
+def test_stages_leave_each_other_alone(spark, docs, sf_dir):
+    """A stage's result can be read after others have run, also on other documents, and what it doesn't read is gone."""
+    a = corpus_pipeline.drop_copies(spark, docs, sf_dir)
+    want = sorted(r["doc_id"] for r in corpus_pipeline.drop_copies(spark, docs, sf_dir).collect())
+    b = corpus_pipeline.drop_near_copies(spark, docs.limit(50), sf_dir)
+    c = corpus_pipeline.mix(spark, docs, sf_dir)
+    assert b.count() <= 50 and c.count() > 0 and sorted(r["doc_id"] for r in a.collect()) == want
+
+
 def test_pipeline_by_rows(spark, tmp_path):
     """Repeated ids and rows, null ids, columns that clash with the operators' own: stage by stage against plain versions of them by rows."""
     base, other = some_text(1, 60), some_text(2, 80)
@@ -803,7 +828,7 @@ def test_pipeline_by_rows(spark, tmp_path):
 
 def test_pipeline_and_queries_of_empty_tables(spark, tmp_path):
     """No rows in, no rows out, for every query of the subpackage."""
-    for name, schema in {"documents": SCHEMA, "pages": "page_id long, url string, html string", "labels": "doc_id long, quality int, toxic int"}.items():
+    for name, schema in {"documents": SCHEMA, "pages": "page_id long, url string, html string", "labels": "doc_id long, quality int, toxic int", "conversations": "conv_id long, turn long, role string, text string"}.items():
         spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{name}.parquet")
     for name, query in registered.queries().items():
         assert rows(query(spark, str(tmp_path))) == [], name
