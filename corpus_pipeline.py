@@ -18,19 +18,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm import blocknames, bpe, mixing, quality, setjoin
-from loomgraph.llm.common import dropped, scratch, stored, table
+from loomgraph.llm.common import dropped, stored, table, tidy
 
 #: Matches that the encoder remembers in each of two generations: fewer than by itself, as workers still hold memory of the stages before.
 REMEMBER = 100_000
 
 
 def _stage(function: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
-    """A stage that first deletes what the stages before it left in the shared folder, but for what docs still reads."""
+    """A stage that keeps in the shared folder only what its result still reads."""
 
     @functools.wraps(function)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        with scratch(docs):
-            return function(spark, docs, sf_dir)
+        return tidy(spark, lambda: function(spark, docs, sf_dir))
 
     return run
 
