@@ -9,6 +9,7 @@ from loomgraph.plans.registry import query
 from loomgraph.sources.shared import shared_path as shared
 from loomgraph.sources.tables import table
 from loomgraph.streaming import publish
+from loomgraph.streaming.buckets import Buckets
 
 
 def before(s, d):
@@ -198,9 +199,10 @@ def stream(s, d):
 
 @query("st1_st4_stream_upsert", "SELECT user_id, max(event_id) AS event_id FROM events GROUP BY ALL")
 def _(s, d):
-    store = V.Store(s, shared(s, "store"))
-    publish.run(stream(s, d), store, "user_id", "event_id", shared(s, "ckpt"))
-    return store.read().select("user_id", "event_id")
+    arriving = stream(s, d)
+    state = Buckets(s, shared(s, "state"), "user_id", "event_id", arriving.schema)
+    publish.run(arriving, state, shared(s, "ckpt"))
+    return state.read().select("user_id", "event_id")
 
 
 @query("st2_embedding_stream", "SELECT vec_id, label FROM embeddings JOIN documents ON doc_id = vec_id WHERE n_chars % 3 = label % 3")
@@ -212,21 +214,22 @@ def _(s, d):
         made.where(F.col("vec_id") % 2 == k).write.parquet(f"{path}/b={k}")
     arriving = s.readStream.schema(made.schema).option("maxFilesPerTrigger", 8).parquet(f"{path}/b=*")
     now = table(s, d, "documents").select(F.col("doc_id").alias("vec_id"), (F.col("n_chars") % 3).cast("long").alias("fingerprint"))
-    store = V.Store(s, shared(s, "store"))
-    publish.run(arriving, store, "vec_id", "revision", shared(s, "ckpt"), current=(now, ["vec_id", "fingerprint"]))
-    return store.read().select("vec_id", "label")
+    state = Buckets(s, shared(s, "state"), "vec_id", "revision", made.schema)
+    publish.run(arriving, state, shared(s, "ckpt"), current=(now, ["vec_id", "fingerprint"]))
+    return state.read().select("vec_id", "label")
 
 
 @query("g13_st3_file_deltas", f"WITH {SNAP} SELECT p_partkey, p_brand, p_size FROM a WHERE p_brand NOT IN ('Brand#11', 'Brand#12') UNION ALL SELECT * FROM b WHERE p_brand = 'Brand#11'")
 def _(s, d):
     """Deltas of files (here brands) on a published graph: replaced, deleted, sent twice, and one that comes late."""
-    store = V.Store(s, shared(s, "store"))
-    store.commit(before(s, d).withColumns({"path": F.col("p_brand"), "revision": F.lit(1)}), 0)
+    first = before(s, d).withColumns({"path": F.col("p_brand"), "revision": F.lit(1)})
+    state = Buckets(s, shared(s, "state"), "path", "revision", first.schema)
+    state.replace(first, first.select("path", "revision"))
     new = after(s, d).where("p_brand = 'Brand#11'").withColumns({"path": F.col("p_brand"), "revision": F.lit(3)})
-    publish.replace_files(store, new, s.createDataFrame([("Brand#11", 3)], "path string, revision int"))
-    publish.replace_files(store, new, s.createDataFrame([("Brand#11", 3)], "path string, revision int"))
-    publish.replace_files(store, new.limit(0), s.createDataFrame([("Brand#11", 2), ("Brand#12", 2)], "path string, revision int"))
-    return store.read().where("p_partkey is not null").select("p_partkey", "p_brand", "p_size")
+    state.replace(new, s.createDataFrame([("Brand#11", 3)], "path string, revision int"))
+    state.replace(new, s.createDataFrame([("Brand#11", 3)], "path string, revision int"))
+    state.replace(new.limit(0), s.createDataFrame([("Brand#11", 2), ("Brand#12", 2)], "path string, revision int"))
+    return state.read().where("p_partkey is not null").select("p_partkey", "p_brand", "p_size")
 
 
 @query("st6_lease_expiry", "SELECT user_id, max(ts) + INTERVAL 2 DAY > TIMESTAMP '2024-01-31' AS alive FROM events GROUP BY ALL")

@@ -1,59 +1,27 @@
-"""Incremental publication: micro-batches merged into versioned state, late revisions refused."""
+"""Incremental publication: micro-batches merged into the buckets of a keyed state, late revisions refused."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
-
-from loomgraph.operators.versions import Store
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-def fenced(state: DataFrame | None, batch: DataFrame, key: str, revision: str) -> DataFrame:
-    """The batch's newest row of each key, unless the state has that revision or a later one; of rows with one key and revision that with the smallest values."""
-    rest = [c for c in batch.columns if c not in (key, revision)]
-    newest = batch.withColumn("_k", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(revision), *rest))).where("_k = 1").drop("_k")
-    if state is None:
-        return newest
-    have = state.select(F.col(key), F.col(revision).alias("_have"))
-    return newest.join(have, key, "left").where(F.col("_have").isNull() | (F.col(revision) > F.col("_have"))).drop("_have")
+from loomgraph.streaming.buckets import Buckets
 
 
-def publisher(store: Store, key: str, revision: str, branch: str = "main", current: tuple[DataFrame, list[str]] | None = None):
-    """A foreachBatch function: each batch becomes one version; a batch without news makes none. current: (frame, columns) that rows must agree with to be taken."""
+def publisher(state: Buckets, current: tuple[DataFrame, list[str]] | None = None) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function: each batch is merged into the state. current: (frame, columns) that rows must agree with to be taken."""
 
     def put(batch: DataFrame, batch_id: int) -> None:
-        base = store.head(branch)
-        state = store.read(branch) if base else None
-        batch = batch if current is None else batch.join(current[0], current[1], "left_semi")
-        news = fenced(state, batch, key, revision)
-        if news.isEmpty():
-            return
-        whole = news if state is None else state.join(news, key, "left_anti").unionByName(news)
-        store.commit(whole, base, branch)
+        state.upsert(batch if current is None else batch.join(current[0], current[1], "left_semi"))
 
     return put
 
 
-def replace_files(store: Store, rows: DataFrame, files: DataFrame, branch: str = "main") -> int:
-    """Replaces all rows of files (path, revision) by rows, which have both columns too; a file without rows is deleted.
-
-    A file whose revision the state has reached is left alone, so a delta sent twice or late changes nothing. A deleted
-    file leaves one row with its path and revision and nulls, as the fence for later deltas.
-    """
-    base = store.head(branch)
-    state = store.read(branch)
-    have = state.groupBy("path").agg(F.max("revision").alias("_have"))
-    fresh = files.join(have, "path", "left").where(F.col("_have").isNull() | (F.col("revision") > F.col("_have"))).select("path", "revision")
-    if fresh.isEmpty():
-        return base
-    rows = rows.join(fresh, ["path", "revision"], "left_semi")
-    marks = fresh.join(rows.select("path"), "path", "left_anti")
-    return store.commit(state.join(fresh.select("path"), "path", "left_anti").unionByName(rows).unionByName(marks, allowMissingColumns=True), base, branch)
-
-
-def run(source: DataFrame, store: Store, key: str, revision: str, checkpoint: str, current: tuple[DataFrame, list[str]] | None = None) -> None:
+def run(source: DataFrame, state: Buckets, checkpoint: str, current: tuple[DataFrame, list[str]] | None = None) -> None:
     """Publishes all that a stream has now, and stops."""
-    source.writeStream.foreachBatch(publisher(store, key, revision, current=current)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    source.writeStream.foreachBatch(publisher(state, current)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
 def windows(events: DataFrame, width: str = "1 day", late: str = "1 hour") -> DataFrame:
