@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import functools
-import re
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,97 +77,3 @@ def entity_source(spans: DataFrame, lines: DataFrame) -> DataFrame:
     inside = spans.join(lines, "file").where(F.col("line_number").between(F.col("start_line"), F.col("end_line")))
     text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_number", "line"))), lambda x: x["line"]), "\n")
     return inside.groupBy("file", "start_line", "end_line").agg(text.alias("source"))
-
-
-_NODE = r"\(\s*(\w+)?\s*(?::\s*(\w+))?\s*(?:\{([^}]*)\})?\s*\)"
-_EDGE = r"(<?)-\[\s*(\w+)?\s*(?::\s*(\w+))?\s*(?:\*\s*(\d+)\s*\.\.\s*(\d+))?\s*\]-(>?)"
-
-
-def cypher(text: str, nodes: dict[str, DataFrame], edges: DataFrame, **params) -> DataFrame:
-    """A read-only pattern query as a DataFrame plan.
-
-    MATCH (a:L {p: $x})-[r:KIND*m..n]->(b:M) [WHERE comparisons joined by AND] RETURN [DISTINCT] a.p [AS x], ...
-    [ORDER BY x [DESC], ...] [LIMIT n].  Node tables have a column id; hops become joins, so filters and columns are
-    pushed into the scans.
-    """
-    whole = re.fullmatch(r"\s*MATCH\s+(.*?)(?:\s+WHERE\s+(.*?))?\s+RETURN\s+(DISTINCT\s+)?(.*?)(?:\s+ORDER\s+BY\s+(.*?))?(?:\s+LIMIT\s+(\d+))?\s*", text, re.S | re.I)
-    if not whole:
-        raise ValueError("only MATCH ... RETURN is supported")
-    pattern, where, distinct, items, order, limit = whole.groups()
-
-    def value(x: str):
-        x = x.strip()
-        if x.startswith("$"):
-            if x[1:] not in params:
-                raise ValueError(f"no value for {x}")
-            return F.lit(params[x[1:]])
-        if x[:1] in "'\"":
-            return F.lit(x[1:-1])
-        if re.fullmatch(r"-?\d+", x):
-            return F.lit(int(x))
-        if re.fullmatch(r"-?\d+\.\d+", x):
-            return F.lit(float(x))
-        if x.lower() in ("true", "false"):
-            return F.lit(x.lower() == "true")
-        if call := re.fullmatch(r"coalesce\((.*)\)", x, re.I):
-            return F.coalesce(*map(value, call[1].split(",")))
-        if found := re.fullmatch(r"(\w+)\.(\w+)", x):
-            return F.col(f"`{found[1]}.{found[2]}`")
-        raise ValueError(f"not an expression: {x}")
-
-    def node(m: re.Match) -> tuple[str, str, DataFrame]:
-        name, label, props = m[1] or f"_{m.start()}", m[2], m[3]
-        if label not in nodes:
-            raise ValueError(f"a node needs a label that is known, not {label}")
-        df = nodes[label]
-        df = df.select([F.col(c).alias(f"{name}.{c}") for c in df.columns])
-        for p in filter(None, (props or "").split(",")):
-            k, v = p.split(":")
-            df = df.where(F.col(f"`{name}.{k.strip()}`") == value(v))
-        return name, label, df
-
-    at = re.compile(_NODE).match(pattern.strip())
-    pattern = pattern.strip()
-    if not at:
-        raise ValueError("the pattern can't be read")
-    left, left_label, df = node(at)
-    while at.end() < len(pattern):
-        hop = re.compile(_EDGE).match(pattern, at.end())
-        at = re.compile(_NODE).match(pattern, hop.end()) if hop else None
-        if not at:
-            raise ValueError("the pattern can't be read")
-        right, right_label, other = node(at)
-        back, variable, kind, low, high, ahead = hop.groups()
-        one = edges if not kind else edges.where(F.col("kind") == kind)
-        forward, reverse = one.select("src_label", "src", "dst_label", "dst", "uid"), one.select(F.col("dst_label").alias("src_label"), F.col("dst").alias("src"), F.col("src_label").alias("dst_label"), F.col("src").alias("dst"), "uid")
-        one = forward if ahead else reverse if back else forward.unionByName(reverse)
-        if low:
-            paths, all_ = one.drop("uid"), []
-            for d in range(1, int(high) + 1):
-                if d > 1:
-                    nxt = one.select(F.col("src_label").alias("dst_label"), F.col("src").alias("dst"), F.col("dst_label").alias("l2"), F.col("dst").alias("n2"))
-                    paths = paths.join(nxt, ["dst_label", "dst"]).select("src_label", "src", F.col("l2").alias("dst_label"), F.col("n2").alias("dst"))
-                if d >= int(low):
-                    all_.append(paths)
-            one = functools.reduce(DataFrame.unionByName, all_).withColumn("uid", F.lit(None).cast("string"))
-        edge = variable or f"_e{hop.start()}"
-        one = one.where((F.col("src_label") == left_label) & (F.col("dst_label") == right_label)).select(F.col("src").alias("_s"), F.col("dst").alias("_d"), F.col("uid").alias(f"{edge}.uid"))
-        df = df.join(one, F.col(f"`{left}.id`") == F.col("_s")).join(other, F.col(f"`{right}.id`") == F.col("_d")).drop("_s", "_d")
-        left, left_label = right, right_label
-    # Split at AND outside quotes.
-    for term in re.split(r"""\s+AND\s+(?=(?:[^'"]|'[^']*'|"[^"]*")*$)""", where, flags=re.I) if where else []:
-        compared = re.fullmatch(r"(.*?)\s*(=|<>|>=|<=|>|<|ENDS WITH|STARTS WITH|CONTAINS)\s*(.*)", term.strip(), re.I | re.S)
-        if not compared:
-            raise ValueError(f"not a comparison: {term}")
-        a, op, b = compared.groups()
-        x, y = value(a), value(b)
-        df = df.where({"=": x == y, "<>": x != y, ">": x > y, "<": x < y, ">=": x >= y, "<=": x <= y}[op] if op[0] in "=<>" else {"E": x.endswith, "S": x.startswith, "C": x.contains}[op[0].upper()](y))
-    columns = []
-    for item in items.split(","):
-        x, _, name = item.strip().partition(" AS ")
-        columns.append(value(x).alias(name.strip() or x.split(".")[-1]))
-    df = df.select(*columns)
-    df = df.distinct() if distinct else df
-    if order:
-        df = df.orderBy(*[F.desc(x.split()[0]) if x.strip().upper().endswith(" DESC") else F.asc(x.split()[0]) for x in order.split(",")])
-    return df.limit(int(limit)) if limit else df

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import itertools
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.operators.ordering import numbered
+
 
 def link_graph(raw: DataFrame) -> DataFrame:
     """Distinct links without empty targets and self links; dangling ones stay."""
@@ -58,35 +58,88 @@ def stale(links: DataFrame, causes: DataFrame, written) -> DataFrame:
     return state.join(causes, "slug", "left").select("slug", F.coalesce("cause", F.lit("Dependency")).alias("cause"), F.when(F.col("cause").isNull(), F.col("root")).alias("root"))
 
 
-def communities(links: DataFrame, pages: DataFrame, rounds: int | None, written) -> DataFrame:
-    """(slug, community): modularity moves by synchronous label steps on the undirected simple graph, distributed and deterministic.
+#: So many rounds of moves without a better modularity end a level.
+_PATIENCE = 4
+
 
-    Each page takes the label of the largest modularity gain among its neighbours' (ties: the smaller label), in every
-    second round only towards smaller labels, so two pages do not swap for ever. Pages without links are left out. It takes so many rounds, or with None goes on
-    until a pair of rounds moves no page (or leads back to labels met before, from where it would only repeat itself).
+def _settled(edges: DataFrame, label: DataFrame, total: float, written) -> tuple[DataFrame, float]:
+    """(a, k, c) and its modularity: from (a, k, c), the best labelling met while nodes move.
+
+    In each round those nodes that a hash of node and round picks, about half, move to the community of their
+    neighbours with the largest gain (ties: the smallest label), so neighbours seldom swap.  Rounds go on until no node,
+    picked or not, would gain, or the modularity has not risen for some rounds.
+    """
+    inner = total - (edges.agg(F.sum("w")).first()[0] or 0.0)  # links within what has become one node
+    best, top, since, i = label, None, 0, 0
+    while True:
+        volume = label.groupBy("c").agg(F.sum("k").alias("v"))
+        near = edges.join(label.select(F.col("a").alias("b"), "c"), "b").groupBy("a", "c").agg(F.sum("w").alias("w"))
+        own = label.join(volume, "c").select("a", "k", F.col("c").alias("now"), (-F.col("k") * (F.col("v") - F.col("k")) / total).alias("alone"))
+        home = F.col("c") == F.col("now")
+        scored = near.join(volume, "c").join(own, "a").withColumn("gain", F.col("w") - F.col("k") * (F.col("v") - F.when(home, F.col("k")).otherwise(0)) / total)
+        choice = scored.groupBy("a").agg(F.max(F.struct("gain", (-F.col("c")).alias("less"))).alias("g"), F.max(F.when(home, F.col("gain"))).alias("linked"), F.first("alone").alias("alone"), F.sum(F.when(home, F.col("w"))).alias("inside"))
+        gains = F.coalesce(F.col("g.gain") > F.coalesce("linked", "alone") + 1e-12, F.lit(False))
+        seen = written(label.join(choice, "a", "left").select("a", "k", "c", gains.alias("gains"), (-F.col("g.less")).alias("into"), F.coalesce("inside", F.lit(0.0)).alias("inside")))
+        by = seen.groupBy("c").agg(F.sum("k").alias("v"), F.sum("inside").alias("x"), F.count_if("gains").alias("n"))
+        x, y, n = by.agg(F.sum("x"), F.sum((F.col("v") / total) * (F.col("v") / total)), F.sum("n")).first()
+        found = ((x or 0.0) + inner) / total - (y or 0.0)
+        if top is None or found > top + 1e-12:
+            best, top, since = seen.select("a", "k", "c"), found, 0
+        else:
+            since += 1
+        if not n or since >= _PATIENCE:
+            return best, top
+        picked = F.pmod(F.xxhash64("a", F.lit(i)), F.lit(2)) == 0
+        label, i = seen.select("a", "k", F.when(F.col("gains") & picked, F.col("into")).otherwise(F.col("c")).alias("c")), i + 1
+
+
+def communities(links: DataFrame, pages: DataFrame, written) -> DataFrame:
+    """(slug, community): Louvain's levels on the undirected simple graph of known pages; pages without links are left out.
+
+    On each level nodes move until they settle; then each community becomes one node, with the weights of the links
+    between communities and the sum of its members' degrees (links inside stay in that sum), until no two nodes join.
+    Then pages move again from the communities found, and so on while the modularity rises.  A community is called by
+    its smallest slug.  The result does not depend on how rows are dealt out.
     """
     known = links.join(pages, F.col("source") == F.col("slug"), "left_semi").join(pages, F.col("target") == F.col("slug"), "left_semi")
-    pairs = known.select(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")).distinct()
-    both = written(pairs.union(pairs.select("b", "a")).toDF("a", "b"))
-    degree = written(both.groupBy("a").agg(F.count(F.lit(1)).alias("k")))
-    total = degree.agg(F.sum("k")).first()[0] or 1
-    label = written(degree.select("a", "k", F.col("a").alias("c")))
-    seen = set()
-    for i in itertools.count() if rounds is None else range(rounds):
-        if rounds is None and i % 2 == 0:
-            mark = label.agg(F.sum(F.xxhash64("a", "c").cast("decimal(38,0)"))).first()[0]
-            if mark in seen:
+    pairs = known.where("source <> target").select(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")).distinct()
+    all_edges = written(pairs.union(pairs.select("b", "a")).toDF("a", "b").withColumn("w", F.lit(1.0)))
+    all_nodes = written(all_edges.groupBy("a").agg(F.sum("w").alias("k")))
+    total = all_nodes.agg(F.sum("k")).first()[0] or 1.0
+    kept, last = all_nodes.select(F.col("a").alias("slug"), F.col("a").alias("c")), None
+    while True:
+        edges, member, top = all_edges, all_nodes.select(F.col("a").alias("slug"), F.col("a").alias("c")), None
+        start = written(all_nodes.join(kept.select(F.col("slug").alias("a"), "c"), "a"))
+        while True:
+            label, found = _settled(edges, start, total, written)
+            if top is not None and found <= top + 1e-12:
                 break
-            seen.add(mark)
-        volume = written(label.groupBy("c").agg(F.sum("k").alias("v")))
-        near = both.join(label.select(F.col("a").alias("b"), "c"), "b").groupBy("a", "c").agg(F.count(F.lit(1)).alias("w"))
-        own = label.select("a", "k", F.col("c").alias("now"))
-        scored = near.join(volume, "c").join(own, "a").withColumn("gain", F.col("w") - F.col("k") * (F.col("v") - F.when(F.col("c") == F.col("now"), F.col("k")).otherwise(0)) / total)
-        best = scored.groupBy("a").agg(F.max(F.struct("gain", (-F.col("c")).alias("less"))).alias("g"), F.max(F.when(F.col("c") == F.col("now"), F.col("gain"))).alias("stay"))
-        target = -F.col("g.less")
-        move = (F.col("g.gain") > F.coalesce("stay", F.lit(0.0))) & ((F.lit(i % 2) == 1) | (target < F.col("c")))
-        label = written(label.join(best, "a", "left").select("a", "k", F.when(move, target).otherwise(F.col("c")).alias("c")))
-    return label.select(F.col("a").alias("slug"), F.col("c").alias("community"))
+            top = found
+            to = label.select("a", F.col("c").alias("into"))
+            member = written(member.join(to, F.col("c") == F.col("a")).select("slug", F.col("into").alias("c")))
+            merged = edges.join(to, "a").select(F.col("into").alias("a"), "b", "w").join(to.toDF("b", "to"), "b").where("a <> to")
+            edges = written(merged.groupBy("a", F.col("to").alias("b")).agg(F.sum("w").alias("w")))
+            start = written(label.groupBy(F.col("c").alias("a")).agg(F.sum("k").alias("k")).withColumn("c", F.col("a")))
+        if last is not None and top <= last + 1e-9:
+            break
+        kept, last = member, top
+    names = kept.groupBy("c").agg(F.min("slug").alias("community"))
+    return kept.join(names, "c").select("slug", "community")
+
+
+def by_size(member: DataFrame, written) -> DataFrame:
+    """(community, size, place): the communities from large to small, equals by name, numbered from 1."""
+    sizes = member.groupBy("community").agg(F.count(F.lit(1)).alias("size"))
+    return numbered(sizes, [F.desc("size"), F.col("community")], "place", written).withColumn("place", F.col("place") + 1)
+
+
+def representatives(links: DataFrame, member: DataFrame) -> DataFrame:
+    """(community, representative): the member with the most links to known pages in either direction, of equals the smallest slug."""
+    pairs = links.where("source <> target").select(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")).distinct()
+    inner = pairs.join(member.select(F.col("slug").alias("a")), "a", "left_semi").join(member.select(F.col("slug").alias("b")), "b", "left_semi")
+    degree = inner.select(F.explode(F.array("a", "b")).alias("slug")).groupBy("slug").agg(F.count(F.lit(1)).alias("degree"))
+    known = member.join(degree, "slug", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
+    return known.groupBy("community").agg(F.max(F.struct("degree", (-F.col("slug")).alias("less"))).alias("m")).select("community", (-F.col("m.less")).alias("representative"))
 
 
 def cohesion(links: DataFrame, member: DataFrame) -> DataFrame:

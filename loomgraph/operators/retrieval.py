@@ -84,6 +84,17 @@ def fused_page(lexical: DataFrame, semantic: DataFrame, key: str, written, offse
     return ranked(top, key, F.desc("score")).withColumnRenamed("rank", "place").where(F.col("place") > offset).crossJoin(F.broadcast(total))  # one row
 
 
+def fused_first(lexical: DataFrame, semantic: DataFrame, key: str, k: int) -> DataFrame:
+    """(key, score, place): the first k of the fusion of the first k of either list, (key, score) and (key, distance).
+
+    What is further down than k in a list has no share from it, so each list is a top-k and none is ranked whole.
+    """
+    first = ranked(lexical.orderBy(F.desc("score"), key).limit(k), key, F.desc("score"))
+    second = ranked(semantic.orderBy("distance", key).limit(k), key, F.col("distance"))
+    top = rrf(first, second, key).orderBy(F.desc("score"), key).limit(k)
+    return ranked(top, key, F.desc("score")).withColumnRenamed("rank", "place")
+
+
 def rrf(lexical: DataFrame, semantic: DataFrame, key: str, k: int = RRF) -> DataFrame:
     """Fuses two ranked lists (key, rank): score = sum of 1 / (k + rank)."""
     both = lexical.select(key, "rank").unionByName(semantic.select(key, "rank"))

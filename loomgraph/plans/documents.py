@@ -60,7 +60,15 @@ def _(s, d):
 
 @query("d7_communities")
 def _(s, d):
-    return D.communities(links(s, d), pages(s, d), None, written)
+    return D.communities(links(s, d), pages(s, d), written)
+
+
+@query("d7_summary")
+def _(s, d):
+    """The communities found, from large to small, with cohesion and representative."""
+    e = written(links(s, d))
+    member = written(D.communities(e, pages(s, d), written))
+    return D.by_size(member, written).join(D.cohesion(e, member).select("community", "cohesion"), "community").join(D.representatives(e, member), "community").select("community", "place", "size", "cohesion", "representative")
 
 
 @query("a10_cohesion", f"""WITH {LINKS}, p AS (SELECT DISTINCT least(source, target) AS a, greatest(source, target) AS b FROM links), s AS (SELECT slug % 25 AS community, count(*) AS size FROM pages_ GROUP BY ALL),

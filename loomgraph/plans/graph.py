@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgraph.operators import graph as G
+from loomgraph.operators.cypher import cypher
 from loomgraph.plans.registry import query
 from loomgraph.sources import tables
+from loomgraph.sources.shared import written
 from loomgraph.sources.tables import table
 
 EDGES = """edges AS (
@@ -106,16 +108,75 @@ def _(s, d):
     return G.integrity(edges(s, d), nodes(s, d))
 
 
+def _ask(s, d, text, **params):
+    keys = {"Customer": ("customer", "c_custkey"), "Order": ("orders", "o_orderkey"), "Part": ("part", "p_partkey"), "Nation": ("nation", "n_nationkey"), "Region": ("region", "r_regionkey")}
+    own = {label: table(s, d, t).withColumns({"id": F.col(k).cast("long"), "name": F.col("o_orderpriority" if t == "orders" else f"{k[0]}_name")}) for label, (t, k) in keys.items()}
+    return cypher(text, own, edges(s, d), written, **params)
+
+
+NAMED = """named AS (SELECT 'Customer' AS label, c_custkey AS node, c_name AS name FROM customer UNION ALL SELECT 'Order', o_orderkey, o_orderpriority FROM orders
+  UNION ALL SELECT 'Part', p_partkey, p_name FROM part UNION ALL SELECT 'Nation', n_nationkey, n_name FROM nation UNION ALL SELECT 'Region', r_regionkey, r_name FROM region)"""
+
+
 @query("g1_cypher", "SELECT DISTINCT c_name AS name, o_orderpriority AS o_orderpriority FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING' AND o_totalprice > 1000 AND o_orderpriority LIKE '%H'")
 def _(s, d):
-    tables_ = {"Customer": table(s, d, "customer").withColumnRenamed("c_custkey", "id"), "Order": table(s, d, "orders").withColumnRenamed("o_orderkey", "id")}
-    return G.cypher("MATCH (c:Customer {c_mktsegment: $seg})-[:PLACED]->(o:Order) WHERE o.o_totalprice > 1000 AND o.o_orderpriority ENDS WITH 'H' RETURN DISTINCT c.c_name AS name, o.o_orderpriority", tables_, edges(s, d), seg="BUILDING")
+    return _ask(s, d, "MATCH (c:Customer {c_mktsegment: $seg})-[:PLACED]->(o:Order) WHERE o.o_totalprice > 1000 AND o.o_orderpriority ENDS WITH 'H' RETURN DISTINCT c.c_name AS name, o.o_orderpriority", seg="BUILDING")
+
+
+@query("g1_lookup", "SELECT p_name FROM part WHERE p_name LIKE '%1' ORDER BY p_retailprice DESC, p_partkey LIMIT 10")
+def _(s, d):
+    """By the end of a name, in an order that isn't returned."""
+    return _ask(s, d, "MATCH (f:Part) WHERE f.p_name ENDS WITH '1' RETURN f.p_name ORDER BY f.p_retailprice DESC, f.id LIMIT 10")
+
+
+@query("g1_definition", "SELECT p_partkey AS id, p_name, p_size, p_brand FROM part WHERE (p_brand = 'Brand#11' OR p_size IN (1, 2, 3)) AND NOT p_type LIKE 'S%' AND p_name IS NOT NULL")
+def _(s, d):
+    return _ask(s, d, "MATCH (f:Part) WHERE (f.p_brand = 'Brand#11' OR f.p_size IN [1, 2, 3]) AND NOT f.p_type STARTS WITH 'S' AND f.p_name IS NOT NULL RETURN f.id, f.p_name, f.p_size, f.p_brand")
+
+
+@query("g1_callers", f"WITH {EDGES}, {NAMED} SELECT DISTINCT label, name FROM edges JOIN named ON label = src_label AND node = src WHERE kind = 'CONTAINS' AND dst IN (SELECT p_partkey FROM part WHERE p_size > 40)")
+def _(s, d):
+    """Whatever has an edge to the nodes asked for; the callers have no label in the pattern."""
+    return _ask(s, d, "MATCH (caller)-[:CONTAINS]->(f:Part) WHERE f.p_size > 40 RETURN DISTINCT label(caller) AS label, caller.name")
+
+
+@query("g1_callees", f"WITH {EDGES}, {NAMED} SELECT DISTINCT label, node AS id, name FROM edges JOIN named ON label = dst_label AND node = dst JOIN customer ON src_label = 'Customer' AND src = c_custkey WHERE c_mktsegment = 'BUILDING'")
+def _(s, d):
+    return _ask(s, d, "MATCH (c:Customer {c_mktsegment: 'BUILDING'})-->(callee) RETURN DISTINCT label(callee) AS label, callee.id, callee.name")
+
+
+@query("g1_impact", f"""WITH {EDGES}, {NAMED}, one AS (SELECT DISTINCT src_label AS l, src AS v FROM edges JOIN part ON dst_label = 'Part' AND dst = p_partkey WHERE p_size > 45),
+two AS (SELECT * FROM one UNION SELECT e.src_label, e.src FROM one JOIN edges e ON e.dst_label = l AND e.dst = v)
+SELECT DISTINCT label, name FROM two JOIN named ON label = l AND node = v""")
+def _(s, d):
+    """What may be touched within two hops; walked back from the nodes asked for."""
+    return _ask(s, d, "MATCH (dependent)-[*1..2]->(f:Part) WHERE f.p_size > 45 RETURN DISTINCT label(dependent) AS label, dependent.name")
+
+
+@query("g1_candidates", f"WITH {EDGES} SELECT DISTINCT o_orderkey AS id FROM edges JOIN orders ON src_label = 'Order' AND src = o_orderkey JOIN part ON dst_label = 'Part' AND dst = p_partkey WHERE p_size > 45 AND o_orderpriority LIKE '%URGENT'")
+def _(s, d):
+    return _ask(s, d, "MATCH (caller:Order)-[:CONTAINS]->(f:Part) WHERE f.p_size > 45 AND caller.o_orderpriority ENDS WITH 'URGENT' RETURN DISTINCT caller.id")
+
+
+@query("g1_aggregates", "SELECT n_name, count(*) AS orders, count(DISTINCT c_custkey) AS customers, max(o_totalprice) AS most FROM nation JOIN customer ON c_nationkey = n_nationkey JOIN orders ON o_custkey = c_custkey GROUP BY n_name ORDER BY orders DESC, n_name LIMIT 10")
+def _(s, d):
+    return _ask(s, d, "MATCH (o:Order)<-[:PLACED]-(c:Customer)-[:IN_NATION]->(n:Nation) RETURN n.n_name, count(*) AS orders, count(DISTINCT c.id) AS customers, max(o.o_totalprice) AS most ORDER BY orders DESC, n.n_name LIMIT 10")
+
+
+@query("g1_siblings", "SELECT count(*) AS pairs FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey WHERE a.c_custkey < b.c_custkey")
+def _(s, d):
+    """Two patterns that share a node, and a condition on two others."""
+    return _ask(s, d, "MATCH (a:Customer)-[:IN_NATION]->(n:Nation), (b:Customer)-[:IN_NATION]->(n) WHERE a.id < b.id RETURN count(*) AS pairs")
 
 
 @query("p12_cypher_paths", f"WITH {EDGES}, x AS (SELECT src, dst, dst_label FROM edges WHERE src_label = 'Customer' UNION ALL SELECT a.src, b.dst, b.dst_label FROM edges a JOIN edges b ON a.src_label = 'Customer' AND a.dst_label = b.src_label AND a.dst = b.src) SELECT DISTINCT c_custkey AS id, r_name FROM x JOIN customer ON c_custkey = src JOIN region ON dst_label = 'Region' AND dst = r_regionkey")
 def _(s, d):
-    tables_ = {"Customer": table(s, d, "customer").withColumnRenamed("c_custkey", "id"), "Region": table(s, d, "region").withColumnRenamed("r_regionkey", "id")}
-    return G.cypher("MATCH (c:Customer)-[*1..2]->(r:Region) RETURN DISTINCT c.id, r.r_name", tables_, edges(s, d))
+    return _ask(s, d, "MATCH (c:Customer)-[*1..2]->(r:Region) RETURN DISTINCT c.id, r.r_name")
+
+
+@query("p12_walk_counts", f"WITH {EDGES} SELECT a.src AS id, count(*) AS walks FROM edges a JOIN edges b ON b.src_label = a.dst_label AND b.src = a.dst WHERE a.src_label = 'Customer' AND b.dst_label = 'Part' GROUP BY ALL")
+def _(s, d):
+    return _ask(s, d, "MATCH (c:Customer)-[*2..2]->(p:Part) RETURN c.id, count(*) AS walks")
 
 
 @query("g14_resolve", """WITH r AS (SELECT DISTINCT p_partkey AS ref, p_brand AS name, p_type AS t FROM part), h AS (

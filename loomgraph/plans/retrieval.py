@@ -154,9 +154,12 @@ def lists(s, d, where="true"):
     return lexical(s, d).where(where), near.where(where)
 
 
-@query("h1_hybrid_code", f"SELECT doc_id, score, place FROM ({fused_sql()}) WHERE place <= 20")
+@query("h1_hybrid_code", f"""WITH lex AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM ({LEXICAL}) QUALIFY rank <= 20),
+near AS (SELECT vec_id AS doc_id, row_number() OVER (ORDER BY {COS}, vec_id) AS rank FROM embeddings QUALIFY rank <= 20),
+fused AS (SELECT doc_id, round(sum(1.0 / (60 + rank)), 9) AS score FROM (SELECT * FROM lex UNION ALL SELECT * FROM near) GROUP BY ALL)
+SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id) AS place FROM fused QUALIFY place <= 20""")
 def _(s, d):
-    return R.fused_page(*lists(s, d), "doc_id", written).select("doc_id", "score", F.col("place").cast("long"))
+    return R.fused_first(*lists(s, d), "doc_id", 20).select("doc_id", "score", F.col("place").cast("long"))
 
 
 @query("h2_hybrid_pages", f"SELECT doc_id, score, place, total FROM ({fused_sql()}) WHERE place BETWEEN 11 AND 20")

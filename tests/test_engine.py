@@ -2,13 +2,14 @@
 
 import decimal
 import math
+from collections import Counter
 
 import duckdb
 import pytest
 
 import __spark_entry__
 from loomgraph.functions import text as T
-from loomgraph.operators import graph, links, records, retrieval, versions
+from loomgraph.operators import links, records, retrieval, versions
 from loomgraph.plans.catalog import oracle_sql, queries
 from loomgraph.operators.textindex import TextIndex
 from loomgraph.sources import tables
@@ -69,30 +70,6 @@ def test_stale_facts(spark):
     assert rows(links.stale(e, causes, written)) == [("a", "Dependency", "c"), ("b", "Dependency", "c"), ("c", "SourceChanged", None)]
 
 
-def test_communities(spark):
-    e = spark.createDataFrame([(1, 2), (2, 3), (1, 3), (11, 12), (12, 13), (11, 13)], "source long, target long")
-    pages = spark.createDataFrame([(i,) for i in (1, 2, 3, 11, 12, 13, 20)], "slug long")
-    found = links.communities(e, pages, 6, written)
-    assert rows(found) == [(i, 1 if i < 10 else 11) for i in (1, 11, 12, 13, 2, 3)] or sorted(rows(found)) == [(1, 1), (2, 1), (3, 1), (11, 11), (12, 11), (13, 11)]
-    assert {r[2] for r in rows(links.cohesion(e, found))} == {1.0}
-
-
-def test_communities_settle(spark):
-    """Without a number of rounds, no page of a chain is left with a move that gains; after 6 rounds some are."""
-    n = 24
-    e = spark.createDataFrame([(i, i + 1) for i in range(n - 1)], "source long, target long")
-    pages = spark.createDataFrame([(i,) for i in range(n)], "slug long")
-
-    def movable(label):
-        k = {i: 1 if i in (0, n - 1) else 2 for i in range(n)}
-        v = {c: sum(k[i] for i in label if label[i] == c) for c in label.values()}
-        gain = lambda i, c: sum(label.get(j) == c for j in (i - 1, i + 1)) - k[i] * (v[c] - k[i] * (label[i] == c)) / (2 * n - 2)
-        return [i for i in label if any(gain(i, label[j]) > max(gain(i, label[i]), 0) + 1e-9 for j in (i - 1, i + 1) if j in label)]
-
-    assert movable(dict(links.communities(e, pages, 6, written).collect()))
-    assert not movable(dict(links.communities(e, pages, None, written).collect()))
-
-
 def test_vectors(spark):
     v = spark.createDataFrame([(0, [0.0, 1.0]), (1, [1.0, 0.0]), (2, None), (3, [-1.0, 0.0])], "k long, v array<float>")
     assert rows(v.select("k", retrieval.cosine_distance(v["v"], [1.0, 0.0]))) == [(0, 1.0), (1, 0.0), (2, None), (3, 2.0)]
@@ -120,6 +97,20 @@ def test_fusion_ranks_whole_lists(spark):
     assert got == [(s, k, 11 + n, 60) for n, (s, k) in enumerate(want[10:20])]
 
 
+def test_fusion_of_first_ones(spark):
+    """Of either list only the first k have a share: a row that is just beyond k in both is not found at all."""
+    lex = spark.createDataFrame([(i, 100.0 - i) for i in range(60)], "k long, score double")
+    near = spark.createDataFrame([(i, float((i * 7) % 60)) for i in range(60)], "k long, distance double")
+    share = Counter()
+    for rank, i in enumerate(range(5), 1):
+        share[i] += 1 / (60 + rank)
+    for rank, i in enumerate(sorted(range(60), key=lambda i: (i * 7) % 60)[:5], 1):
+        share[i] += 1 / (60 + rank)
+    want = sorted(((-round(s, 9), i) for i, s in share.items()))[:5]
+    got = sorted((r["place"], -r["score"], r["k"]) for r in retrieval.fused_first(lex, near, "k", 5).collect())
+    assert got == [(n, *w) for n, w in enumerate(want, 1)]
+
+
 def test_text_index(spark, tmp_path):
     docs = spark.createDataFrame([(i, ["alpha beta", "beta", "", None, "gamma gamma alpha"][i % 5], i % 4) for i in range(40)], "k long, t string, f long")
     own = TextIndex(spark, f"file://{tmp_path}", {"t": T.tokens(docs["t"])})
@@ -208,12 +199,3 @@ def test_manifest():
     for a, b in (('"version": 3', '"version": 2'), ('"rows": 2,', '"rows": 3,'), ("STRING", "FLOAT"), ('"k", "rows"', '"z", "rows"')):
         with pytest.raises(ValueError):
             tables.manifest(good.replace(a, b, 1))
-
-
-def test_cypher_errors(spark):
-    n = {"A": spark.createDataFrame([(1, "x AND y"), (2, "z")], "id long, p string")}
-    e = spark.createDataFrame([("K", "A", 1, "A", 2, "u")], "kind string, src_label string, src long, dst_label string, dst long, uid string")
-    for text in ("CREATE (n)", "MATCH x RETURN x.p", "MATCH (a) RETURN a.p", "MATCH (a:B) RETURN a.p", "MATCH (a:A) WHERE a.p RETURN a.p", "MATCH (a:A) WHERE a.p = $q RETURN a.p"):
-        with pytest.raises(ValueError):
-            graph.cypher(text, n, e)
-    assert rows(graph.cypher("MATCH (a:A)-[:K]->(b:A) WHERE a.p = 'x AND y' AND b.p <> 'q AND r' RETURN a.id, b.p", n, e)) == [(1, "z")]
