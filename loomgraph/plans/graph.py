@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from loomgraph.operators import graph as G
 from loomgraph.operators.cypher import cypher
 from loomgraph.plans.registry import query
-from loomgraph.sources import tables
-from loomgraph.sources.shared import written
+from loomgraph.sources import masks, tables
+from loomgraph.sources.shared import shared_path, written
 from loomgraph.sources.tables import table
 
 EDGES = """edges AS (
@@ -284,6 +284,15 @@ def _(s, d):
     return table(s, d, "part").select("p_partkey", "p_name").join(table(s, d, "lineitem").where("l_orderkey < 50").select(F.col("l_partkey").alias("p_partkey")), "p_partkey", "left_semi")
 
 
+@query("s5_j2_masked_rows", """WITH p AS (SELECT p_partkey, p_name, row_number() OVER (ORDER BY p_partkey) - 1 AS row FROM part)
+SELECT row, p_partkey, p_name FROM p WHERE row IN (SELECT l_partkey * 3 FROM lineitem WHERE l_quantity > 49)""")
+def _(s, d):
+    """Rows chosen by another table, by their places: a mask decides which shards and row groups are opened."""
+    path = shared_path(s, "shards")
+    masks.write_shards(table(s, d, "part").select("p_partkey", "p_name"), "p_partkey", path, 50_000)
+    return masks.read_masked(s, path, table(s, d, "lineitem").where("l_quantity > 49").select((F.col("l_partkey") * 3).alias("row")))
+
+
 @query("s9_pushed_scan", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity >= 49 AND l_returnflag = 'R'")
 def _(s, d):
     return table(s, d, "lineitem").where("l_quantity >= 49 and l_returnflag = 'R'").select("l_orderkey", "l_linenumber")
