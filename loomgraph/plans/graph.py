@@ -13,6 +13,7 @@ from loomgraph.plans.registry import query
 from loomgraph.sources import masks, tables
 from loomgraph.sources.shared import shared_path, written
 from loomgraph.sources.tables import table
+from loomgraph.streaming.adjacency import Adjacency
 
 EDGES = """edges AS (
   SELECT 'PLACED' AS kind, 'Customer' AS src_label, o_custkey AS src, 'Order' AS dst_label, o_orderkey AS dst, 'o/' || o_orderkey AS uid FROM orders
@@ -273,6 +274,18 @@ def _(s, d):
     return tables.csr_edges(*_csr(s, d))
 
 
+@query("g13_incident_csr", """WITH e AS (SELECT o_custkey AS source, o_orderkey AS target, 'o/' || o_orderkey AS uid FROM orders WHERE NOT (o_orderpriority = '1-URGENT' OR (o_orderpriority = '5-LOW' AND o_orderkey % 3 = 0)))
+SELECT row_number() OVER (ORDER BY source, uid) - 1 AS position, source, target, uid FROM e""")
+def _(s, d):
+    """An adjacency of files (here priorities) after one lost a third of its edges, one all of them, and one came again."""
+    e = table(s, d, "orders").select(F.col("o_custkey").alias("source"), F.col("o_orderkey").alias("target"), F.concat(F.lit("o/"), F.col("o_orderkey").cast("string")).alias("uid"), F.col("o_orderpriority").alias("file"), F.lit(1).cast("long").alias("revision"))
+    own = Adjacency(s, shared_path(s, "adjacency"), span=1 << 14)
+    own.publish(e, e.select("file", "revision").distinct())
+    again = e.where("file = '5-LOW' and target % 3 <> 0 or file = '2-HIGH'").withColumn("revision", F.when(F.col("file") == "5-LOW", 2).otherwise(1).cast("long"))
+    own.publish(again, s.createDataFrame([("5-LOW", 2), ("2-HIGH", 1), ("1-URGENT", 2)], "file string, revision long"))
+    return own.indices()
+
+
 @query("s4_sparse_shards", "SELECT p_partkey, p_name, CASE WHEN p_partkey % 2 = 0 THEN p_brand END AS p_brand, CASE WHEN p_partkey % 2 = 0 THEN row_number() OVER (PARTITION BY p_partkey % 2 ORDER BY p_partkey) - 1 ELSE 1000000 + row_number() OVER (PARTITION BY p_partkey % 2 ORDER BY p_partkey) - 1 END AS row FROM part")
 def _(s, d):
     part = table(s, d, "part")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -46,8 +46,9 @@ def csr_write(edges: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]
     counts = nodes.select("row").join(edges.groupBy(F.col("source").alias("row")).agg(F.count(F.lit(1)).alias("n")), "row", "left")
     indptr = written(running(counts, [F.col("row")], {"ptr": F.coalesce("n", F.lit(0))}, written).select("row", "ptr"))
     total = counts.agg((F.max("row") + 1).alias("row"), F.sum(F.coalesce("n", F.lit(0))).alias("ptr"))
-    within = F.row_number().over(Window.partitionBy("source").orderBy("uid")) - 1
-    indices = edges.withColumn("k", within).join(indptr.withColumnRenamed("row", "source"), "source").select((F.col("ptr") + F.col("k")).alias("position"), "target", "uid")
+    # In this order the place of an edge in the whole is its position, so a source of any degree is split.
+    known = edges.join(nodes.select(F.col("row").alias("source")), "source", "left_semi")
+    indices = numbered(known, [F.col("source"), F.col("uid"), F.col("target")], "position", written).select("position", "target", "uid")
     return indptr.unionByName(total), indices
 
 

@@ -21,11 +21,11 @@ class Buckets:
     """State of one row for each key, or (with replace) of all rows of each path, below a folder that driver and executors share.
 
     The number of buckets belongs to the layout: the state must be opened with that it was made with.  It bounds what
-    a batch of one key costs (one bucket); a bucket's rows go to ``files`` tasks and files.
+    a batch of one key costs (one bucket); a bucket's rows go to ``files`` tasks and files, by ``spread`` (else the key).
     """
 
-    def __init__(self, spark: SparkSession, root: str, key: str, revision: str, schema: StructType | str, buckets: int = 64, files: int = 1) -> None:
-        self.spark, self.root, self.key, self.revision, self.buckets, self.files = spark, root, key, revision, buckets, files
+    def __init__(self, spark: SparkSession, root: str, key: str, revision: str, schema: StructType | str, buckets: int = 64, files: int = 1, spread: str | None = None) -> None:
+        self.spark, self.root, self.key, self.revision, self.buckets, self.files, self.spread = spark, root, key, revision, buckets, files, spread or key
         kind = spark.createDataFrame([], schema).schema
         if key not in kind.names or revision not in kind.names or "bucket" in kind.names:
             raise ValueError("the schema must have key and revision, and no column bucket")
@@ -63,7 +63,7 @@ class Buckets:
 
     def _put(self, merged: DataFrame) -> None:
         name = uuid.uuid4().hex
-        spread = F.pmod(F.xxhash64(self.key, F.lit("file")), F.lit(self.files))
+        spread = F.pmod(F.xxhash64(self.spread, F.lit("file")), F.lit(self.files))
         merged.select(*self.columns, "bucket").repartition("bucket", spread).write.parquet(f"{self.root}/staged/{name}")
         self._fs.create(self._path(f"pending/{name}"), True).close()
         self._apply(name)
