@@ -67,11 +67,14 @@ def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", url: s
     revisit = F.col("record_type") == "revisit"
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("payload_bytes").cast("string"), F.lit(END))
     block = F.concat(http, F.when(revisit, "").otherwise(F.col("payload")))
-    when = F.timestamp_seconds(F.lit(EPOCH) + F.coalesce(F.pmod(F.col(page_id).cast("long"), F.lit(31_536_000)), F.lit(0)))
+    seconds = F.lit(EPOCH).cast("long") + F.coalesce(F.pmod(F.col(page_id).cast("long"), F.lit(31_536_000)), F.lit(0))
+    day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(seconds / 86_400).cast("int")).cast("string")  # by days and seconds, as dates know no zone
+    part = lambda size, of: F.floor(seconds % of / size).cast("int")
+    when = F.concat(day, F.format_string("T%02d:%02d:%02dZ", part(3600, 86_400), part(60, 3600), part(1, 60)))
     head = F.concat(
         F.lit("WARC/1.1\r\nWARC-Type: "), F.col("record_type"), line,
         F.coalesce(F.concat(F.lit("WARC-Record-ID: "), name(F.col(page_id)), line), F.lit("")),
-        F.lit("WARC-Date: "), F.date_format(when, "yyyy-MM-dd'T'HH:mm:ss'Z'"), line,
+        F.lit("WARC-Date: "), when, line,
         F.lit("WARC-Target-URI: "), clean, line,
         F.when(revisit, F.concat(F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\nWARC-Refers-To: "), name(F.col("refers_to")), line)).otherwise(""),
         F.lit("WARC-Payload-Digest: sha1:"), F.col("payload_digest"), line,

@@ -405,6 +405,22 @@ def test_warc(spark, sf_dir, none):
     assert rows(warc.archive(spark.createDataFrame([], "page_id long, url string, html string"))) == []
 
 
+@pytest.mark.parametrize("zone", ["UTC", "Asia/Tokyo", "America/New_York"])
+def test_warc_dates_are_utc(spark, zone):
+    import datetime
+
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        pages = spark.createDataFrame([(i, f"http://a.example/{i}", "x") for i in (0, 7, 10_000_000, 31_000_000)], "page_id long, url string, html string")
+        path = warc.fresh_path(spark, "warc")
+        warc.write_archives(pages, path)
+        dates = sorted(r["value"][11:] for r in spark.read.text(f"{path}/*").where("value like 'WARC-Date: %'").collect())
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    assert [d.strip() for d in dates] == [datetime.datetime.fromtimestamp(warc.EPOCH + i, datetime.UTC).strftime("%Y-%m-%dT%H:%M:%SZ") for i in (0, 7, 10_000_000, 31_000_000)]
+
+
 def test_warc_sizes_and_ranges(spark):
     """Pages of all size classes, and more captures of one URL, time and page than a range holds."""
     data = [(i % 7, "http://a.example/", "x" * (3 + i)) for i in range(500)] + [(900, "http://b.example/", "y" * 200_000), (901, "http://b.example/", "z" * 5_000_000), (902, None, None)]
