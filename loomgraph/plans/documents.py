@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import text as T
 from loomgraph.operators import links as D
+from loomgraph.operators.ignore import ignored
 from loomgraph.plans.registry import query
 from loomgraph.sources.shared import written
 from loomgraph.sources.tables import lines, table
@@ -215,6 +216,18 @@ def _(s, d):
     return table(s, d, "pages").where(~F.col("url").rlike(r"\.(zip|tar|gz|lock|docx?)$") & ~F.col("url").contains("/vendor/")).select("page_id")
 
 
+@query("s13_s19_ignored_paths", """WITH p AS (SELECT DISTINCT regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', '') AS path FROM pages), x AS (SELECT path, string_split(path, '/') AS names FROM p WHERE path <> '')
+SELECT path, (len(names) > 1 AND names[1] LIKE 'm.%') OR (len(names) > 2 AND names[1] LIKE 'blog.%' AND names[2] = 'de')
+  OR (names[-1] LIKE '%5' AND NOT (len(names) > 1 AND names[1] LIKE 'blog.%') AND NOT names[-1] LIKE '%15') AS ignored FROM x""")
+def _(s, d):
+    """Paths of pages under rules of the root and rules that each blog has of its own."""
+    paths = table(s, d, "pages").select(F.regexp_replace(F.regexp_replace("url", "^[a-z]+://", ""), "[?#].*$", "").alias("path"))
+    root = s.createDataFrame([("", 0, "m.*/"), ("", 1, "*5"), ("", 2, "!*15")], "scope string, position int, line string")
+    blogs = paths.select(F.substring_index("path", "/", 1).alias("scope")).where("scope like 'blog.%'").distinct()
+    own = blogs.select("scope", F.posexplode(F.array(F.lit("de/"), F.lit("!*5"))).alias("position", "line"))
+    return ignored(paths, root.unionByName(own))
+
+
 @query("p11_path_prefix", "SELECT page_id FROM pages WHERE regexp_extract(url, '//[^/]*/([^?#]*)', 1) = 'en' OR starts_with(regexp_extract(url, '//[^/]*/([^?#]*)', 1), 'en/')")
 def _(s, d):
     path = F.regexp_extract("url", "//[^/]*/([^?#]*)", 1)
