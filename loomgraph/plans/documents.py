@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import text as T
 from loomgraph.operators import links as D
+from loomgraph.operators import markup as M
 from loomgraph.operators.ignore import ignored
 from loomgraph.plans.registry import query
 from loomgraph.sources.shared import written
@@ -211,6 +212,61 @@ def _(s, d):
     return table(s, d, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.size(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).cast("long").alias("n_links"))
 
 
+SITE = r"""p AS (SELECT page_id, html, regexp_replace(url, '[?#].*$', '') AS page FROM pages),
+h AS (SELECT page_id, page AS source, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href, unnest(regexp_extract_all(html, '<a href="[^"]*">([^<]*)', 1)) AS text FROM p),
+refs AS (SELECT page_id, source, regexp_extract(source, '^[a-z]+://[^/]*') || regexp_replace(replace(href, '&amp;', '&'), '[?#].*$', '') AS target, replace(text, '&amp;', '&') AS text FROM h),
+plinks AS (SELECT DISTINCT source, target FROM refs WHERE source <> target), slugs AS (SELECT DISTINCT page AS slug FROM p)"""
+
+
+def site(s, d):
+    return M.parsed(table(s, d, "pages"), "page_id", "html", "url", "html")
+
+
+def site_links(s, d):
+    """(links, pages) of the web pages, by what their HTML says."""
+    docs = written(site(s, d).select("page", "links"))
+    return D.link_graph(M.page_links(docs)), docs.where("page is not null").select(F.col("page").alias("slug")).distinct()
+
+
+@query("s14_documents", rf"""WITH {SITE} SELECT page_id, page, trim(regexp_replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&amp;', '&'), '\s+', ' ', 'g')) AS title,
+trim(regexp_replace(replace(regexp_replace(regexp_extract(html, '(?s)<article>.*?<p>(.*?)</?(p|article)>', 1), '<[^>]*>', '', 'g'), '&amp;', '&'), '\s+', ' ', 'g')) AS summary,
+len(regexp_extract_all(html, '<h1>')) AS n_headings, len(regexp_extract_all(html, '<a href=')) AS n_links FROM p""")
+def _(s, d):
+    return site(s, d).select("page_id", "page", "title", "summary", F.size("headings").cast("long").alias("n_headings"), F.size("links").cast("long").alias("n_links"))
+
+
+@query("d15_page_references", f"WITH {SITE} SELECT source, target, text, count(*) AS n FROM refs GROUP BY ALL")
+def _(s, d):
+    return M.page_links(site(s, d)).groupBy("source", "target", "text").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("d1_page_links", f"WITH {SITE} SELECT source, target FROM plinks")
+def _(s, d):
+    return site_links(s, d)[0]
+
+
+@query("d2_page_stats", f"""WITH {SITE} SELECT (SELECT count(*) FROM slugs) AS pages, (SELECT count(*) FROM plinks) AS links, (SELECT count(DISTINCT target) FROM plinks WHERE target IN (SELECT slug FROM slugs)) AS inbound_pages,
+(SELECT count(*) FROM slugs WHERE slug NOT IN (SELECT source FROM plinks) AND slug NOT IN (SELECT target FROM plinks)) AS orphans, (SELECT count(*) FROM plinks WHERE target NOT IN (SELECT slug FROM slugs)) AS broken_edges""")
+def _(s, d):
+    return D.stats(*site_links(s, d))
+
+
+@query("d4_page_broken", f"WITH {SITE} SELECT source, target FROM plinks WHERE target NOT IN (SELECT slug FROM slugs)")
+def _(s, d):
+    return D.broken(*site_links(s, d))
+
+
+@query("d1_markdown_links", f"WITH {LINKS} SELECT source, target FROM links")
+def _(s, d):
+    """Documents as Markdown files: their whole text fenced, links inline, by reference and automatic, and some that aren't any; then parsed and resolved."""
+    to = lambda k: F.when(F.col("doc_id") % 7 != 0, ((F.col("doc_id") * 3 + k * 17) % 1200).cast("string"))
+    said = F.format_string("See [**one**](%s.md?v=1#top), [two][2] and <https://docs.example/d/%s.md>, not `[x](1.md)` or ![y](2.md).\n\n[2]: ../d/%s.md 'Two'\n", to(0), to(2), to(1))
+    body = F.concat(F.lit("---\ntitle: "), F.coalesce("lang", F.lit("~")), F.lit("\n---\n# Text\n\n"), F.lit("`" * 60 + "\n"), F.coalesce("text", F.lit("")), F.lit("\n[no](3.md)\n" + "`" * 60 + "\n\n"), F.when(to(0).isNull(), "Nothing. [mail](mailto:a@b.example)\n").otherwise(said))
+    files = table(s, d, "documents").select("doc_id", F.format_string("https://docs.example/d/%s.md", F.col("doc_id").cast("string")).alias("url"), body.alias("body"))
+    own = lambda c: F.regexp_extract(c, r"/d/(\d+)\.md$", 1).cast("long")
+    return D.link_graph(M.page_links(M.parsed(files, "doc_id", "body", "url", "markdown"))).select(own("source").alias("source"), own("target").alias("target"))
+
+
 @query("s19_ignore_rules", r"SELECT page_id FROM pages WHERE NOT regexp_matches(url, '\.(zip|tar|gz|lock|docx?)$') AND NOT contains(url, '/vendor/')")
 def _(s, d):
     return table(s, d, "pages").where(~F.col("url").rlike(r"\.(zip|tar|gz|lock|docx?)$") & ~F.col("url").contains("/vendor/")).select("page_id")
