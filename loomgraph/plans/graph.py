@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgraph.operators import graph as G
+from loomgraph.operators import nesting
 from loomgraph.operators.cypher import cypher
 from loomgraph.plans.registry import query
 from loomgraph.sources import masks, tables
@@ -197,6 +198,28 @@ def _(s, d):
     return table(s, d, "lineitem").select(F.col("l_orderkey").alias("child_order"), F.col("l_linenumber").alias("child"), F.max("l_linenumber").over(w).alias("owner"))
 
 
+SPANS = """spans AS (SELECT l_suppkey AS file, l_orderkey * 8 + l_linenumber AS uid, date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) AS s, date_diff('day', DATE '1970-01-01', CAST(l_receiptdate AS DATE)) AS e, CASE WHEN l_linenumber > 2 THEN CASE l_returnflag WHEN 'R' THEN 2 WHEN 'A' THEN 1 ELSE 0 END END AS weight FROM lineitem)"""
+
+
+def _spans(s, d):
+    """Shipments as spans of days, those of a supplier in one file; the first two lines of an order declare, the others weigh."""
+    day = lambda c: F.unix_date(F.col(c).cast("date")).cast("long")
+    weight = F.when(F.col("l_linenumber") > 2, F.when(F.col("l_returnflag") == "R", 2).when(F.col("l_returnflag") == "A", 1).otherwise(0))
+    return table(s, d, "lineitem").select(F.col("l_suppkey").alias("file"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("uid"), day("l_shipdate").alias("start"), day("l_receiptdate").alias("end"), weight.alias("weight"))
+
+
+@query("g15_owners", f"""WITH {SPANS}, o AS (SELECT c.file, c.uid, max({{'s': o.s, 'less': -o.e, 'uid': o.uid}}) AS o FROM spans c JOIN spans o ON o.file = c.file AND o.e >= c.e AND (o.s < c.s OR (o.s = c.s AND (o.e > c.e OR o.uid < c.uid))) GROUP BY ALL)
+SELECT file, uid, o.uid AS owner FROM spans LEFT JOIN o USING (file, uid)""")
+def _(s, d):
+    return nesting.owners(_spans(s, d), F.lit(True), written).select("file", "uid", "owner")
+
+
+@query("g18_nested_complexity", f"""WITH {SPANS}, o AS (SELECT c.file, c.uid, any_value(c.weight) AS weight, max({{'s': o.s, 'less': -o.e, 'uid': o.uid}}) AS o FROM spans c JOIN spans o ON o.weight IS NULL AND o.file = c.file AND o.e >= c.e AND (o.s < c.s OR (o.s = c.s AND (o.e > c.e OR (o.e = c.e AND o.uid < c.uid)))) WHERE c.weight IS NOT NULL GROUP BY c.file, c.uid),
+n AS (SELECT file, o.uid AS uid, sum(weight) AS n FROM o GROUP BY ALL) SELECT file, uid, CAST(1 + coalesce(n, 0) AS BIGINT) AS complexity FROM spans LEFT JOIN n USING (file, uid) WHERE weight IS NULL""")
+def _(s, d):
+    return nesting.complexity(_spans(s, d), written)
+
+
 @query("g16_edge_dedup", f"WITH {EDGES} SELECT DISTINCT kind, src, dst FROM edges")
 def _(s, d):
     return edges(s, d).dropDuplicates(["kind", "src", "dst"]).select("kind", "src", "dst")
