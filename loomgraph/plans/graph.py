@@ -7,8 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loomgraph.operators import coordinates, nesting
 from loomgraph.operators import graph as G
-from loomgraph.operators import nesting
 from loomgraph.operators.cypher import cypher
 from loomgraph.plans.registry import query
 from loomgraph.sources import masks, tables
@@ -198,24 +198,24 @@ def _(s, d):
     return table(s, d, "lineitem").select(F.col("l_orderkey").alias("child_order"), F.col("l_linenumber").alias("child"), F.max("l_linenumber").over(w).alias("owner"))
 
 
-SPANS = """spans AS (SELECT l_suppkey AS file, l_orderkey * 8 + l_linenumber AS uid, date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) AS s, date_diff('day', DATE '1970-01-01', CAST(l_receiptdate AS DATE)) AS e, CASE WHEN l_linenumber > 2 THEN CASE l_returnflag WHEN 'R' THEN 2 WHEN 'A' THEN 1 ELSE 0 END END AS weight FROM lineitem)"""
+SPANS = """spans AS (SELECT o_orderpriority AS file, o_orderkey AS uid, date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS s, date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) + CAST(floor(o_totalprice / 1000) AS BIGINT) AS e, CASE o_orderstatus WHEN 'F' THEN 2 WHEN 'P' THEN 1 END AS weight FROM orders)"""
 
 
 def _spans(s, d):
-    """Shipments as spans of days, those of a supplier in one file; the first two lines of an order declare, the others weigh."""
-    day = lambda c: F.unix_date(F.col(c).cast("date")).cast("long")
-    weight = F.when(F.col("l_linenumber") > 2, F.when(F.col("l_returnflag") == "R", 2).when(F.col("l_returnflag") == "A", 1).otherwise(0))
-    return table(s, d, "lineitem").select(F.col("l_suppkey").alias("file"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("uid"), day("l_shipdate").alias("start"), day("l_receiptdate").alias("end"), weight.alias("weight"))
+    """Orders as spans of so many days as their price in thousands, in five large files; those of a status weigh, the others declare."""
+    day = F.unix_date(F.col("o_orderdate").cast("date")).cast("long")
+    weight = F.when(F.col("o_orderstatus") == "F", 2).when(F.col("o_orderstatus") == "P", 1)
+    return table(s, d, "orders").select(F.col("o_orderpriority").alias("file"), F.col("o_orderkey").alias("uid"), day.alias("start"), (day + F.floor(F.col("o_totalprice") / 1000).cast("long")).alias("end"), weight.alias("weight"))
 
 
-@query("g15_owners", f"""WITH {SPANS}, o AS (SELECT c.file, c.uid, max({{'s': o.s, 'less': -o.e, 'uid': o.uid}}) AS o FROM spans c JOIN spans o ON o.file = c.file AND o.e >= c.e AND (o.s < c.s OR (o.s = c.s AND (o.e > c.e OR o.uid < c.uid))) GROUP BY ALL)
-SELECT file, uid, o.uid AS owner FROM spans LEFT JOIN o USING (file, uid)""")
+@query("g15_owners", f"""WITH {SPANS}, o AS (SELECT c.file, c.uid, max({{'s': o.s, 'less': -o.e, 'uid': o.uid}}) AS o FROM spans c JOIN spans o ON o.file = c.file AND o.e >= c.e AND (o.s < c.s OR (o.s = c.s AND (o.e > c.e OR (o.e = c.e AND o.uid < c.uid)))) GROUP BY ALL)
+SELECT file, uid, best.uid AS owner FROM spans LEFT JOIN o USING (file, uid)""")
 def _(s, d):
     return nesting.owners(_spans(s, d), F.lit(True), written).select("file", "uid", "owner")
 
 
 @query("g18_nested_complexity", f"""WITH {SPANS}, o AS (SELECT c.file, c.uid, any_value(c.weight) AS weight, max({{'s': o.s, 'less': -o.e, 'uid': o.uid}}) AS o FROM spans c JOIN spans o ON o.weight IS NULL AND o.file = c.file AND o.e >= c.e AND (o.s < c.s OR (o.s = c.s AND (o.e > c.e OR (o.e = c.e AND o.uid < c.uid)))) WHERE c.weight IS NOT NULL GROUP BY c.file, c.uid),
-n AS (SELECT file, o.uid AS uid, sum(weight) AS n FROM o GROUP BY ALL) SELECT file, uid, CAST(1 + coalesce(n, 0) AS BIGINT) AS complexity FROM spans LEFT JOIN n USING (file, uid) WHERE weight IS NULL""")
+n AS (SELECT file, best.uid AS uid, sum(weight) AS n FROM o GROUP BY ALL) SELECT file, uid, CAST(1 + coalesce(n, 0) AS BIGINT) AS complexity FROM spans LEFT JOIN n USING (file, uid) WHERE weight IS NULL""")
 def _(s, d):
     return nesting.complexity(_spans(s, d), written)
 
@@ -268,6 +268,23 @@ def _(s, d):
     return table(s, d, "documents").select("doc_id", F.octet_length(F.col("text").substr(F.lit(1), half.cast("int"))).cast("long").alias("byte_offset"), half.alias("point_offset"), F.octet_length("text").cast("long").alias("bytes"))
 
 
+@query("g23_projection", """WITH x AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS a FROM documents), y AS (SELECT doc_id, unnest(a) AS line, generate_subscripts(a, 1) AS i FROM x),
+l AS (SELECT doc_id, i, length(line) AS c, CAST(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) - length(line) - 1 AS o FROM y)
+SELECT doc_id, i * 4 AS id, 'Exact' AS state, o AS original_start, o + c + 1 AS original_end, 1 AS pieces FROM l UNION ALL SELECT doc_id, i * 4 + 1, 'Compound', NULL, o + 1, 2 FROM l
+UNION ALL SELECT doc_id, i * 4 + 2, 'Exact', o, o, 0 FROM l UNION ALL SELECT doc_id, i * 4 + 3, CASE WHEN i > 1 THEN 'Exact' ELSE 'Unmappable' END, CASE WHEN i > 1 THEN o END, CASE WHEN i > 1 THEN o END, 0 FROM l""")
+def _(s, d):
+    """Quoted texts: two characters before each line are made up, the rest is the document's; ranges of the quoted text are found in the document."""
+    parts = table(s, d, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("i", "line")).select("doc_id", F.col("i").cast("long").alias("i"), F.length("line").cast("long").alias("c"))
+    earlier = Window.partitionBy("doc_id").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)  # the lines of one text, which is one row anyway
+    own = written(parts.withColumn("o", F.coalesce(F.sum(F.col("c") + 1).over(earlier), F.lit(0))).withColumn("q", F.col("o") + 2 * F.col("i")))
+    piece = lambda kind, a, b, o, e: F.struct(F.lit(kind).alias("kind"), a.alias("start"), b.alias("end"), o.cast("long").alias("original_start"), e.cast("long").alias("original_end"))
+    q, o, n = F.col("q"), F.col("o"), F.col("c") + 1
+    segments = own.select(F.col("doc_id").alias("file"), F.inline(F.array(piece("Synthetic", q, q + 2, F.lit(None), F.lit(None)), piece("Direct", q + 2, q + 2 + n, o, o + n))))
+    ask = lambda k, a, b: F.struct((F.col("i") * 4 + 4 + k).alias("id"), a.alias("start"), b.alias("end"))
+    asked = own.select(F.col("doc_id").alias("file"), F.inline(F.array(ask(0, q + 2, q + 2 + n), ask(1, q, q + 3), ask(2, q + 2, q + 2), ask(3, q, q))))
+    return coordinates.project(segments, asked, written).withColumnRenamed("file", "doc_id")
+
+
 @query("g12_entity_source", "SELECT doc_id, array_to_string(string_split(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(10))[2:4], chr(10)) AS source FROM documents WHERE len(string_split(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(10))) > 4")
 def _(s, d):
     docs = table(s, d, "documents")
