@@ -208,13 +208,13 @@ def _spans(s, d):
     return table(s, d, "orders").select(F.col("o_orderpriority").alias("file"), F.col("o_orderkey").alias("uid"), day.alias("start"), (day + F.floor(F.col("o_totalprice") / 1000).cast("long")).alias("end"), weight.alias("weight"))
 
 
-@query("g15_owners", f"""WITH {SPANS}, o AS (SELECT c.file, c.uid, max({{'s': o.s, 'less': -o.e, 'uid': o.uid}}) AS o FROM spans c JOIN spans o ON o.file = c.file AND o.e >= c.e AND (o.s < c.s OR (o.s = c.s AND (o.e > c.e OR (o.e = c.e AND o.uid < c.uid)))) GROUP BY ALL)
+@query("g15_owners", f"""WITH {SPANS}, o AS (SELECT c.file, c.uid, max({{'s': o.s, 'less': -o.e, 'uid': o.uid}}) AS best FROM spans c JOIN spans o ON o.file = c.file AND o.e >= c.e AND (o.s < c.s OR (o.s = c.s AND (o.e > c.e OR (o.e = c.e AND o.uid < c.uid)))) GROUP BY ALL)
 SELECT file, uid, best.uid AS owner FROM spans LEFT JOIN o USING (file, uid)""")
 def _(s, d):
     return nesting.owners(_spans(s, d), F.lit(True), written).select("file", "uid", "owner")
 
 
-@query("g18_nested_complexity", f"""WITH {SPANS}, o AS (SELECT c.file, c.uid, any_value(c.weight) AS weight, max({{'s': o.s, 'less': -o.e, 'uid': o.uid}}) AS o FROM spans c JOIN spans o ON o.weight IS NULL AND o.file = c.file AND o.e >= c.e AND (o.s < c.s OR (o.s = c.s AND (o.e > c.e OR (o.e = c.e AND o.uid < c.uid)))) WHERE c.weight IS NOT NULL GROUP BY c.file, c.uid),
+@query("g18_nested_complexity", f"""WITH {SPANS}, o AS (SELECT c.file, c.uid, any_value(c.weight) AS weight, max({{'s': o.s, 'less': -o.e, 'uid': o.uid}}) AS best FROM spans c JOIN spans o ON o.weight IS NULL AND o.file = c.file AND o.e >= c.e AND (o.s < c.s OR (o.s = c.s AND (o.e > c.e OR (o.e = c.e AND o.uid < c.uid)))) WHERE c.weight IS NOT NULL GROUP BY c.file, c.uid),
 n AS (SELECT file, best.uid AS uid, sum(weight) AS n FROM o GROUP BY ALL) SELECT file, uid, CAST(1 + coalesce(n, 0) AS BIGINT) AS complexity FROM spans LEFT JOIN n USING (file, uid) WHERE weight IS NULL""")
 def _(s, d):
     return nesting.complexity(_spans(s, d), written)
