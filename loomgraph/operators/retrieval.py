@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,6 +35,33 @@ def best_field(*scores: DataFrame, key: str) -> DataFrame:
     return out.groupBy(key).agg(F.max("score").alias("score"))
 
 
+#: The paths of a record's JSON that are searched.
+PATHS = ("title", "description", "check_text", "evidence", "comment_body")
+
+
+def path_words(json: Column, paths: tuple[str, ...] = PATHS) -> Column:
+    """The words of a JSON object's texts, each with the path that it stands at, for a ``TextIndex``; paths that are absent, null or no text have none."""
+    said = F.from_json(json, ", ".join(f"`{p}` string" for p in paths))
+    at = lambda p: F.transform(T.tokens(said[p]), lambda w: F.concat(F.lit(f"{p},str,"), w))
+    return F.concat(*map(at, paths))
+
+
+def path_terms(text: str, paths: tuple[str, ...] = PATHS) -> list[str]:
+    """The terms that a search stands for: its literals are separated by semicolons, and each word of one may stand at any path. A blank literal is an error."""
+    literals = text.split(";")
+    if not all(x.strip() for x in literals):
+        raise ValueError("a literal is blank")
+    words = sorted({w for x in literals for w in re.findall(r"[^\W_]+", x.lower())})
+    return [f"{p},str,{w}" for p in paths for w in words]
+
+
+def best_location(scores: DataFrame) -> DataFrame:
+    """(record, score, location, sequence): of (record, place, score) the best row of each record; place 0 is its specification, which goes first at a tie, the others are its comments, of which the earliest does."""
+    best = scores.groupBy("record").agg(F.max(F.struct("score", (-F.col("place")).alias("less"))).alias("b"))
+    place = -F.col("b.less")
+    return best.select("record", F.col("b.score").alias("score"), F.when(place == 0, "specification").otherwise("comment").alias("location"), F.when(place > 0, place).alias("sequence"))
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 

@@ -16,11 +16,15 @@ TOKENS = r"list_filter(string_split_regex(lower(coalesce({x}, '')), '[^\p{{L}}\p
 
 
 def bm25_sql(source: str, key: str, x: str, terms: list[str]) -> str:
+    return bm25_words_sql(source, key, TOKENS.format(x=x), terms)
+
+
+def bm25_words_sql(source: str, key: str, words: str, terms: list[str]) -> str:
     tf = ", ".join(f"len(list_filter(w, lambda y: y = '{t}')) AS tf{i}" for i, t in enumerate(terms))
     n = range(len(terms))
     df = ", ".join(f"count(*) FILTER (tf{i} > 0) AS df{i}" for i in n)
     score = " + ".join(f"ln(1 + (docs - df{i} + 0.5) / (df{i} + 0.5)) * tf{i} * 2.2 / (tf{i} + 1.2 * (0.25 + 0.75 * n / mean))" for i in n)
-    return f"SELECT {key}, round({score}, 9) AS score FROM (SELECT {key}, len(w) AS n, {tf} FROM (SELECT {key}, {TOKENS.format(x=x)} AS w FROM {source})), (SELECT count(*) AS docs, avg(n) AS mean, {df} FROM (SELECT len(w) AS n, {tf} FROM (SELECT {TOKENS.format(x=x)} AS w FROM {source}))) WHERE {' OR '.join(f'tf{i} > 0' for i in n)}"
+    return f"SELECT {key}, round({score}, 9) AS score FROM (SELECT {key}, len(w) AS n, {tf} FROM (SELECT {key}, {words} AS w FROM {source})), (SELECT count(*) AS docs, avg(n) AS mean, {df} FROM (SELECT len(w) AS n, {tf} FROM (SELECT {words} AS w FROM {source}))) WHERE {' OR '.join(f'tf{i} > 0' for i in n)}"
 
 
 _built: dict[tuple, TextIndex] = {}
@@ -31,7 +35,7 @@ def index(s, d, name, key, fields):
     docs = table(s, d, name)
     path = s._jvm.org.apache.hadoop.fs.Path(f"{d}/{name}.parquet")
     stamp = path.getFileSystem(s._jsc.hadoopConfiguration()).getFileStatus(path).getModificationTime()
-    mark = (s.sparkContext.applicationId, d, name, stamp)
+    mark = (s.sparkContext.applicationId, d, name, stamp, tuple(fields))
     if mark not in _built:
         own = TextIndex(s, shared_path(s, "index"), fields)
         own.append(docs, key, F.col(key) % 16)
@@ -67,6 +71,21 @@ def _(s, d):
     return hits.where(F.size("hits") > 0).select("event_id", F.element_at("hits", 1)["path"].alias("path"))
 
 
+ASKED = "und;eau thing;source"
+_said = {"title": "CASE WHEN doc_id % 4 = 0 THEN lang END", "description": "CASE WHEN doc_id % 4 = 0 THEN text END", "check_text": "CASE WHEN doc_id % 4 = 0 THEN 'source ' || source END", "evidence": "CASE WHEN doc_id % 4 > 0 THEN 'source ' || lang END", "comment_body": "CASE WHEN doc_id % 4 > 0 THEN text END"}
+_words = " || ".join(f"list_transform({TOKENS.format(x=x)}, lambda y: '{path},str,' || y)" for path, x in _said.items())
+
+
+@query("f3_record_paths", f"""WITH s AS ({bm25_words_sql("documents", "doc_id", _words, R.path_terms(ASKED))}), b AS (SELECT doc_id // 4 AS record, doc_id % 4 AS place, score, row_number() OVER (PARTITION BY doc_id // 4 ORDER BY score DESC, doc_id % 4) AS k FROM s)
+SELECT record, score, CASE WHEN place = 0 THEN 'specification' ELSE 'comment' END AS location, CASE WHEN place > 0 THEN place END AS sequence FROM b WHERE k = 1""")
+def _(s, d):
+    """Records of four documents, the first one their specification and the others comments, as JSON; their postings tell paths apart."""
+    said = F.to_json(F.struct(*[F.expr(x).alias(path) for path, x in _said.items()]))
+    own = index(s, d, "documents", "doc_id", {"public": R.path_words(said)})
+    rows = own.bm25("public", R.path_terms(ASKED)).select(F.floor(F.col("key") / 4).alias("record"), (F.col("key") % 4).alias("place"), "score")
+    return R.best_location(rows)
+
+
 @query("f4_analyser", f"SELECT conv_id, turn, CAST(len({TOKENS.format(x='text')}) AS BIGINT) AS n FROM conversations")
 def _(s, d):
     return table(s, d, "conversations").select("conv_id", "turn", F.size(T.tokens(F.col("text"))).cast("long").alias("n"))
