@@ -11,7 +11,7 @@ from loomgraph.operators import coordinates, nesting
 from loomgraph.operators import graph as G
 from loomgraph.operators.cypher import cypher
 from loomgraph.plans.registry import query
-from loomgraph.sources import masks, tables
+from loomgraph.sources import masks, package, tables
 from loomgraph.sources.shared import shared_path, written
 from loomgraph.sources.tables import table
 from loomgraph.streaming.adjacency import Adjacency
@@ -326,6 +326,18 @@ def _(s, d):
     return own.indices()
 
 
+@query("s1_k1_package", "SELECT c_custkey AS source, o_orderkey AS target, 'o/' || o_orderkey AS uid FROM orders JOIN customer ON c_custkey = o_custkey")
+def _(s, d):
+    """Customers and orders as a package, sharded by segment and priority; its edges are read by the manifest, once no fault was found."""
+    people, orders = table(s, d, "customer").select(F.col("c_mktsegment").alias("file"), "c_custkey", "c_name"), table(s, d, "orders").select(F.col("o_orderpriority").alias("file"), "o_orderkey", "o_totalprice")
+    placed = table(s, d, "orders").join(people.select("c_custkey"), F.col("o_custkey") == F.col("c_custkey"), "left_semi").select(F.col("o_custkey").alias("source"), F.col("o_orderkey").alias("target"), F.concat(F.lit("o/"), F.col("o_orderkey").cast("string")).alias("uid"))
+    root = shared_path(s, "package")
+    own = package.write_package(s, root, {"Customer": (people, "c_custkey"), "Order": (orders, "o_orderkey")}, {"PLACED": ("Customer", "Order", placed)})
+    if not own.faults().isEmpty():
+        raise ValueError("the package is faulty")
+    return own.edges("PLACED")
+
+
 @query("s4_sparse_shards", "SELECT p_partkey, p_name, CASE WHEN p_partkey % 2 = 0 THEN p_brand END AS p_brand, CASE WHEN p_partkey % 2 = 0 THEN row_number() OVER (PARTITION BY p_partkey % 2 ORDER BY p_partkey) - 1 ELSE 1000000 + row_number() OVER (PARTITION BY p_partkey % 2 ORDER BY p_partkey) - 1 END AS row FROM part")
 def _(s, d):
     part = table(s, d, "part")
