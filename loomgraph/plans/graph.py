@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomgraph.operators import coordinates, nesting
+from loomgraph.operators import coordinates, names, nesting
 from loomgraph.operators import graph as G
 from loomgraph.operators.cypher import cypher
 from loomgraph.plans.registry import query
@@ -262,6 +262,20 @@ def _(s, d):
     return li.join(owner, ["l_orderkey", "l_suppkey"]).select("l_orderkey", "l_linenumber", F.when(F.col("n") == 1, F.col("m")).alias("target"))
 
 
+@query("g22_scoped_names", """WITH k AS (SELECT c_nationkey, c_mktsegment, count(*) AS n, min(c_custkey) AS t FROM customer WHERE c_acctbal > 7000 GROUP BY ALL)
+SELECT o_orderkey AS ref, CASE WHEN n = 1 THEN t END AS target, CASE WHEN n IS NULL THEN 'NotFound' WHEN n = 1 THEN 'Resolved' ELSE 'Ambiguous' END AS status
+FROM orders JOIN customer c ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey LEFT JOIN k ON k.c_nationkey = c.c_nationkey AND k.c_mktsegment = c.c_mktsegment AND o_orderkey % 4 < 3""")
+def _(s, d):
+    """Segments named by orders from within their nation: plain, by keyword, by the nation's name, and by the region's, which has no such member."""
+    places = table(s, d, "nation").join(table(s, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_name", "r_name", F.concat_ws("/", "r_name", "n_name").alias("scope"))
+    people = table(s, d, "customer").join(places, F.col("c_nationkey") == F.col("n_nationkey"))
+    one = lambda df, name, scope, label, target: df.select(F.col(name).alias("name"), scope.alias("scope"), F.lit(label).alias("label"), F.col(target).cast("long").alias("target"))
+    entities = one(people.where("c_acctbal > 7000"), "c_mktsegment", F.col("scope"), "Customer", "c_custkey").unionByName(one(places, "n_name", F.col("r_name"), "Nation", "n_nationkey")).unionByName(one(table(s, d, "region"), "r_name", F.lit(""), "Region", "r_regionkey"))
+    k = F.col("o_orderkey") % 4
+    refs = table(s, d, "orders").join(people, F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("ref"), F.col("c_mktsegment").alias("name"), "scope", F.lit(None).cast("string").alias("own"), F.when(k == 1, "self").when(k == 2, F.col("n_name")).when(k == 3, F.col("r_name")).alias("qualifier"), F.array(F.lit("Nobody")).alias("labels"), F.lit("Customer").alias("fallback"))
+    return names.qualified(refs, entities)
+
+
 @query("g23_coordinates", "SELECT doc_id, octet_length(encode(substr(text, 1, length(text) // 2))) AS byte_offset, length(text) // 2 AS point_offset, octet_length(encode(text)) AS bytes FROM documents")
 def _(s, d):
     half = F.floor(F.length("text") / 2)
