@@ -10,6 +10,7 @@ from loomgraph.sources.shared import shared_path as shared
 from loomgraph.sources.tables import table
 from loomgraph.streaming import publish
 from loomgraph.streaming.buckets import Buckets
+from loomgraph.streaming.reconcile import HEAD, reconcile
 
 
 def before(s, d):
@@ -35,6 +36,21 @@ def _(s, d):
     return V.upsert(before(s, d), after(s, d), ["p_partkey"])
 
 
+@query("d20_reconciliation", """SELECT CAST(p_partkey AS VARCHAR) AS origin, CASE WHEN p_partkey % 11 = 0 AND p_partkey % 3 <> 0 THEN 'Removed' ELSE 'Active' END AS state,
+CAST(CASE WHEN p_partkey % 3 = 0 OR p_partkey % 11 = 0 THEN 2 ELSE 1 END AS BIGINT) AS revision, CASE WHEN p_partkey % 3 = 0 THEN p_name || '!' WHEN p_partkey % 11 <> 0 THEN p_name END AS name FROM part""")
+def _(s, d):
+    """A full batch, a delta of the third that changed and of absent ones (of which those that are there stay), and the same delta again, which writes nothing."""
+    corpus = Buckets(s, shared(s, "corpus"), "origin", "revision", f"{HEAD}, name string")
+    part = table(s, d, "part").select(F.col("p_partkey").alias("k"), F.col("p_partkey").cast("string").alias("origin"), F.lit("1").alias("recipe"), F.col("p_name").alias("name"))
+    files = lambda df: df.withColumn("digest", F.sha2("name", 256))
+    reconcile(corpus, "parts", files(part), full=True)
+    delta, absent = files(part.where("k % 3 = 0").withColumn("name", F.concat("name", F.lit("!")))), part.where("k % 11 = 0").select("origin")
+    reconcile(corpus, "parts", delta, absent)
+    if reconcile(corpus, "parts", delta, absent)["buckets"]:
+        raise ValueError("an unchanged delta was written")
+    return corpus.read().select("origin", "state", "revision", "name")
+
+
 @query("x8_k5_replace_paths", f"WITH {SNAP} SELECT * FROM a WHERE p_brand NOT IN ('Brand#11', 'Brand#12') UNION ALL SELECT * FROM b WHERE p_brand = 'Brand#11'")
 def _(s, d):
     paths = s.createDataFrame([("Brand#11",), ("Brand#12",)], "p_brand string")
