@@ -40,3 +40,42 @@ def test_documents_with_references_cut_short(against):
     for name in ("s14_documents", "d15_page_references", "d1_page_links"):
         got, want = against(name, tables)
         assert got == want
+
+
+def test_semantic_search_builds_no_text_index(spark, sf_dir, monkeypatch):
+    from loomgraph.plans import retrieval
+
+    monkeypatch.setattr(retrieval, "index", lambda *_: pytest.fail("an index is built"))
+    assert __spark_entry__.queries()["h4_semantic_task"](spark, sf_dir).count() == 20
+
+
+def test_fusion_without_ranking_the_lists(spark, monkeypatch):
+    from loomgraph.operators import retrieval
+    from loomgraph.sources.shared import written
+
+    monkeypatch.setattr(retrieval, "numbered", lambda *_: pytest.fail("a list is ranked whole"))
+    n = 1500
+    lex = {k: (k * 7919) % 97 / 10 for k in range(n)}
+    near = {k: (k * 104729) % 89 / 10 for k in range(500, n + 700)}
+    ranks = [{k: i + 1 for i, (k, _) in enumerate(sorted(x.items(), key=lambda y: (f * y[1], y[0])))} for f, x in ((-1, lex), (1, near))]
+    score = {k: round(sum(1 / (60 + r[k]) for r in ranks if k in r), 9) for k in lex | near}
+    want = [(k, score[k]) for k in sorted(score, key=lambda k: (-score[k], k))]
+    frames = [spark.createDataFrame(list(x.items()), f"k long, {c} double") for c, x in (("score", lex), ("distance", near))]
+    for offset, size in ((0, 20), (10, 10), (90, 40)):
+        got = retrieval.fused_page(*frames, "k", written, offset, size).orderBy("place").collect()
+        assert [(r["k"], r["score"]) for r in got] == want[offset : offset + size]
+        assert {r["total"] for r in got} == {len(score)}
+
+
+def test_postings_are_counted_without_moving_them(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from loomgraph.operators.textindex import TextIndex
+
+    docs = spark.createDataFrame([(1, "b a b"), (2, ""), (3, None), (4, "a")], "k long, t string")
+    own = TextIndex(spark, f"file://{tmp_path}", {"t": F.filter(F.split(F.coalesce("t", F.lit("")), " "), lambda w: w != "")})
+    found = own.postings(docs, "k", F.lit(0))
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange") <= 1
+    rows = {(r["term"], r["key"], r["tf"], r["n"]) for r in found.collect()}
+    assert {("a", 1, 1, 3), ("b", 1, 2, 3), ("a", 4, 1, 1)} <= rows
+    assert found.where("term = '' and key is null").agg(F.sum("tf"), F.sum("n")).first() == (4, 4)
