@@ -17,6 +17,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.operators.ordering import running
+
 _TOKEN = re.compile(r"""\s*(?:(?P<text>'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*")|(?P<number>\d+\.\d+|\d+)|(?P<name>[^\W\d]\w*)|(?P<param>\$\w+)|(?P<sign><>|<=|>=|\.\.|[-+*/%=<>()\[\]{}:,.|]))""")
 _AGGREGATES = {"count": F.count, "sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max, "collect": F.collect_list}
 _FUNCTIONS = {"coalesce": F.coalesce, "tolower": F.lower, "toupper": F.upper, "size": F.length, "abs": F.abs}
@@ -254,6 +256,37 @@ def walks(edges: DataFrame, starts: DataFrame, low: int, high: int, distinct: bo
     return met if distinct else met.groupBy("l1", "s", "l2", "t").agg(F.sum("n").alias("n"))
 
 
+def _apart(q: dict, items: list, rest: list) -> tuple | None:
+    """(shared node, (expression, path) of the smaller side, that of the larger, strictly) if count(*) is asked of two paths that share but one node, under one comparison between them."""
+    if len(items) != 1 or items[0][0] != ("call", "count", False, [("value", 1)]) or q["order"] or q["skip"] or q["limit"] is not None:
+        return None
+    if len(q["paths"]) != 2 or len(rest) != 1 or rest[0][0] != "two" or rest[0][1] not in ("<", "<=", ">", ">="):
+        return None
+    ends = [{n[0] for n in path[::2]} for path in q["paths"]]
+    if len(ends[0] & ends[1]) != 1 or any(h["name"] for path in q["paths"] for h in path[1::2]):
+        return None
+    shared, (_, op, *both) = next(iter(ends[0] & ends[1])), rest[0]
+    where = [[i for i in (0, 1) if x[0] == "of" and x[1] in ends[i] - {shared}] for x in both]
+    if sorted(where) != [[0], [1]]:
+        return None
+    sides = [(x, q["paths"][w[0]]) for x, w in zip(both, where, strict=True)]
+    return shared, *(sides if op[0] == "<" else sides[::-1]), len(op) == 1
+
+
+def pairs_in_order(low: DataFrame, high: DataFrame, group: list[str], strict: bool, written: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(n): how many pairs of a row of low and one of high are in one group with the former's x below the latter's (or equal, if not strict).
+
+    Pairs are not made: each value of x meets the number of rows of low before it, by running sums over ranges, so
+    a group of any size is split.
+    """
+    value = lambda df, left: df.dropna(subset=[*group, "x"]).select(*group, "x", F.lit(int(left)).alias("a"), F.lit(int(not left)).alias("b"))
+    both = value(low, True).unionByName(value(high, False)).groupBy(*group, "x").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    ranged = written(running(both, [F.col(c) for c in (*group, "x")], {"before": F.col("a")}, written))
+    first = ranged.groupBy(*group).agg(F.min("before").alias("_first"))
+    under = F.col("before") - F.col("_first") + (F.lit(0) if strict else F.col("a"))
+    return ranged.where("b > 0").join(first, group).agg(F.coalesce(F.sum(F.col("b") * under), F.lit(0)).alias("n"))
+
+
 def cypher(text: str, nodes: dict[str, DataFrame], edges: DataFrame, written: Callable[[DataFrame], DataFrame], **params) -> DataFrame:
     """The rows of a pattern query; node tables have a column id, edges (kind, src_label, src, dst_label, dst, uid).
 
@@ -341,52 +374,61 @@ def cypher(text: str, nodes: dict[str, DataFrame], edges: DataFrame, written: Ca
         return df
 
     place = lambda v: [f"`{v}.label`", f"`{v}.id`"]
-    df, known, pending, hop_n = None, set(), list(q["paths"]), 0
-    while pending:
-        path = next((p for p in pending if known & {x[0] for x in p[::2]}), None) if known else pending[0]
-        if path is None:
-            raise ValueError("the parts of a pattern must share a node")
-        pending.remove(path)
-        start = next((i for i in range(0, len(path), 2) if path[i][0] in known), 0)
-        if df is None:
-            df, known = node_table(path[0][0]), {path[0][0]}
-        # From a node that is known outwards, first ahead, then back.
-        for i in [*range(start + 1, len(path), 2), *range(start - 1, 0, -2)]:
-            forth = i > start
-            a, b = (path[i - 1][0], path[i + 1][0]) if forth else (path[i + 1][0], path[i - 1][0])
-            h, hop_n = path[i], hop_n + 1
-            one = edges if not h["kinds"] else edges.where(F.col("kind").isin(h["kinds"]))
-            name = h["name"] or f"_hop{hop_n}"
-            extra = [F.col(c).alias(f"{name}.{c}") for c in sorted(wanted.get(name, set()))]
-            if extra and h["reach"]:
-                raise ValueError(f"{name} is more than one edge")
-            ends = lambda x, y: one.select(F.col(f"{x}_label").alias("l1"), F.col(x).alias("s"), F.col(f"{y}_label").alias("l2"), F.col(y).alias("t"), *extra)  # noqa: E731, B023
-            along = h["ahead"] if forth else h["back"]
-            against = h["back"] if forth else h["ahead"]
-            e = ends("src", "dst") if along and not against else ends("dst", "src") if against and not along else ends("src", "dst").unionByName(ends("dst", "src"))
-            other = None if b in known else node_table(b)
-            if h["reach"]:
-                df = written(df)
-                first = df.select(*[F.col(c).alias(k) for c, k in zip(place(a), ("l", "v"), strict=True)]).distinct()
-                last = written((df if other is None else other).select(*[F.col(c).alias(k) for c, k in zip(place(b), ("l", "v"), strict=True)]).distinct())
-                if last.count() < first.count():
-                    turned = e.select(F.col("l2").alias("l1"), F.col("t").alias("s"), F.col("l1").alias("l2"), F.col("s").alias("t"))
-                    e = walks(turned, last, *h["reach"], only_ends, written).select(F.col("l2").alias("l1"), F.col("t").alias("s"), F.col("l1").alias("l2"), F.col("s").alias("t"), "n")
-                else:
-                    e = walks(e, first, *h["reach"], only_ends, written)
-                    e = e.join(last.select(F.col("l").alias("l2"), F.col("v").alias("t")), ["l2", "t"], "left_semi").select("l1", "s", "l2", "t", "n")
-                if not only_ends:
-                    e = e.withColumn("n", F.explode(F.sequence(F.lit(1).cast("long"), "n")))
-                e = e.drop("n")
-            # A label that the pattern names becomes a filter on the edges, which reaches their scan.
-            for v, c in ((a, "l1"), (b, "l2")):
-                if labels[v]:
-                    e = e.where(F.col(c) == labels[v])
-            met = (F.col(place(a)[0]) == F.col("l1")) & (F.col(place(a)[1]) == F.col("s"))
-            to = (F.col(place(b)[0]) == F.col("l2")) & (F.col(place(b)[1]) == F.col("t"))
-            df = df.join(e, met & to) if other is None else df.join(e, met).join(other, to)
-            df = df.drop("l1", "s", "l2", "t")
-            known.add(b)
+
+    def matched(paths: list) -> DataFrame:
+        df, known, pending, hop_n = None, set(), list(paths), 0
+        while pending:
+            path = next((p for p in pending if known & {x[0] for x in p[::2]}), None) if known else pending[0]
+            if path is None:
+                raise ValueError("the parts of a pattern must share a node")
+            pending.remove(path)
+            start = next((i for i in range(0, len(path), 2) if path[i][0] in known), 0)
+            if df is None:
+                df, known = node_table(path[0][0]), {path[0][0]}
+            # From a node that is known outwards, first ahead, then back.
+            for i in [*range(start + 1, len(path), 2), *range(start - 1, 0, -2)]:
+                forth = i > start
+                a, b = (path[i - 1][0], path[i + 1][0]) if forth else (path[i + 1][0], path[i - 1][0])
+                h, hop_n = path[i], hop_n + 1
+                one = edges if not h["kinds"] else edges.where(F.col("kind").isin(h["kinds"]))
+                name = h["name"] or f"_hop{hop_n}"
+                extra = [F.col(c).alias(f"{name}.{c}") for c in sorted(wanted.get(name, set()))]
+                if extra and h["reach"]:
+                    raise ValueError(f"{name} is more than one edge")
+                ends = lambda x, y: one.select(F.col(f"{x}_label").alias("l1"), F.col(x).alias("s"), F.col(f"{y}_label").alias("l2"), F.col(y).alias("t"), *extra)  # noqa: E731, B023
+                along = h["ahead"] if forth else h["back"]
+                against = h["back"] if forth else h["ahead"]
+                e = ends("src", "dst") if along and not against else ends("dst", "src") if against and not along else ends("src", "dst").unionByName(ends("dst", "src"))
+                other = None if b in known else node_table(b)
+                if h["reach"]:
+                    df = written(df)
+                    first = df.select(*[F.col(c).alias(k) for c, k in zip(place(a), ("l", "v"), strict=True)]).distinct()
+                    last = written((df if other is None else other).select(*[F.col(c).alias(k) for c, k in zip(place(b), ("l", "v"), strict=True)]).distinct())
+                    if last.count() < first.count():
+                        turned = e.select(F.col("l2").alias("l1"), F.col("t").alias("s"), F.col("l1").alias("l2"), F.col("s").alias("t"))
+                        e = walks(turned, last, *h["reach"], only_ends, written).select(F.col("l2").alias("l1"), F.col("t").alias("s"), F.col("l1").alias("l2"), F.col("s").alias("t"), "n")
+                    else:
+                        e = walks(e, first, *h["reach"], only_ends, written)
+                        e = e.join(last.select(F.col("l").alias("l2"), F.col("v").alias("t")), ["l2", "t"], "left_semi").select("l1", "s", "l2", "t", "n")
+                    if not only_ends:
+                        e = e.withColumn("n", F.explode(F.sequence(F.lit(1).cast("long"), "n")))
+                    e = e.drop("n")
+                # A label that the pattern names becomes a filter on the edges, which reaches their scan.
+                for v, c in ((a, "l1"), (b, "l2")):
+                    if labels[v]:
+                        e = e.where(F.col(c) == labels[v])
+                met = (F.col(place(a)[0]) == F.col("l1")) & (F.col(place(a)[1]) == F.col("s"))
+                to = (F.col(place(b)[0]) == F.col("l2")) & (F.col(place(b)[1]) == F.col("t"))
+                df = df.join(e, met & to) if other is None else df.join(e, met).join(other, to)
+                df = df.drop("l1", "s", "l2", "t")
+                known.add(b)
+        return df
+
+    if apart := _apart(q, items, rest):
+        shared, (low, left), (high, right), strict = apart
+        sides = [matched([path]).select(*[F.col(c).alias(k) for c, k in zip(place(shared), ("l", "v"), strict=True)], value(x).alias("x")) for x, path in ((low, left), (high, right))]
+        return pairs_in_order(*sides, ["l", "v"], strict, written).toDF(names[0])
+    df = matched(q["paths"])
     for x in rest:
         df = df.where(value(x))
     out = [value(x).alias(n) for x, n in items]

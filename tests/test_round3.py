@@ -79,3 +79,54 @@ def test_postings_are_counted_without_moving_them(spark, tmp_path):
     rows = {(r["term"], r["key"], r["tf"], r["n"]) for r in found.collect()}
     assert {("a", 1, 1, 3), ("b", 1, 2, 3), ("a", 4, 1, 1)} <= rows
     assert found.where("term = '' and key is null").agg(F.sum("tf"), F.sum("n")).first() == (4, 4)
+
+
+def test_pairs_that_share_a_node_are_counted_not_made(spark):
+    from loomgraph.operators.cypher import cypher
+    from loomgraph.sources.shared import written
+
+    where = [(i, i % 3 if i % 7 else None, i // 2) for i in range(60)]
+    nodes = {"C": spark.createDataFrame([(i, x) for i, _, x in where], "id long, x long"), "N": spark.createDataFrame([(0,), (1,), (2,)], "id long")}
+    edges = spark.createDataFrame([("IN", "C", i, "N", g, str(i)) for i, g, _ in where if g is not None], "kind string, src_label string, src long, dst_label string, dst long, uid string")
+    for op, f in (("<", int.__lt__), ("<=", int.__le__), (">", int.__gt__), (">=", int.__ge__)):
+        found = cypher(f"MATCH (a:C)-[:IN]->(n:N), (b:C)-[:IN]->(n) WHERE a.x {op} b.x RETURN count(*) AS pairs", nodes, edges, written)
+        assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString() and found.columns == ["pairs"]
+        assert found.first()[0] == sum(f(x, y) for _, g, x in where for _, h, y in where if g is not None and g == h)
+
+
+def test_sample_puts_nulls_last(spark):
+    from loomgraph.operators import graph
+
+    edges = spark.createDataFrame([("K", "A", k, "B", k, u) for k, u in ((1, None), (2, "b"), (3, "a"))], "kind string, src_label string, src long, dst_label string, dst long, uid string")
+    nodes = spark.createDataFrame([("A", None), ("A", 7)], "label string, node long")
+    assert {tuple(r) for r in graph.sample(edges, nodes, 1, 1).collect()} == {("A", 7), ("A", 3), ("B", 3)}
+
+
+def test_rounds_of_communities_broadcast_nothing(spark):
+    from loomgraph.operators import links
+    from loomgraph.sources.shared import written
+
+    plans = []
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return written(df)
+
+    pages = spark.createDataFrame([(i,) for i in range(6)], "slug long")
+    found = links.communities(spark.createDataFrame([(0, 1), (1, 2), (2, 0), (3, 4), (4, 5), (5, 3), (2, 3)], "source long, target long"), pages, seen)
+    assert {tuple(r) for r in found.collect()} == {(0, 0), (1, 0), (2, 0), (3, 3), (4, 3), (5, 3)}
+    assert plans and not any("Broadcast" in p for p in plans)
+
+
+def test_ranges_grow_in_number_with_the_input(spark, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from loomgraph.operators import ordering
+    from loomgraph.sources.shared import written
+
+    spark.range(300000).select(F.xxhash64("id").alias("k")).coalesce(1).write.parquet(f"{tmp_path}/t")
+    df = spark.read.parquet(f"{tmp_path}/t")
+    asked = []
+    monkeypatch.setattr(ordering, "tasks", lambda df, mb: asked.append(df) or 13, raising=True)
+    out = ordering.numbered(df, [F.col("k")], "n", written)
+    assert asked and out.agg(F.countDistinct("n"), F.max("n")).first() == (300000, 299999)
