@@ -58,6 +58,11 @@ def stale(links: DataFrame, causes: DataFrame, written) -> DataFrame:
     return state.join(causes, "slug", "left").select("slug", F.coalesce("cause", F.lit("Dependency")).alias("cause"), F.when(F.col("cause").isNull(), F.col("root")).alias("root"))
 
 
+def _met(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    """A join that is never a broadcast: there are some in each of many rounds, and all of a broadcast goes through the driver."""
+    return left.hint("merge").join(right.hint("merge"), on, how)
+
+
 #: So many rounds of moves without a better modularity end a level.
 _PATIENCE = 4
 
@@ -73,13 +78,13 @@ def _settled(edges: DataFrame, label: DataFrame, total: float, written) -> tuple
     best, top, since, i = label, None, 0, 0
     while True:
         volume = label.groupBy("c").agg(F.sum("k").alias("v"))
-        near = edges.join(label.select(F.col("a").alias("b"), "c"), "b").groupBy("a", "c").agg(F.sum("w").alias("w"))
-        own = label.join(volume, "c").select("a", "k", F.col("c").alias("now"), (-F.col("k") * (F.col("v") - F.col("k")) / total).alias("alone"))
+        near = _met(edges, label.select(F.col("a").alias("b"), "c"), "b").groupBy("a", "c").agg(F.sum("w").alias("w"))
+        own = _met(label, volume, "c").select("a", "k", F.col("c").alias("now"), (-F.col("k") * (F.col("v") - F.col("k")) / total).alias("alone"))
         home = F.col("c") == F.col("now")
-        scored = near.join(volume, "c").join(own, "a").withColumn("gain", F.col("w") - F.col("k") * (F.col("v") - F.when(home, F.col("k")).otherwise(0)) / total)
+        scored = _met(_met(near, volume, "c"), own, "a").withColumn("gain", F.col("w") - F.col("k") * (F.col("v") - F.when(home, F.col("k")).otherwise(0)) / total)
         choice = scored.groupBy("a").agg(F.max(F.struct("gain", (-F.col("c")).alias("less"))).alias("g"), F.max(F.when(home, F.col("gain"))).alias("linked"), F.first("alone").alias("alone"), F.sum(F.when(home, F.col("w"))).alias("inside"))
         gains = F.coalesce(F.col("g.gain") > F.coalesce("linked", "alone") + 1e-12, F.lit(False))
-        seen = written(label.join(choice, "a", "left").select("a", "k", "c", gains.alias("gains"), (-F.col("g.less")).alias("into"), F.coalesce("inside", F.lit(0.0)).alias("inside")))
+        seen = written(_met(label, choice, "a", "left").select("a", "k", "c", gains.alias("gains"), (-F.col("g.less")).alias("into"), F.coalesce("inside", F.lit(0.0)).alias("inside")))
         by = seen.groupBy("c").agg(F.sum("k").alias("v"), F.sum("inside").alias("x"), F.count_if("gains").alias("n"))
         x, y, n = by.agg(F.sum("x"), F.sum((F.col("v") / total) * (F.col("v") / total)), F.sum("n")).first()
         found = ((x or 0.0) + inner) / total - (y or 0.0)
@@ -101,7 +106,7 @@ def communities(links: DataFrame, pages: DataFrame, written) -> DataFrame:
     Then pages move again from the communities found, and so on while the modularity rises.  A community is called by
     its smallest slug.  The result does not depend on how rows are dealt out.
     """
-    known = links.join(pages, F.col("source") == F.col("slug"), "left_semi").join(pages, F.col("target") == F.col("slug"), "left_semi")
+    known = _met(_met(links, pages, F.col("source") == F.col("slug"), "left_semi"), pages, F.col("target") == F.col("slug"), "left_semi")
     pairs = known.where("source <> target").select(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")).distinct()
     all_edges = written(pairs.union(pairs.select("b", "a")).toDF("a", "b").withColumn("w", F.lit(1.0)))
     all_nodes = written(all_edges.groupBy("a").agg(F.sum("w").alias("k")))
@@ -109,22 +114,22 @@ def communities(links: DataFrame, pages: DataFrame, written) -> DataFrame:
     kept, last = all_nodes.select(F.col("a").alias("slug"), F.col("a").alias("c")), None
     while True:
         edges, member, top = all_edges, all_nodes.select(F.col("a").alias("slug"), F.col("a").alias("c")), None
-        start = written(all_nodes.join(kept.select(F.col("slug").alias("a"), "c"), "a"))
+        start = written(_met(all_nodes, kept.select(F.col("slug").alias("a"), "c"), "a"))
         while True:
             label, found = _settled(edges, start, total, written)
             if top is not None and found <= top + 1e-12:
                 break
             top = found
             to = label.select("a", F.col("c").alias("into"))
-            member = written(member.join(to, F.col("c") == F.col("a")).select("slug", F.col("into").alias("c")))
-            merged = edges.join(to, "a").select(F.col("into").alias("a"), "b", "w").join(to.toDF("b", "to"), "b").where("a <> to")
+            member = written(_met(member, to, F.col("c") == F.col("a")).select("slug", F.col("into").alias("c")))
+            merged = _met(_met(edges, to, "a").select(F.col("into").alias("a"), "b", "w"), to.toDF("b", "to"), "b").where("a <> to")
             edges = written(merged.groupBy("a", F.col("to").alias("b")).agg(F.sum("w").alias("w")))
             start = written(label.groupBy(F.col("c").alias("a")).agg(F.sum("k").alias("k")).withColumn("c", F.col("a")))
         if last is not None and top <= last + 1e-9:
             break
         kept, last = member, top
     names = kept.groupBy("c").agg(F.min("slug").alias("community"))
-    return kept.join(names, "c").select("slug", "community")
+    return _met(kept, names, "c").select("slug", "community")
 
 
 def by_size(member: DataFrame, written) -> DataFrame:
