@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.operators.ordering import numbered
+from loomgraph.operators.ordering import RANGE_MB, numbered
+from loomgraph.sources.shared import tasks
 
 
 def latest(points: DataFrame, group: str, order: list[str], value: Column, name: str, written: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -16,13 +17,13 @@ def latest(points: DataFrame, group: str, order: list[str], value: Column, name:
     The rows are dealt by ranges of group and order and written, so a group of any size is split; a range takes what it lacks
     at its start from the last value of an earlier range, of which there is one row each.  Null groups and orders are left out.
     """
-    keys = [group, *order]
-    ranged = written(points.withColumn(name, value).dropna(subset=keys).repartitionByRange(*keys).withColumn("_range", F.spark_partition_id()))
+    keys, n_ranges = [group, *order], tasks(points, RANGE_MB)
+    ranged = written(points.withColumn(name, value).dropna(subset=keys).repartitionByRange(n_ranges, *keys).withColumn("_range", F.spark_partition_id()))
     last = ranged.where(F.col(name).isNotNull()).groupBy("_range").agg(F.max_by(F.struct(group, name), F.struct(*keys)).alias("v")).select(F.col("_range").alias("_from"), F.col(f"v.{group}").alias(group), F.col(f"v.{name}").alias("_v"))
     first = ranged.groupBy("_range").agg(F.min(group).alias(group))
     before = first.join(last, group).where("_from < _range").groupBy("_range", group).agg(F.max_by("_v", "_from").alias("_before"))
     upto = Window.partitionBy("_range", group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    own = ranged.withColumn(name, F.last(name, ignorenulls=True).over(upto))
+    own = ranged.repartition(n_ranges, "_range").withColumn(name, F.last(name, ignorenulls=True).over(upto))
     return own.join(F.broadcast(before), ["_range", group], "left").withColumn(name, F.coalesce(name, "_before")).drop("_range", "_before")  # at most a row for each range
 
 
