@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomgraph.sources.shared import tasks
+
 
 def neighborhood(edges: DataFrame, label: str, key: int, kind: str, other: str, direction: str = "out", after: str = "", limit: int = 100) -> DataFrame:
     """A page of edges of one kind at one node by uid keyset: filters reach the scan, the page is a top-k without a full sort.
@@ -35,17 +37,21 @@ def schema_counts(edges: DataFrame) -> DataFrame:
 def reachable(edges: DataFrame, start: DataFrame, hops: int) -> DataFrame:
     """(origin, label, node, depth): distinct nodes within hops, the least depth first; start has (origin, label, node)."""
     step = edges.select(F.col("src_label").alias("label"), F.col("src").alias("node"), F.col("dst_label").alias("l2"), F.col("dst").alias("n2"))
-    front, seen = start.withColumn("depth", F.lit(0)), None
+    n, place = tasks(edges, 8), ["origin", "label", "node"]  # as many tasks as the input asks for: rows pack so well that fewer would be large
+    step = step.repartition(n, "label", "node")
+    front, seen = start.select(*place), None
     for d in range(1, hops + 1):
-        front = front.join(step, ["label", "node"]).select("origin", F.col("l2").alias("label"), F.col("n2").alias("node"), F.lit(d).alias("depth")).distinct()
-        seen = front if seen is None else seen.unionByName(front)
-    return seen.groupBy("origin", "label", "node").agg(F.min("depth").alias("depth"))
+        front = front.repartition(n, "label", "node").join(step, ["label", "node"]).select("origin", F.col("l2").alias("label"), F.col("n2").alias("node")).repartition(n, *place).distinct()
+        at = front.withColumn("depth", F.lit(d))
+        seen = at if seen is None else seen.unionByName(at)
+    return seen.repartition(n, *place).groupBy(*place).agg(F.min("depth").alias("depth"))
 
 
 def sample(edges: DataFrame, nodes: DataFrame, n_nodes: int, n_edges: int) -> DataFrame:
-    """(label, node): the first nodes, the ends of the first edges, once each."""
-    seeds = nodes.orderBy("label", "node").limit(n_nodes)
-    first = edges.orderBy("kind", "uid").limit(n_edges)
+    """(label, node): the first nodes, the ends of the first edges, once each; nulls are last, and of edges that tie those of the smallest ends go first."""
+    last = lambda *names: [F.col(c).asc_nulls_last() for c in names]
+    seeds = nodes.orderBy(*last("label", "node")).limit(n_nodes)
+    first = edges.orderBy(*last("kind", "uid", "src", "dst")).limit(n_edges)
     ends = first.select(F.col("src_label").alias("label"), F.col("src").alias("node")).union(first.select("dst_label", "dst"))
     return seeds.select("label", "node").union(ends).distinct()
 
