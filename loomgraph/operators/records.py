@@ -9,9 +9,15 @@ import json
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomgraph.sources.shared import tasks as dealt
+
 PUBLIC = ("record_id", "session_id", "title", "status", "priority", "created_at", "updated_at")
 
 
+#: So many rows are sent to all tasks.
+_FEW = 100_000
+
+
 def project(df: DataFrame, columns: list[str]) -> DataFrame:
     """A selection from a closed list; a private, unknown or repeated column is an error."""
     if not columns or len(set(columns)) != len(columns) or not set(columns) <= set(PUBLIC):
@@ -99,7 +105,10 @@ def gates(tasks: DataFrame, deps: DataFrame, written, order: str | None = None)
         b = front.where("kind = 'unmet'").join(child, "id").select(F.col("needs").alias("id"), "status")
         c = F.col("status")
         hit = a.select("id", kinds([(F.lit(True), "bad"), (c == "completed", "invalid"), (c == "completed", "unmet")]).alias("kinds")).unionAll(b.select("id", kinds([(F.lit(True), "bad"), (c == "completed", "invalid"), (c.isin("completed", "cancelled"), "unmet")]).alias("kinds")))
-        front = written(hit.select("id", F.explode("kinds").alias("kind")).distinct().join(failed, ["id", "kind"], "left_anti"))
+        hit = written(hit.select("id", F.explode("kinds").alias("kind")).distinct())
+        # What failed before is many rows and is not moved for a few: those of them that are hit again are found where they lie.
+        again = failed.join(F.broadcast(hit), ["id", "kind"], "left_semi") if hit.count() <= _FEW else failed
+        front = written(hit.join(again, ["id", "kind"], "left_anti"))
         if front.isEmpty():
             break
         failed = failed.unionByName(front)
@@ -118,16 +127,19 @@ def closable(gated: DataFrame, tasks: DataFrame) -> DataFrame:
 
 def validate(tasks: DataFrame, deps: DataFrame) -> DataFrame:
     """(id, problem): repeated ids; dependencies on itself, on nothing, or twice; parents that are itself, nothing or of another session."""
-    repeated = tasks.groupBy("id").count().where("count > 1").select("id", F.lit("repeated id").alias("problem"))
+    # Both are read several times, by one key or another: in tasks of a fixed share of the input, as these rows pack very well.
+    n = dealt(tasks, 4)
+    by_id, by_need = tasks.repartition(n, "id"), deps.repartition(n, "needs")
+    repeated = by_id.groupBy("id").count().where("count > 1").select("id", F.lit("repeated id").alias("problem"))
     self_ = deps.where("id = needs").select("id", F.lit("needs itself").alias("problem"))
-    lost = deps.join(tasks.select(F.col("id").alias("needs")), "needs", "left_anti").select("id", F.lit("unknown dependency").alias("problem"))
-    twice = deps.groupBy("id", "needs").count().where("count > 1").select("id", F.lit("repeated dependency").alias("problem"))
+    lost = by_need.join(by_id.select(F.col("id").alias("needs")), "needs", "left_anti").select("id", F.lit("unknown dependency").alias("problem"))
+    twice = deps.repartition(n, "id", "needs").groupBy("id", "needs").count().where("count > 1").select("id", F.lit("repeated dependency").alias("problem"))
     out = repeated.unionAll(self_).unionAll(lost).unionAll(twice)
     if "parent" in tasks.columns:
-        up = tasks.where("parent is not null").select("id", "parent", "session").join(tasks.select(F.col("id").alias("parent"), F.col("session").alias("own")), "parent", "left")
+        up = tasks.where("parent is not null").select("id", "parent", "session").repartition(n, "parent").join(by_id.select(F.col("id").alias("parent"), F.col("session").alias("own")), "parent", "left")
         problem = F.when(F.col("id") == F.col("parent"), "is its own parent").when(F.col("own").isNull(), "unknown parent").when(F.col("own") != F.col("session"), "parent of another session")
         out = out.unionAll(up.select("id", problem.alias("problem")).where("problem is not null"))
-    return out.distinct()
+    return out.repartition(n, "id", "problem").distinct()
 
 
 def guarded(df: DataFrame, rows: int) -> DataFrame:

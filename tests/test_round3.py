@@ -130,3 +130,27 @@ def test_ranges_grow_in_number_with_the_input(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(ordering, "tasks", lambda df, mb: asked.append(df) or 13, raising=True)
     out = ordering.numbered(df, [F.col("k")], "n", written)
     assert asked and out.agg(F.countDistinct("n"), F.max("n")).first() == (300000, 299999)
+
+
+def test_validation_reads_tasks_only(against):
+    orders = [(i, i % 4, "F", 1.0, datetime(2024, 1, 1 + i % 9), "1-URGENT") for i in range(60)]
+    got, want = against("t11_validate", {"orders": ("o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp, o_orderpriority string", orders)})
+    assert got == want and got
+
+
+def test_few_failures_do_not_move_the_many(spark, monkeypatch):
+    from loomgraph.operators import records
+    from loomgraph.sources.shared import written
+
+    tasks = spark.createDataFrame([(i, "completed", i % 7 != 0) for i in range(30)], "id long, status string, own boolean")
+    deps = spark.createDataFrame([(i, i - 1) for i in range(1, 30) if i % 5], "id long, needs long")
+    plans = []
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return written(df)
+
+    few = sorted(map(tuple, records.gates(tasks, deps, seen).collect()))
+    assert any("BroadcastHashJoin" in p and "LeftSemi" in p and "LeftAnti" in p for p in plans)
+    monkeypatch.setattr(records, "_FEW", -1)
+    assert few == sorted(map(tuple, records.gates(tasks, deps, written).collect()))
