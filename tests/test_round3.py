@@ -154,3 +154,56 @@ def test_few_failures_do_not_move_the_many(spark, monkeypatch):
     assert any("BroadcastHashJoin" in p and "LeftSemi" in p and "LeftAnti" in p for p in plans)
     monkeypatch.setattr(records, "_FEW", -1)
     assert few == sorted(map(tuple, records.gates(tasks, deps, written).collect()))
+
+
+def _hops(links, pages, depth):
+    near = {}
+    for a, b in links:
+        if None not in (a, b) and a != b:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    rows = set()
+    for start in pages:
+        seen, front = {start}, {start}
+        for k in range(1, depth + 1):
+            front = {y for x in front & pages for y in near.get(x, ())} - seen
+            seen |= front
+            rows |= {(start, y, k) for y in front}
+    return rows
+
+
+def test_hops_of_twins_are_made_at_the_end(spark, monkeypatch):
+    import random
+
+    from loomgraph.operators import links as D
+    from loomgraph.sources.shared import written
+
+    monkeypatch.setattr(D, "_LIST", 2, raising=False)
+    r, moved = random.Random(5), []
+
+    def seen(df):
+        out = written(df)
+        moved.append(out.count())
+        return out
+
+    twins = [(i, t) for i in range(100, 160) for t in (1, 2)] + [(1, 3), (3, 3), (2, 900), (900, 4), (4, None)]  # a hub's twins, self links, dangling pages
+    chance = [(r.randrange(30), r.randrange(36)) for _ in range(40)]
+    for edges, pages, starts in ((twins, {*range(1, 5), *range(100, 150)}, None), (twins, {*range(1, 5), *range(100, 150)}, {100, 3, 155}), (chance, set(range(30)), None)):
+        of = lambda x: spark.createDataFrame([(p,) for p in [*x, *list(x)[:2]]], "slug long")
+        moved.clear()
+        got = [tuple(x) for x in D.khop(spark.createDataFrame(edges, "source long, target long"), of(pages), of(starts or pages), 3, seen).collect()]
+        assert len(got) == len(set(got)) and set(got) == {x for x in _hops(edges, pages, 3) if not starts or x[0] in starts}
+        if edges is twins and not starts:
+            assert max(moved) <= len(twins) * 2 < 2000 < len(got)
+
+
+def test_nodes_of_equal_hashes_are_no_twins(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from loomgraph.operators import links as D
+    from loomgraph.sources.shared import written
+
+    monkeypatch.setattr(D.F, "xxhash64", lambda *_: F.lit(7).cast("long"))
+    edges, pages = [(i, 10 + i % 2) for i in range(6)], {*range(6), 10, 11}
+    got = D.khop(spark.createDataFrame(edges, "source long, target long"), *[spark.createDataFrame([(p,) for p in pages], "slug long")] * 2, 3, written)
+    assert {tuple(x) for x in got.collect()} == _hops(edges, pages, 3)
