@@ -90,10 +90,14 @@ class Buckets:
         fresh = written(news.join(have, ["bucket", self.key], "left").where(F.col("_have").isNull() | (F.col(self.revision) > F.col("_have"))).drop("_have"))
         own = self._touched(fresh)
         if own:
-            kept = self._stored(own).join(fresh.select("bucket", self.key), ["bucket", self.key], "left_anti")
-            self._put(kept.unionByName(fresh))
+            self.put(fresh, own, self._stored(own))
         return len(own)
 
+    def put(self, fresh: DataFrame, own: list[int], stored: DataFrame) -> None:
+        """Writes stored buckets anew with rows that are known to be newer, one for each key, with their bucket; own are these buckets."""
+        kept = stored.where(F.col("bucket").isin(own)).join(fresh.select("bucket", self.key), ["bucket", self.key], "left_anti")
+        self._put(kept.unionByName(fresh))
+
     def replace(self, rows: DataFrame, paths: DataFrame) -> int:
         """Replaces all rows of paths (key, revision) by rows, which have both columns too; the number of buckets written.
 

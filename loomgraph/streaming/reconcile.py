@@ -20,26 +20,28 @@ def reconcile(corpus: Buckets, source: str, files: DataFrame, absent: DataFrame
     the origins that absent (origin) names; a full batch removes all of the source that it doesn't hold.  A removed origin
     keeps its head, as Removed and without content, and may come again.  An origin that is both a file and absent is a file;
     of several rows of an origin the smallest counts; null origins are left out; origins of other sources are refused.
-    Heads are read without content, for a delta only in the buckets that it touches.
+    Heads are read without content, for a delta only in the buckets that it touches.  Files are joined with them once, and what that
+    gives is put in place as it is: it has one row for each origin, a revision above that stored.
     """
     rest = [c for c in corpus.columns if c not in ("origin", "revision", *_OWN)]
-    one = files.where("origin is not null").groupBy("origin").agg(F.min(F.struct("digest", "recipe", *rest)).alias("f")).select("origin", "f.*")
+    one = files.where("origin is not null").groupBy("origin").agg(F.min(F.struct("digest", "recipe", *rest)).alias("f")).select("origin", "f.*").withColumn("_named", F.lit(True))
+    if absent is not None and not full:
+        gone = absent.select("origin").where("origin is not null").distinct().withColumn("_gone", F.lit(True))
+        one = one.join(gone, "origin", "full")
     one = written(one.withColumn("bucket", corpus._bucket()))
-    named = absent.select("origin").where("origin is not null").distinct().withColumn("bucket", corpus._bucket()) if absent is not None else one.select("origin", "bucket").limit(0)
-    named = written(named.join(one.select("origin"), "origin", "left_anti"))
-    touched = None if full else corpus._touched(one.select("bucket").union(named.select("bucket")))
-    heads = written(corpus._stored(touched).select("bucket", "origin", "revision", *_OWN))
-    met = one.join(heads.select("bucket", "origin", F.col("revision").alias("_had"), F.col("source").alias("_source"), F.col("state").alias("_state"), F.col("digest").alias("_digest"), F.col("recipe").alias("_recipe")), ["bucket", "origin"], "left")
-    if not met.where(F.col("_source") != source).isEmpty():
-        raise ValueError("an origin belongs to another source")
+    stored = corpus._stored(None if full else corpus._touched(one))
+    heads = stored.select("bucket", "origin", *[F.col(c).alias(f"_{c}") for c in ("revision", *_OWN)])
+    met = one.join(heads, ["bucket", "origin"], "full" if full else "left")
     same = (F.col("_state") == "Active") & F.col("digest").eqNullSafe(F.col("_digest")) & F.col("recipe").eqNullSafe(F.col("_recipe"))
-    news = met.where(~F.coalesce(same, F.lit(False))).withColumn("_kind", F.when(F.col("_state").isNull() | (F.col("_state") == "Removed"), "added").otherwise("changed"))
-    live = heads.where((F.col("state") == "Active") & (F.col("source") == source))
-    gone = live.join(one.select("bucket", "origin"), ["bucket", "origin"], "left_anti") if full else live.join(named, ["bucket", "origin"], "left_semi")
-    kinds = {f.name: f.dataType for f in corpus.schema}
-    up = news.select("origin", (F.coalesce("_had", F.lit(0)) + 1).alias("revision"), F.lit(source).alias("source"), F.lit("Active").alias("state"), "digest", "recipe", *rest, "_kind")
-    down = gone.select("origin", (F.col("revision") + 1).alias("revision"), "source", F.lit("Removed").alias("state"), F.lit(None).cast("string").alias("digest"), F.lit(None).cast("string").alias("recipe"), *[F.lit(None).cast(kinds[c]).alias(c) for c in rest], F.lit("removed").alias("_kind"))
-    batch = written(up.unionByName(down))
-    counts = {r[0]: r[1] for r in batch.groupBy("_kind").agg(F.count(F.lit(1))).collect()}  # three rows at most
-    out = {k: counts.get(k, 0) for k in ("added", "changed", "removed")}
-    return out | {"buckets": corpus.upsert(batch.drop("_kind")) if counts else 0}
+    live = (F.col("_state") == "Active") & (F.col("_source") == source)
+    named = F.col("_named").isNotNull()
+    kind = F.when(named & (F.col("_source") != source), "foreign").when(named & F.coalesce(same, F.lit(False)), None).when(named & (F.col("_state").isNull() | (F.col("_state") == "Removed")), "added").when(named, "changed").when(live, "removed")
+    batch = met.withColumn("_kind", kind).where("_kind is not null").select("origin", (F.coalesce("_revision", F.lit(0)) + 1).alias("revision"), F.lit(source).alias("source"), F.when(named, "Active").otherwise("Removed").alias("state"), "digest", "recipe", *rest, "bucket", "_kind")
+    batch = written(batch)
+    counts = {r[0]: (r[1], set(r[2])) for r in batch.groupBy("_kind").agg(F.count(F.lit(1)), F.collect_set("bucket")).collect()}  # four rows at most, of as many buckets as there are
+    if "foreign" in counts:
+        raise ValueError("an origin belongs to another source")
+    own = sorted(set().union(*[b for _, b in counts.values()]))
+    if own:
+        corpus.put(batch.drop("_kind"), own, stored)
+    return {k: counts[k][0] if k in counts else 0 for k in ("added", "changed", "removed")} | {"buckets": len(own)}

@@ -207,3 +207,40 @@ def test_nodes_of_equal_hashes_are_no_twins(spark, monkeypatch):
     edges, pages = [(i, 10 + i % 2) for i in range(6)], {*range(6), 10, 11}
     got = D.khop(spark.createDataFrame(edges, "source long, target long"), *[spark.createDataFrame([(p,) for p in pages], "slug long")] * 2, 3, written)
     assert {tuple(x) for x in got.collect()} == _hops(edges, pages, 3)
+
+
+def test_reconciling_writes_what_it_read_and_what_is_new(spark, tmp_path, monkeypatch):
+    from loomgraph.streaming import buckets, reconcile
+    from loomgraph.sources.shared import written
+
+    moved = []
+
+    def seen(df):
+        out = written(df)
+        moved.append(out.count())
+        return out
+
+    for m in (buckets, reconcile):
+        monkeypatch.setattr(m, "written", seen)
+    corpus = buckets.Buckets(spark, f"file://{tmp_path}/c", "origin", "revision", f"{reconcile.HEAD}, body string", buckets=2)
+    files = lambda rows: spark.createDataFrame(rows, "origin string, digest string, recipe string, body string")
+    names = lambda *x: spark.createDataFrame([(n,) for n in x], "origin string")
+    heads = lambda: {r["origin"]: (r["source"], r["state"], r["revision"], r["digest"], r["body"]) for r in corpus.read().collect()}
+    rows = [(f"f{i}", f"d{i}", "r", f"b{i}") for i in range(9)]
+    reconcile.reconcile(corpus, "s", files(rows), full=True)
+    assert moved == [9, 9]
+    reconcile.reconcile(corpus, "t", files([("t0", "d", "r", "b")]))
+    # One new, one changed, absent ones of either source (with one twice, one null, one unknown): three rows are written.
+    moved.clear()
+    got = reconcile.reconcile(corpus, "s", files([("f9", "d9", "r", "b9"), ("f0", None, "r", None), rows[1]]), names("f1", "f2", "f2", "t0", None, "zz"))
+    assert (got["added"], got["changed"], got["removed"]) == (1, 1, 1) and moved == [6, 3]
+    was = heads()
+    assert was["f0"] == ("s", "Active", 2, None, None) and was["f2"] == ("s", "Removed", 2, None, None) and was["t0"] == ("t", "Active", 1, "d", "b") and len(was) == 11
+    # Who names an origin of another source changes nothing, not even its own.
+    with pytest.raises(ValueError, match="another source"):
+        reconcile.reconcile(corpus, "t", files([("t1", "d", "r", "b"), ("f2", "d", "r", "b")]))
+    assert heads() == was
+    # A full batch removes all that it doesn't hold, be it named as absent or not; what was removed comes again.
+    got = reconcile.reconcile(corpus, "s", files([rows[2], rows[3]]), names("f3", "f4"), full=True)
+    assert (got["added"], got["changed"], got["removed"]) == (1, 0, 8)
+    assert {o: x[1:3] for o, x in heads().items() if x[1] == "Active"} == {"f2": ("Active", 3), "f3": ("Active", 1), "t0": ("Active", 1)}
